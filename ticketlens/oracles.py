@@ -165,5 +165,179 @@ def _register_dataset() -> None:
 _register_dataset()
 
 
+# --- events, scoring, plans ------------------------------------------------------
+
+from ticketlens.fixed_values import DEVELOPMENT_KEYWORDS, SUPPORTED_ACTIONS  # noqa: E402
+
+_KW = dict(DEVELOPMENT_KEYWORDS)
+
+
+def _jt(path: str) -> str:
+    return f"coalesce(json_type(j, {X.q(path)}), '')"
+
+
+_TRIAGE_RULES = [
+    ("malformed", "invalid_json", "j IS NULL"),
+    ("malformed", "not_object", "json_type(j) <> 'OBJECT'"),
+    ("malformed", "missing_issue", f"{_jt('$.issue')} <> 'OBJECT'"),
+    ("ignored", "pull_request", "json_exists(j, '$.issue.pull_request')"),
+    ("malformed", "missing_action", f"{_jt('$.action')} <> 'VARCHAR'"),
+    ("ignored", "unsupported_action",
+     "json_extract_string(j, '$.action') NOT IN (" + ", ".join(X.q(a) for a in SUPPORTED_ACTIONS) + ")"),
+    ("ignored", "bot_author", f"{_jt('$.issue.user.type')} = 'VARCHAR' AND json_extract_string(j, '$.issue.user.type') = 'Bot'"),
+    ("ignored", "bot_sender", f"{_jt('$.sender.type')} = 'VARCHAR' AND json_extract_string(j, '$.sender.type') = 'Bot'"),
+    ("malformed", "missing_repository", f"{_jt('$.repository')} <> 'OBJECT'"),
+    ("malformed", "missing_owner", f"{_jt('$.repository.owner')} <> 'OBJECT'"),
+    ("malformed", "invalid_repository",
+     f"NOT ({_jt('$.repository.owner.login')} = 'VARCHAR' AND {_jt('$.repository.name')} = 'VARCHAR')"),
+    ("malformed", "invalid_number", f"{_jt('$.issue.number')} NOT IN ('UBIGINT', 'BIGINT')"),
+    ("malformed", "invalid_title_or_url",
+     f"NOT ({_jt('$.issue.title')} = 'VARCHAR' AND {_jt('$.issue.html_url')} = 'VARCHAR')"),
+    ("malformed", "invalid_body", f"{_jt('$.issue.body')} NOT IN ('', 'VARCHAR', 'NULL')"),
+]
+
+
+def _case(index: int) -> str:
+    whens = " ".join(f"WHEN {cond} THEN {X.q(rule[index])}" for *rule, cond in [(a, b, c) for a, b, c in _TRIAGE_RULES])
+    default = "'accepted'" if index == 0 else "NULL"
+    return f"CASE {whens} ELSE {default} END"
+
+
+def _acc(expr: str) -> str:
+    return f"CASE WHEN status = 'accepted' THEN {expr} END"
+
+
+TRIAGED = (
+    td.duck_cte(event_payloads=td.EVENT_PAYLOADS)
+    + ", p AS (SELECT event_id, CASE WHEN json_valid(payload) THEN payload END AS j FROM event_payloads),\n"
+    + f"t AS (SELECT event_id, j, {_case(0)} AS status, {_case(1)} AS reason FROM p),\n"
+    + "triaged AS (SELECT event_id, status, reason, "
+    + _acc("json_extract_string(j, '$.repository.owner.login')") + " AS owner, "
+    + _acc("json_extract_string(j, '$.repository.name')") + " AS repo, "
+    + _acc("CAST(json_extract_string(j, '$.issue.number') AS BIGINT)") + " AS issue_number, "
+    + _acc("json_extract_string(j, '$.issue.title')") + " AS title, "
+    + _acc("json_extract_string(j, '$.issue.body')") + " AS body, "
+    + _acc("json_extract_string(j, '$.action')") + " AS action, "
+    + _acc("json_extract_string(j, '$.issue.html_url')") + " AS html_url FROM t)\n"
+)
+
+ORACLES["event_triage"] = TRIAGED + "SELECT * FROM triaged"
+ORACLES["event_triage_summary"] = TRIAGED + "SELECT status, reason, count(*) AS events FROM triaged GROUP BY ALL"
+ORACLES["scan_events"] = (
+    td.duck_cte(event_payloads=td.EVENT_PAYLOADS)
+    + ", p AS (SELECT event_id, CASE WHEN json_valid(payload) THEN payload END AS j FROM event_payloads)\n"
+    + "SELECT event_id, CASE WHEN j IS NULL THEN 'invalid_json' WHEN json_type(j) <> 'OBJECT' THEN 'not_object' ELSE 'ok' END AS parse_status,\n"
+    + "  CASE WHEN json_type(j) = 'OBJECT' THEN array_to_string(list_sort(json_keys(j)), ',') END AS top_level_keys FROM p"
+)
+
+
+def _hit(mi: str, label: str) -> str:
+    words = _KW.get(label, ())
+    return "(" + " OR ".join(f"contains(lower({mi}), {X.q(w)})" for w in words) + ")" if words else "false"
+
+
+def _kw_score(mi: str, label: str) -> str:
+    return f"CASE WHEN {_hit(mi, label)} THEN CAST('0.9' AS DOUBLE) ELSE CAST('0.1' AS DOUBLE) END"
+
+
+def _selected_list(mi: str, extra: str = "") -> str:
+    parts = []
+    for i, (label, _tax, thr) in enumerate(LABEL_CATALOG):
+        cond = f"{_kw_score(mi, label)} >= {_dbl(thr)}"
+        if extra:
+            cond += " AND " + extra.format(ord=i)
+        parts.append(f"CASE WHEN {cond} THEN {X.q(label)} END")
+    return "concat_ws('|', " + ", ".join(parts) + ")"
+
+
+_REPO_R = "CASE WHEN owner = 'org' AND repo LIKE 'repo%' THEN TRY_CAST(substr(repo, 5) AS INTEGER) END"
+
+PLAN = (
+    TRIAGED
+    + ", s AS (SELECT *, " + _acc(X.model_input(X.clean("title", LABELS), X.clean("body", LABELS))) + " AS model_input FROM triaged),\n"
+    + f"s2 AS (SELECT *, coalesce({_selected_list('model_input')}, '') AS labels_to_apply,\n"
+    + f"  coalesce({_selected_list('model_input', '((({ord}) + ' + _REPO_R + ') % 7 = 0)')}, '') AS missing_labels FROM s),\n"
+    + "plan AS (SELECT *, CASE WHEN status = 'ignored' THEN 'ignored' WHEN status = 'malformed' THEN 'malformed'\n"
+    + "  WHEN labels_to_apply = '' THEN 'no_labels' WHEN missing_labels <> '' THEN 'missing_labels' ELSE 'apply' END AS write_status FROM s2)\n"
+)
+_EXIT = "CASE WHEN write_status IN ('malformed', 'missing_labels', 'blocked_dev') THEN 1 ELSE 0 END AS exit_code"
+
+ORACLES["triage_issues"] = PLAN + (
+    "SELECT event_id, status, reason, owner, repo, issue_number, model_input, labels_to_apply, missing_labels, "
+    f"write_status, {_EXIT}, '1.0.0 (non-production)' AS model_version, 'development' AS backend FROM plan"
+)
+ORACLES["label_write_plan"] = PLAN + (
+    f"SELECT event_id, owner, repo, issue_number, labels_to_apply, write_status, {_EXIT} FROM plan"
+)
+ORACLES["missing_repo_labels"] = PLAN + (
+    "SELECT event_id, owner, repo, unnest(string_split(missing_labels, '|')) AS label FROM plan WHERE missing_labels <> ''"
+)
+
+_CAT_KW = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {X.q(label)}, {X.q(tax)}, {_dbl(thr)})" for i, (label, tax, thr) in enumerate(LABEL_CATALOG)
+) + ") AS t(ord, label, taxonomy, threshold)"
+
+ORACLES["dry_run_report"] = (
+    TRIAGED
+    + ", s AS (SELECT *, " + _acc(X.model_input(X.clean("title", LABELS), X.clean("body", LABELS))) + " AS model_input FROM triaged),\n"
+    + f"cat AS ({_CAT_KW}),\n"
+    + "pairs AS (SELECT s.event_id, cat.label, cat.threshold, CASE "
+    + " ".join(f"WHEN cat.label = {X.q(label)} THEN {_kw_score('s.model_input', label)}" for label in LABELS)
+    + " END AS score FROM s JOIN cat ON s.status = 'accepted')\n"
+    + "SELECT event_id, label, round(score, 4) AS score, threshold FROM pairs WHERE score >= threshold"
+)
+
+_CLEANED_MI = f"SELECT number, {X.model_input(X.clean('title', LABELS), X.clean('body', LABELS))} AS mi FROM issues"
+ORACLES["score_keywords"] = (
+    _issues_cte()
+    + f", c AS ({_CLEANED_MI}), cat AS ({_CAT_KW})\n"
+    + "SELECT c.number, cat.ord AS pos, cat.label, cat.taxonomy, CASE "
+    + " ".join(f"WHEN cat.label = {X.q(label)} THEN {_kw_score('c.mi', label)}" for label in LABELS)
+    + " END AS score, '1.0.0 (non-production)' AS model_version, 'development' AS backend FROM c JOIN cat ON true"
+)
+
+_POS = (
+    f"cat AS ({_CAT_KW}),\n"
+    "e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),\n"
+    "raw AS (SELECT e.vec_id, e.pos, CAST(e.x AS DOUBLE) AS x,\n"
+    "  CASE WHEN e.pos < 60 THEN c30.label ELSE concat('priority/p', CAST(e.pos AS VARCHAR)) END AS label,\n"
+    "  CASE WHEN e.pos < 30 THEN c30.taxonomy ELSE 'kind' END AS taxonomy,\n"
+    "  1.0 / (1.0 + exp(-CAST(e.x AS DOUBLE))) AS score\n"
+    "  FROM e LEFT JOIN cat c30 ON c30.ord = e.pos % 30)\n"
+)
+ORACLES["score_logits"] = (
+    "WITH " + _POS
+    + "SELECT vec_id, pos, label, taxonomy, round(score, 9) AS score FROM raw WHERE pos < 30"
+)
+ORACLES["postprocess"] = (
+    "WITH " + _POS
+    + "SELECT raw.vec_id, raw.pos, cat.ord, raw.label, raw.taxonomy, round(raw.score, 9) AS score, cat.threshold,\n"
+    + "  raw.score >= cat.threshold AS selected FROM raw JOIN cat ON raw.label = cat.label AND raw.taxonomy = cat.taxonomy"
+)
+ORACLES["rejected_predictions"] = (
+    "WITH " + _POS
+    + "SELECT raw.vec_id, raw.pos, raw.label, raw.taxonomy,\n"
+    + "  CASE WHEN cat.label IS NULL THEN 'unknown_label' ELSE 'taxonomy_mismatch' END AS reason\n"
+    + "FROM raw LEFT JOIN cat ON raw.label = cat.label WHERE cat.label IS NULL OR cat.taxonomy <> raw.taxonomy"
+)
+ORACLES["threshold_predictions"] = (
+    "WITH " + _POS
+    + "SELECT raw.vec_id, raw.label, round(raw.score, 9) AS score, cat.threshold, raw.score >= cat.threshold AS selected\n"
+    + "FROM raw JOIN cat ON raw.label = cat.label WHERE raw.pos < 30"
+)
+ORACLES["selected_labels"] = (
+    "WITH " + _POS
+    + ", chosen AS (SELECT DISTINCT raw.vec_id, cat.ord, raw.label FROM raw JOIN cat ON raw.label = cat.label AND raw.taxonomy = cat.taxonomy\n"
+    + "  WHERE raw.score >= cat.threshold),\n"
+    + "agg AS (SELECT vec_id, string_agg(label, '|' ORDER BY ord) AS labels FROM chosen GROUP BY vec_id)\n"
+    + "SELECT embeddings.vec_id, coalesce(agg.labels, '') AS labels FROM embeddings LEFT JOIN agg ON embeddings.vec_id = agg.vec_id"
+)
+ORACLES["repo_labels"] = (
+    f"WITH cat AS ({_CAT_KW}),\n"
+    "repos AS (SELECT DISTINCT 'org' AS owner, concat('repo', CAST(user_id % 5 AS VARCHAR)) AS repo, user_id % 5 AS r FROM events)\n"
+    "SELECT owner, repo, label FROM repos JOIN cat ON (cat.ord + repos.r) % 7 <> 0"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
