@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ticketlens.fixed_values import SAMPLE_ID_PREFIX
 
 # An ISO-8601 string must carry a zone: "Z" or a +hh:mm / +hhmm offset.
-ZONED = r"(?:[Zz]|[+-]\d{2}:?\d{2})$"
+ZONED = r"(?:Z|[+-]\d{2}:?\d{2})$"
 
 
 def parse_utc(text: Column) -> Column:  # T21
