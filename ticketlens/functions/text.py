@@ -6,10 +6,11 @@ Python (see ``unicode.py``); it is applied to non-ASCII values only.
 
 Patterns are Java regular expressions. Notes on the choices:
 
-* ``(?U)`` gives Unicode ``\\s``, ``\\d`` and ``\\b`` (and Unicode case folding),
-  which is what the text contract means by whitespace, digit and word boundary.
-* The contract treats U+001C..U+001F as whitespace; Java does not, hence the
-  explicit ``\\x1c-\\x1f`` next to ``\\s``.
+* ``(?U)`` gives Unicode ``\\d`` and ``\\b`` (and Unicode case folding), which
+  is what the text contract means by digit and word boundary; it is used only
+  where those appear, being the slow mode.
+* Whitespace is the contract's own set (Python's ``str.isspace``: it includes
+  U+001C..U+001F, which Java's ``\\s`` does not), spelled out as a class.
 * ``(?d)`` makes ``\\n`` the only line terminator for ``^`` and ``$``.
 * Markdown link/image targets use possessive loops: the backtracking form
   overflows the JVM regex stack on long targets and takes the executor down.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.fixed_values import (
@@ -29,9 +30,14 @@ from ticketlens.fixed_values import (
 )
 from ticketlens.functions.unicode import nfkc
 
-# Python's notion of whitespace, expressed for Java under (?U).
-WS = r"[\s\x1c-\x1f]"
-_NOT_WS_OR = r"\s\x1c-\x1f"
+# Whitespace as the text contract means it (Python's str.isspace), derived by
+# rule, as a Java character class and as a plain string for btrim.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_WS_BODY = "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE)
+_WS_BODY_NO_NL = "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE if c != "\n")
+WS = "[" + _WS_BODY + "]"
+WS_NO_NL = "[" + _WS_BODY_NO_NL + "]"
+CONTROL_CHARS = "".join(chr(c) for c in range(0x20) if c not in (0x09, 0x0A))
 
 
 def java_quote(text: str) -> str:
@@ -49,9 +55,9 @@ def command_alternation(commands: Iterable[str] = TRIAGE_COMMANDS) -> str:
 
 _CMDS = command_alternation()
 
-# T2..T14 patterns (Java).
+# T2..T15 patterns (Java). (?U) only where \b or \d must be Unicode-aware;
+# (?iu) where case folding must be Unicode-aware.
 CRLF = r"\r\n?"
-NUL = r"\x00"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 COMMAND_LINE = (
     r"(?imdU)^[ \t]*+(?:>[ \t]*+)*+"
@@ -60,19 +66,20 @@ COMMAND_LINE = (
 )
 INLINE_COMMAND = r"(?iU)`+[ \t]*/(?:" + _CMDS + r")\b[^`\r\n]*`+"
 _LINK_TARGET = r"\((?:[^()]++|\([^)]*\))*+\)"
-MD_IMAGE = r"(?U)!\[" + WS + r"*+([^\]]*?)" + WS + r"*\]" + _LINK_TARGET
-MD_LINK = r"(?U)\[(?=[^\]])" + WS + r"*+([^\]]*?)" + WS + r"*\]" + _LINK_TARGET
-HTML_BR = r"(?iU)<br" + WS + r"*/?>"
+MD_IMAGE = r"!\[" + WS + r"*+([^\]]*?)" + WS + r"*\]" + _LINK_TARGET
+MD_LINK = r"\[(?=[^\]])" + WS + r"*+([^\]]*?)" + WS + r"*\]" + _LINK_TARGET
+HTML_BR = r"(?iu)<br" + WS + r"*/?>"
 HTML_TAG = r"<[^>]+>"
-RAW_URL = r"(?iU)https?://[^" + _NOT_WS_OR + r"<>()\]]+"
-ISSUE_REF = r"(?U)(?<![A-Za-z0-9])#\d+\b"
-EMPTY_BRACKETS = r"(?U)\[" + WS + r"*\]|\(" + WS + r"*\)"
-CONTROL = r"[\x00-\x08\x0B-\x1F]"
-SPACE_RUN = r"[ \t]+"
+RAW_URL = r"(?iu)https?://[^" + _WS_BODY + r"<>()\]]+"
+# '#' first so most positions fail on one char; the look-behind then checks
+# the character before the '#'.
+ISSUE_REF = r"(?U)#(?<![A-Za-z0-9]#)\d+\b"
+EMPTY_BRACKETS = r"\[" + WS + r"*\]|\(" + WS + r"*\)"
+# Runs of two or more blanks, or any run with a tab (a lone space is kept as is).
+SPACE_RUN = r"\t[ \t]*| [ \t]+"
 # A line break with the whitespace around it: collapsing these runs to one
 # "\n" strips every line and drops empty ones in a single pass.
-LINE_BREAK_RUN = r"(?U)[^\S\n]*+\n\s*"
-EDGE_WS = r"(?U)^\s+|\s+\z"
+LINE_BREAK_RUN = WS_NO_NL + r"*+\n" + WS + r"*+"
 
 
 def label_mention_pattern(labels: Iterable[str]) -> str | None:
@@ -98,6 +105,11 @@ def label_mention_pattern(labels: Iterable[str]) -> str | None:
 
 
 # --- single steps (T0..T15) -------------------------------------------------
+# Every step reads its input exactly once, so the composed chain stays linear
+# in size under any optimizer rewrite (projection collapse, predicate
+# pushdown). Speed comes from the patterns themselves: a literal first where
+# possible, explicit character classes instead of Unicode mode, and
+# ``translate``/``btrim`` instead of regexes for single characters.
 
 
 def blank_if_null(text: Column) -> Column:  # T0
@@ -105,7 +117,7 @@ def blank_if_null(text: Column) -> Column:  # T0
 
 
 def normalize_newlines(text: Column) -> Column:  # T2
-    return F.regexp_replace(F.regexp_replace(text, CRLF, "\n"), NUL, " ")
+    return F.translate(F.regexp_replace(text, CRLF, "\n"), "\x00", " ")
 
 
 def strip_html_comments(text: Column) -> Column:  # T3
@@ -150,35 +162,66 @@ def strip_empty_brackets(text: Column) -> Column:  # T13
 
 
 def strip_control(text: Column) -> Column:  # T14
-    return F.regexp_replace(text, CONTROL, " ")
+    return F.translate(text, CONTROL_CHARS, " " * len(CONTROL_CHARS))
+
+
+def collapse_blanks(text: Column) -> Column:  # T15, first half
+    return F.regexp_replace(text, SPACE_RUN, " ")
+
+
+def strip_lines(text: Column) -> Column:  # T15, second half
+    """Strip every line, drop empty lines, strip the result."""
+    return F.btrim(F.regexp_replace(text, LINE_BREAK_RUN, "\n"), F.lit(PY_WHITESPACE))
 
 
 def normalize_lines(text: Column) -> Column:  # T15
-    """Collapse blanks, strip every line, drop empty lines, strip the result."""
-    collapsed = F.regexp_replace(text, SPACE_RUN, " ")
-    return F.regexp_replace(F.regexp_replace(collapsed, LINE_BREAK_RUN, "\n"), EDGE_WS, "")
+    return strip_lines(collapse_blanks(text))
 
 
 # --- composites ---------------------------------------------------------------
 
 
+def steps(labels: Iterable[str] = ()) -> list:
+    """T2..T15 in contract order, each ``Column -> Column``."""
+    labels = tuple(labels)
+    return [
+        normalize_newlines,
+        strip_html_comments,
+        strip_command_lines,
+        strip_inline_commands,
+        lambda c: mask_label_mentions(c, labels),
+        strip_md_images,
+        strip_md_links,
+        strip_html,
+        mask_urls,
+        mask_issue_refs,
+        strip_empty_brackets,
+        strip_control,
+        collapse_blanks,
+        strip_lines,
+    ]
+
+
 def clean_field(text: Column, labels: Iterable[str] = ()) -> Column:  # T16
     """The whole cleaning contract, T0..T15 in order, as one expression."""
-    labels = tuple(labels)
     value = nfkc(blank_if_null(text))
-    value = normalize_newlines(value)
-    value = strip_html_comments(value)
-    value = strip_command_lines(value)
-    value = strip_inline_commands(value)
-    value = mask_label_mentions(value, labels)
-    value = strip_md_images(value)
-    value = strip_md_links(value)
-    value = strip_html(value)
-    value = mask_urls(value)
-    value = mask_issue_refs(value)
-    value = strip_empty_brackets(value)
-    value = strip_control(value)
-    return normalize_lines(value)
+    for step in steps(labels):
+        value = step(value)
+    return value
+
+
+def apply_steps(df: DataFrame, outputs: dict[str, Column], step_list, start=None) -> DataFrame:
+    """Run ``step_list`` over each output column, one projection per step."""
+    first = start or (lambda c: c)
+    df = df.withColumns({name: first(col) for name, col in outputs.items()})
+    for step in step_list:
+        df = df.withColumns({name: step(F.col(name)) for name in outputs})
+    return df
+
+
+def clean_columns(df: DataFrame, outputs: dict[str, Column], labels: Iterable[str] = ()) -> DataFrame:  # T16
+    """Add cleaned text columns (name -> raw text expression) to ``df``."""
+    return apply_steps(df, outputs, steps(labels), start=lambda c: nfkc(blank_if_null(c)))
 
 
 def model_input(clean_title: Column, clean_body: Column) -> Column:  # T17
@@ -191,15 +234,32 @@ def model_input(clean_title: Column, clean_body: Column) -> Column:  # T17
     return F.concat(F.lit("Title: "), clean_title, F.lit("\nBody:"), body_part)
 
 
-def title_key(clean_title: Column) -> Column:  # T18
-    value = F.lower(nfkc(clean_title))
-    value = F.regexp_replace(value, r"(?U)https?://\S+", " ")
-    value = F.regexp_replace(value, r"(?U)\b[0-9a-f]{8,}\b", " ")
-    value = F.regexp_replace(value, r"(?U)\d+", " ")
-    value = F.regexp_replace(value, r"[^a-z0-9]+", " ")
-    return F.trim(value)
+TITLE_KEY_STEPS = [
+    lambda c: F.lower(nfkc(c)),
+    lambda c: F.regexp_replace(c, r"(?U)https?://\S+", " "),
+    lambda c: F.regexp_replace(c, r"(?U)\b[0-9a-f]{8,}\b", " "),
+    lambda c: F.regexp_replace(c, r"(?U)\d+", " "),
+    lambda c: F.trim(F.regexp_replace(c, r"[^a-z0-9]+", " ")),
+]
+
+
+def title_key(clean_title: Column) -> Column:  # T18, one expression
+    """Grouping key of a cleaned title: NFKC, lower, URLs/hex words/digits out,
+    other non-[a-z0-9] runs to one blank, stripped."""
+    value = clean_title
+    for step in TITLE_KEY_STEPS:
+        value = step(value)
+    return value
+
+
+def add_title_key(df: DataFrame, source: str, name: str) -> DataFrame:  # T18, one projection per step
+    return apply_steps(df, {name: F.col(source)}, TITLE_KEY_STEPS)
 
 
 def split_group_id(key: Column, number: Column) -> Column:  # T19
-    seed = F.when(key != "", key).otherwise(F.concat(F.lit("issue-"), number.cast("string")))
+    """``grp_`` + 16 hex of SHA-256 of the key (``issue-<n>`` for an empty key).
+
+    ``key`` is referenced once, so an expensive key expression runs once.
+    """
+    seed = F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("issue-"), number.cast("string")))
     return F.concat(F.lit("grp_"), F.substring(F.sha2(seed, 256), 1, 16))

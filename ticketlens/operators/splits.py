@@ -133,8 +133,14 @@ def assign_splits(
     """
     check_fractions(validation_fraction, lockbox_fraction)
     cuts = split_cutoffs(rows, ts_col, cut_fractions(validation_fraction, lockbox_fraction))
-    lockbox_cut = cuts.where(F.col("name") == "lockbox").select("cut_us").scalar()
-    validation_cut = cuts.where(F.col("name") == "validation").select("cut_us").scalar()
+    # One scalar subquery carrying both cuts: the order statistics run once.
+    both = cuts.agg(
+        F.struct(
+            F.max(F.when(F.col("name") == "lockbox", F.col("cut_us"))).alias("lockbox"),
+            F.max(F.when(F.col("name") == "validation", F.col("cut_us"))).alias("validation"),
+        ).alias("cuts")
+    ).scalar()
+    lockbox_cut, validation_cut = both.getField("lockbox"), both.getField("validation")
     latest = group_latest(rows, group_col, ts_col)
     joined = rows.join(latest, group_col)
     split = (

@@ -44,16 +44,19 @@ def with_retained(issues: DataFrame, labels: Sequence[str]) -> DataFrame:  # A1
     return issues.withColumn("retained", L.retained_labels(F.col("labels"), labels))
 
 
+def keyed_titles(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Cleaned title, its grouping key and split group id (key referenced once)."""
+    titled = df.withColumn("clean_title", T.clean_field(F.col("title"), labels))
+    keyed = titled.withColumn("title_key", T.title_key(F.col("clean_title")))
+    return keyed.withColumn("split_group_id", T.split_group_id(F.col("title_key"), F.col("number")))
+
+
 def build_rows(issues: DataFrame, labels: Sequence[str], repository: str = DEFAULT_REPOSITORY) -> DataFrame:  # P1
     """One dataset row per issue (expects ``retained``); keeps ``created_us`` for splits."""
     labels = list(labels)
-    cleaned = issues.select(
-        "number",
-        "created_at",
-        "html_url",
-        "retained",
-        T.clean_field(F.col("title"), labels).alias("clean_title"),
-        T.clean_field(F.col("body"), labels).alias("clean_body"),
+    base = issues.select("number", "created_at", "html_url", "retained", "title", "body")
+    cleaned = T.clean_columns(
+        keyed_titles(base, labels), {"clean_body": F.col("body")}, labels
     )
     retained = F.col("retained")
     return cleaned.select(
@@ -69,7 +72,7 @@ def build_rows(issues: DataFrame, labels: Sequence[str], repository: str = DEFAU
         L.labels_with_prefix(retained, "area/").alias("area_labels"),
         F.array_join(retained, "|").alias("retained_labels"),
         F.size(retained).alias("retained_label_count"),
-        T.split_group_id(T.title_key(F.col("clean_title")), F.col("number")).alias("split_group_id"),
+        "split_group_id",
         *L.multi_hot(retained, labels),
         unix_micros(F.col("created_at")).alias("created_us"),
     )

@@ -21,8 +21,8 @@ def score_events(triaged: DataFrame, catalog: LabelCatalog) -> DataFrame:
     """Model input, keyword scores, post-processing and chosen labels per event."""
     ok = F.col("status") == ACCEPTED
     labels = list(catalog.labels)
-    cleaned = triaged.withColumn("clean_title", T.clean_field(F.when(ok, F.col("title")), labels)).withColumn(
-        "clean_body", T.clean_field(F.when(ok, F.col("body")), labels)
+    cleaned = T.clean_columns(
+        triaged, {"clean_title": F.when(ok, F.col("title")), "clean_body": F.when(ok, F.col("body"))}, labels
     )
     scored = cleaned.withColumn("model_input", F.when(ok, T.model_input(F.col("clean_title"), F.col("clean_body"))))
     scored = scored.withColumn("predictions", F.when(ok, S.keyword_scores(F.col("model_input"), catalog)))

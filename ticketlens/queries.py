@@ -62,30 +62,37 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return td.view(spark, sf_dir, td.TEXTS)
 
 
-def _stage(name: str, fn: Callable) -> None:
+def _stage(name: str, step_list: list) -> None:
     @query(name)
-    def _q(spark, sf_dir, _fn=fn):
-        t = texts(spark, sf_dir)
-        return t.select("src", "id", _fn(T.blank_if_null(F.col("text"))).alias("result"))
-
-
-for _name, _fn in {
-    "clean_newlines": T.normalize_newlines,
-    "strip_html_comments": T.strip_html_comments,
-    "strip_command_lines": T.strip_command_lines,
-    "strip_inline_commands": T.strip_inline_commands,
-    "mask_label_mentions": lambda c: T.mask_label_mentions(c, LABELS),
-    "strip_md_images": T.strip_md_images,
-    "strip_md_links": T.strip_md_links,
-    "strip_html": T.strip_html,
-    "mask_urls": T.mask_urls,
-    "mask_issue_refs": T.mask_issue_refs,
-    "strip_empty_brackets": T.strip_empty_brackets,
-    "strip_control": T.strip_control,
-    "normalize_lines": T.normalize_lines,
-    "clean_field": lambda c: T.clean_field(c, LABELS),
+    def _q(spark, sf_dir, _steps=step_list):
+        t = texts(spark, sf_dir).select("src", "id", "text")
+        out = T.apply_steps(t, {"result": T.blank_if_null(F.col("text"))}, _steps)
+        return out.select("src", "id", "result")
+
+
+for _name, _steps in {
+    "clean_newlines": [T.normalize_newlines],
+    "strip_html_comments": [T.strip_html_comments],
+    "strip_command_lines": [T.strip_command_lines],
+    "strip_inline_commands": [T.strip_inline_commands],
+    "mask_label_mentions": [lambda c: T.mask_label_mentions(c, LABELS)],
+    "strip_md_images": [T.strip_md_images],
+    "strip_md_links": [T.strip_md_links],
+    "strip_html": [T.strip_html],
+    "mask_urls": [T.mask_urls],
+    "mask_issue_refs": [T.mask_issue_refs],
+    "strip_empty_brackets": [T.strip_empty_brackets],
+    "strip_control": [T.strip_control],
+    "normalize_lines": [T.collapse_blanks, T.strip_lines],
 }.items():
-    _stage(_name, _fn)
+    _stage(_name, _steps)
+
+
+@query("clean_field")
+def clean_field(spark, sf_dir):
+    """The whole contract (NFKC, T2..T15) over bodies, titles and pages."""
+    t = texts(spark, sf_dir).select("src", "id", "text")
+    return T.clean_columns(t, {"result": F.col("text")}, LABELS).select("src", "id", "result")
 
 
 @query("clean_nfkc")
@@ -95,11 +102,9 @@ def clean_nfkc(spark, sf_dir):
 
 
 def _cleaned_issues(spark, sf_dir) -> DataFrame:
-    return td.issues(spark, sf_dir).select(
-        "number",
-        T.clean_field(F.col("title"), LABELS).alias("clean_title"),
-        T.clean_field(F.col("body"), LABELS).alias("clean_body"),
-    )
+    iss = td.issues(spark, sf_dir).select("number", "title", "body")
+    out = T.clean_columns(P.keyed_titles(iss, LABELS), {"clean_body": F.col("body")}, LABELS)
+    return out.select("number", "clean_title", "clean_body", "title_key", "split_group_id")
 
 
 @query("model_input")
@@ -111,15 +116,12 @@ def model_input(spark, sf_dir):
 
 @query("title_key")
 def title_key(spark, sf_dir):
-    c = _cleaned_issues(spark, sf_dir)
-    return c.select("number", T.title_key(F.col("clean_title")).alias("title_key"))
+    return _cleaned_issues(spark, sf_dir).select("number", "title_key")
 
 
 @query("split_group")
 def split_group(spark, sf_dir):
-    c = _cleaned_issues(spark, sf_dir)
-    key = T.title_key(F.col("clean_title"))
-    return c.select("number", T.split_group_id(key, F.col("number")).alias("split_group_id"))
+    return _cleaned_issues(spark, sf_dir).select("number", "split_group_id")
 
 
 # --- dataset build (P1..P3) ------------------------------------------------------
