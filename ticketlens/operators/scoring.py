@@ -30,13 +30,15 @@ def _keywords_for(catalog: LabelCatalog, keywords=DEVELOPMENT_KEYWORDS) -> dict[
     return {label: table.get(label, ()) for label in catalog.labels}
 
 
-def keyword_scores(text: Column, catalog: LabelCatalog, keywords=DEVELOPMENT_KEYWORDS) -> Column:  # I1
+def keyword_scores(text: Column, catalog: LabelCatalog, keywords=DEVELOPMENT_KEYWORDS,
+                   is_lower: bool = False) -> Column:  # I1
     """0.9 when any keyword of the label is a substring of the lower-cased text, else 0.1.
 
     Labels without keywords always score 0.1; keyword entries for labels not
-    in the catalog are ignored. Substring, not word, match.
+    in the catalog are ignored. Substring, not word, match. Pass an already
+    lower-cased column with ``is_lower=True`` (see ``with_keyword_scores``).
     """
-    lowered = F.lower(text)
+    lowered = text if is_lower else F.lower(text)
     items = []
     for label, taxonomy in zip(catalog.labels, catalog.taxonomies):
         words = _keywords_for(catalog, keywords)[label]
@@ -48,6 +50,13 @@ def keyword_scores(text: Column, catalog: LabelCatalog, keywords=DEVELOPMENT_KEY
     return F.array(*items)
 
 
+def with_keyword_scores(df: DataFrame, text_col: str, catalog: LabelCatalog, out: str = "predictions") -> DataFrame:
+    """Keyword scores as a column; the text is lower-cased once, in its own projection."""
+    low = f"__{out}_lower"
+    scored = df.withColumn(low, F.lower(F.col(text_col)))
+    return scored.withColumn(out, keyword_scores(F.col(low), catalog, is_lower=True)).drop(low)
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

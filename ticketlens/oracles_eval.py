@@ -92,6 +92,10 @@ SELECT per_model.model, round(mean_metric, 9) AS mean_metric, seeds, coalesce(wi
   round(mean_metric - (SELECT mean_metric FROM per_model WHERE model = 'baseline'), 9) AS delta_to_baseline
 FROM per_model LEFT JOIN wins ON per_model.model = wins.model"""
 
+ORACLES["label_catalog"] = _SWEEP + """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY taxonomy ORDER BY f1 DESC, threshold ASC) AS rk FROM scored)
+SELECT CAST(cat.ord AS INTEGER) AS ord, cat.label, cat.taxonomy, ranked.threshold FROM cat JOIN ranked
+  ON cat.taxonomy = ranked.taxonomy AND ranked.rk = 1"""
 ORACLES["score_batch"] = ORACLES["score_keywords"]
 ORACLES["stream_triage"] = ORACLES["triage_issues"]
 ORACLES["stream_replay"] = PLAN + """

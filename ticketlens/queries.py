@@ -242,7 +242,8 @@ def dry_run_report(spark, sf_dir):
 def score_keywords(spark, sf_dir):
     """I1 + I5 over every issue's model input, long form."""
     c = _cleaned_issues(spark, sf_dir)
-    scored = c.select("number", S.keyword_scores(T.model_input(F.col("clean_title"), F.col("clean_body")), CATALOG).alias("predictions"))
+    texts = c.select("number", T.model_input(F.col("clean_title"), F.col("clean_body")).alias("model_input"))
+    scored = S.with_keyword_scores(texts, "model_input", CATALOG)
     return S.stamp(S.explode_predictions(scored, ["number"]), CATALOG, "development")
 
 

@@ -17,6 +17,7 @@ from ticketlens.queries import CATALOG, LABELS, LIVE, _cleaned_issues, _logits,
 from ticketlens.queries import CLOSED_BEFORE, CREATED_AFTER, LOCKBOX_FRACTION, VALIDATION_FRACTION
 from ticketlens.session import scratch_path
 from ticketlens.sinks.labels import labels_to_write  # noqa: F401
+from ticketlens.sources import catalog as C
 from ticketlens.sources import testdata as td
 from ticketlens.streaming import triage as ST
 
@@ -128,6 +129,17 @@ def seed_comparison(spark, sf_dir):
     return _r9(out, ("mean_metric", "delta_to_baseline"))
 
 
+@query("label_catalog")
+def label_catalog(spark, sf_dir):
+    """S3: per-taxonomy thresholds chosen on the data (E4), written as a model
+    bundle under the shared folder, loaded back through the validated loader."""
+    best = E.best_thresholds(_sweep(spark, sf_dir)).select("taxonomy", "threshold")
+    chosen = {r["taxonomy"]: r["threshold"] for r in best.collect()}  # one row per taxonomy
+    tuned = C.LabelCatalog.with_thresholds(LABELS, {lab: chosen[lab.split("/", 1)[0]] for lab in LABELS})
+    path = C.write_bundle(spark, scratch_path(spark, "bundle"), tuned)
+    return C.load_artifacts(spark, path, backend=tuned.backend).dataframe(spark)
+
+
 # --- E6: TF-IDF baseline (rows-only checks) ---------------------------------------------------
 
 

@@ -11,6 +11,7 @@ DataFrame; ``load_artifacts`` refuses a bundle with violations.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -109,7 +110,8 @@ def read_bundle(spark: SparkSession, directory: str) -> DataFrame:
     """
     d = directory.rstrip("/")
     raw = read_json_object(spark, [f"{d}/{name}" for name in BUNDLE_FILES.values()])
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    # a bundle file is a plain file or a directory of one part (Spark-written)
+    name = F.regexp_extract("path", r"([^/]+\.json)(?:/[^/]*)?$", 1)
     return raw.agg(*[
         F.first(F.when(name == file, F.col("v")), ignorenulls=True).alias(key) for key, file in BUNDLE_FILES.items()
     ])
@@ -181,6 +183,24 @@ def load_artifacts(spark: SparkSession, directory: str, backend: str | None = No
     )
 
 
+def write_bundle(spark: SparkSession, directory: str, catalog: LabelCatalog, model_name: str = "ticketlens",
+                 strategy: str = "taxonomy") -> str:
+    """Write manifest, label schema and thresholds as a bundle (Spark writers, so
+    shared storage works); refuses an existing target."""
+    d = directory.rstrip("/")
+    manifest = {
+        "model_name": model_name, "model_version": catalog.version, "backend": catalog.backend,
+        "max_length": catalog.max_length, "preprocessing_version": PREPROCESSING_VERSION,
+        "labels": list(catalog.labels), "threshold_strategy": strategy,
+    }
+    schema = {"labels": [{"name": lab, "taxonomy": tax} for lab, tax in zip(catalog.labels, catalog.taxonomies)]}
+    thresholds = {"strategy": strategy, "values": dict(zip(catalog.labels, catalog.thresholds))}
+    for key, payload in (("m", manifest), ("s", schema), ("t", thresholds)):
+        text = spark.createDataFrame([(json.dumps(payload),)], "value string")
+        text.coalesce(1).write.mode("errorifexists").text(f"{d}/{BUNDLE_FILES[key]}")
+    return d
+
+
 def label_rule_violations(candidates: DataFrame, label_col: str = "label") -> DataFrame:  # S4 rules
     """Dataset-side label rules over a candidate label column: (label, rule).
 
