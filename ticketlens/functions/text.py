@@ -34,10 +34,7 @@ from ticketlens.functions.unicode import nfkc
 # rule, as a Java character class and as a plain string for btrim.
 PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _WS_BODY = "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE)
-_WS_BODY_NO_NL = "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE if c != "\n")
 WS = "[" + _WS_BODY + "]"
-WS_NO_NL = "[" + _WS_BODY_NO_NL + "]"
-CONTROL_CHARS = "".join(chr(c) for c in range(0x20) if c not in (0x09, 0x0A))
 
 
 def java_quote(text: str) -> str:
@@ -77,9 +74,7 @@ ISSUE_REF = r"(?U)#(?<![A-Za-z0-9]#)\d+\b"
 EMPTY_BRACKETS = r"\[" + WS + r"*\]|\(" + WS + r"*\)"
 # Runs of two or more blanks, or any run with a tab (a lone space is kept as is).
 SPACE_RUN = r"\t[ \t]*| [ \t]+"
-# A line break with the whitespace around it: collapsing these runs to one
-# "\n" strips every line and drops empty ones in a single pass.
-LINE_BREAK_RUN = WS_NO_NL + r"*+\n" + WS + r"*+"
+CONTROL = r"[\x00-\x08\x0B-\x1F]"
 
 
 def label_mention_pattern(labels: Iterable[str]) -> str | None:
@@ -107,9 +102,16 @@ def label_mention_pattern(labels: Iterable[str]) -> str | None:
 # --- single steps (T0..T15) -------------------------------------------------
 # Every step reads its input exactly once, so the composed chain stays linear
 # in size under any optimizer rewrite (projection collapse, predicate
-# pushdown). Speed comes from the patterns themselves: a literal first where
-# possible, explicit character classes instead of Unicode mode, and
-# ``translate``/``btrim`` instead of regexes for single characters.
+# pushdown). A step that needs a literal is guarded by a substring test inside
+# a lambda (the input is still read once): rows without the literal skip the
+# regex engine and its UTF-8/UTF-16 round trip. Patterns put a literal first
+# where possible and avoid Java's slow Unicode mode.
+
+
+def _when_contains(text: Column, needle: str, step) -> Column:
+    """``step(text)`` if ``text`` contains ``needle``, else ``text`` (one read of ``text``)."""
+    guarded = F.transform(F.array(text), lambda v: F.when(v.contains(needle), step(v)).otherwise(v))
+    return F.element_at(guarded, 1)
 
 
 def blank_if_null(text: Column) -> Column:  # T0
@@ -117,19 +119,20 @@ def blank_if_null(text: Column) -> Column:  # T0
 
 
 def normalize_newlines(text: Column) -> Column:  # T2
-    return F.translate(F.regexp_replace(text, CRLF, "\n"), "\x00", " ")
+    no_cr = _when_contains(text, "\r", lambda v: F.regexp_replace(v, CRLF, "\n"))
+    return _when_contains(no_cr, "\x00", lambda v: F.regexp_replace(v, r"\x00", " "))
 
 
 def strip_html_comments(text: Column) -> Column:  # T3
-    return F.regexp_replace(text, HTML_COMMENT, " ")
+    return _when_contains(text, "<!--", lambda v: F.regexp_replace(v, HTML_COMMENT, " "))
 
 
 def strip_command_lines(text: Column) -> Column:  # T4
-    return F.regexp_replace(text, COMMAND_LINE, "\n")
+    return _when_contains(text, "/", lambda v: F.regexp_replace(v, COMMAND_LINE, "\n"))
 
 
 def strip_inline_commands(text: Column) -> Column:  # T5
-    return F.regexp_replace(text, INLINE_COMMAND, " ")
+    return _when_contains(text, "`", lambda v: F.regexp_replace(v, INLINE_COMMAND, " "))
 
 
 def mask_label_mentions(text: Column, labels: Iterable[str]) -> Column:  # T6
@@ -138,23 +141,25 @@ def mask_label_mentions(text: Column, labels: Iterable[str]) -> Column:  # T6
 
 
 def strip_md_images(text: Column) -> Column:  # T7
-    return F.regexp_replace(text, MD_IMAGE, "$1")
+    return _when_contains(text, "![", lambda v: F.regexp_replace(v, MD_IMAGE, "$1"))
 
 
 def strip_md_links(text: Column) -> Column:  # T8
-    return F.regexp_replace(text, MD_LINK, "$1")
+    return _when_contains(text, "](", lambda v: F.regexp_replace(v, MD_LINK, "$1"))
 
 
 def strip_html(text: Column) -> Column:  # T9 + T10
-    return F.regexp_replace(F.regexp_replace(text, HTML_BR, "\n"), HTML_TAG, " ")
+    return _when_contains(
+        text, "<", lambda v: F.regexp_replace(F.regexp_replace(v, HTML_BR, "\n"), HTML_TAG, " ")
+    )
 
 
 def mask_urls(text: Column) -> Column:  # T11
-    return F.regexp_replace(text, RAW_URL, URL_PLACEHOLDER)
+    return _when_contains(text, "://", lambda v: F.regexp_replace(v, RAW_URL, URL_PLACEHOLDER))
 
 
 def mask_issue_refs(text: Column) -> Column:  # T12
-    return F.regexp_replace(text, ISSUE_REF, ISSUE_REF_PLACEHOLDER)
+    return _when_contains(text, "#", lambda v: F.regexp_replace(v, ISSUE_REF, ISSUE_REF_PLACEHOLDER))
 
 
 def strip_empty_brackets(text: Column) -> Column:  # T13
@@ -162,7 +167,7 @@ def strip_empty_brackets(text: Column) -> Column:  # T13
 
 
 def strip_control(text: Column) -> Column:  # T14
-    return F.translate(text, CONTROL_CHARS, " " * len(CONTROL_CHARS))
+    return F.regexp_replace(text, CONTROL, " ")
 
 
 def collapse_blanks(text: Column) -> Column:  # T15, first half
@@ -170,8 +175,9 @@ def collapse_blanks(text: Column) -> Column:  # T15, first half
 
 
 def strip_lines(text: Column) -> Column:  # T15, second half
-    """Strip every line, drop empty lines, strip the result."""
-    return F.btrim(F.regexp_replace(text, LINE_BREAK_RUN, "\n"), F.lit(PY_WHITESPACE))
+    """Strip every line, drop empty lines, join with newlines (the result is stripped)."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(PY_WHITESPACE)))
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 def normalize_lines(text: Column) -> Column:  # T15

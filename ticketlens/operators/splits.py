@@ -127,27 +127,28 @@ def assign_splits(
 ) -> DataFrame:  # G3
     """Add ``final_split``; cuts come from rows, membership from groups.
 
-    The cut values enter as scalar subqueries (one value each), the group
-    latest as an aggregate joined back on the group key. AQE splits a hot
-    group on the row side of that join instead of pinning it to one task.
+    The cut values enter as one scalar subquery, the group latest as an
+    aggregate joined back on the group key. AQE splits a hot group on the row
+    side of that join instead of pinning it to one task.
     """
     check_fractions(validation_fraction, lockbox_fraction)
     cuts = split_cutoffs(rows, ts_col, cut_fractions(validation_fraction, lockbox_fraction))
-    # One scalar subquery carrying both cuts: the order statistics run once.
-    both = cuts.agg(
-        F.struct(
-            F.max(F.when(F.col("name") == "lockbox", F.col("cut_us"))).alias("lockbox"),
-            F.max(F.when(F.col("name") == "validation", F.col("cut_us"))).alias("validation"),
+    # Both cuts come from one scalar subquery referenced once (every reference
+    # of a subquery is executed). The split is the number of cuts reached
+    # (quantiles are monotone in the fraction, so validation <= lockbox):
+    # with cuts doubled and the instant mapped to 2*t+1, its position in the
+    # sorted triple counts the cuts c with c <= t, ties included.
+    doubled = cuts.agg(
+        F.array(
+            2 * F.max(F.when(F.col("name") == "validation", F.col("cut_us"))),
+            2 * F.max(F.when(F.col("name") == "lockbox", F.col("cut_us"))),
         ).alias("cuts")
     ).scalar()
-    lockbox_cut, validation_cut = both.getField("lockbox"), both.getField("validation")
     latest = group_latest(rows, group_col, ts_col)
     joined = rows.join(latest, group_col)
-    split = (
-        F.when(F.col("group_latest_us") >= lockbox_cut, F.lit("lockbox"))
-        .when(F.col("group_latest_us") >= validation_cut, F.lit("validation"))
-        .otherwise(F.lit("train"))
-    )
+    probe = 2 * F.col("group_latest_us") + 1
+    reached = F.array_position(F.sort_array(F.concat(doubled, F.array(probe))), probe) - 1
+    split = F.element_at(F.array(*[F.lit(n) for n in SPLIT_NAMES]), reached.cast("int") + 1)
     return joined.withColumn("final_split", split)
 
 
