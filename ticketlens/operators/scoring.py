@@ -20,6 +20,7 @@ from ticketlens.fixed_values import (
     KEYWORD_MISS_SCORE,
     NON_PRODUCTION_SUFFIX,
 )
+from ticketlens.functions.arrays import posexplode_computed
 from ticketlens.sources.catalog import LabelCatalog
 
 PREDICTION_TYPE = "array<struct<label:string,taxonomy:string,score:double>>"
@@ -91,7 +92,7 @@ def stamp(df: DataFrame, catalog: LabelCatalog, backend: str) -> DataFrame:  # I
 
 def explode_predictions(df: DataFrame, id_cols: list[str], col: str = "predictions") -> DataFrame:
     """Long form: one row per (issue, prediction) with its position."""
-    return df.select(*id_cols, F.posexplode(col).alias("pos", "p")).select(
+    return posexplode_computed(df, list(id_cols), F.col(col), "pos", "p").select(
         *id_cols, "pos", "p.label", "p.taxonomy", "p.score"
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.fixed_values import LABEL_CATALOG
 from ticketlens.functions import labels as L
+from ticketlens.functions.arrays import explode_computed
 from ticketlens.functions import text as T
 from ticketlens.functions.unicode import nfkc
 from ticketlens.operators import postprocess as PP
@@ -228,7 +229,7 @@ def label_write_plan(spark, sf_dir):
 def missing_repo_labels(spark, sf_dir):
     """Chosen labels the repository does not have."""
     plan = _live_plan(spark, sf_dir)
-    return plan.select("event_id", "owner", "repo", F.explode("missing_labels").alias("label"))
+    return explode_computed(plan, ["event_id", "owner", "repo"], F.col("missing_labels"), "label")
 
 
 @query("dry_run_report")
@@ -298,7 +299,7 @@ def rejected_predictions(spark, sf_dir):
 def threshold_predictions(spark, sf_dir):
     """J2 + F8 on the model's catalog logits: score >= threshold (inclusive)."""
     scored = _logits(spark, sf_dir).select("vec_id", S.logit_scores(F.col("logits"), CATALOG).alias("predictions"))
-    post = scored.select("vec_id", F.explode(PP.postprocess_array(F.col("predictions"), CATALOG)).alias("p"))
+    post = explode_computed(scored, ["vec_id"], PP.postprocess_array(F.col("predictions"), CATALOG), "p")
     return post.select("vec_id", "p.label", F.round("p.score", 9).alias("score"), "p.threshold", "p.selected")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import labels as L
+from ticketlens.functions.arrays import explode_computed
 from ticketlens.functions import text as T
 from ticketlens.operators import baseline as B
 from ticketlens.operators import evaluate as E
@@ -44,7 +45,7 @@ def _postprocessed(spark, sf_dir) -> DataFrame:
 
 def predicted_pairs(spark, sf_dir) -> DataFrame:
     post = _postprocessed(spark, sf_dir)
-    return post.select("vec_id", F.explode(PP.selected_labels(F.col("post"))).alias("label"))
+    return explode_computed(post, ["vec_id"], PP.selected_labels(F.col("post")), "label")
 
 
 def _flags(spark, sf_dir) -> DataFrame:
@@ -114,7 +115,7 @@ def run_metrics(spark, sf_dir) -> DataFrame:
         F.slice("embedding", F.col("run.offset") + 1, len(LABELS)).alias("logits"))
     post = per_run.select("vec_id", "true_class", "model", "seed", PP.selected_labels(
         PP.postprocess_array(S.logit_scores(F.col("logits"), CATALOG), CATALOG)).alias("chosen"))
-    pred = post.select("model", "seed", "vec_id", F.explode("chosen").alias("label"))
+    pred = explode_computed(post, ["model", "seed", "vec_id"], F.col("chosen"), "label")
     ords = F.array(F.col("true_class"), (F.col("true_class") * 3 + 1) % 30)
     truth = post.select("model", "seed", "vec_id", F.explode(ords).alias("ord")).select(
         "model", "seed", "vec_id", CATALOG.label_at(F.col("ord")).alias("label"))

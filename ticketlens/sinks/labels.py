@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.fixed_values import DRY_RUN_SCORE_DIGITS
+from ticketlens.functions.arrays import explode_computed
 
 # write_status -> exit code of a single-event run
 EXIT_CODES = {
@@ -78,14 +79,13 @@ def label_write_plan(triaged: DataFrame, config: RunConfig) -> DataFrame:  # K4
 
 def labels_to_write(plan: DataFrame) -> DataFrame:
     """(owner, repo, issue_number, label) rows the plan would add."""
-    return plan.where(F.col("write_status") == "apply").select(
-        "owner", "repo", "issue_number", F.explode("labels_to_apply").alias("label")
-    )
+    applying = plan.where(F.col("write_status") == "apply")
+    return explode_computed(applying, ["owner", "repo", "issue_number"], F.col("labels_to_apply"), "label")
 
 
 def dry_run_report(triaged: DataFrame, id_col: str = "event_id") -> DataFrame:  # K6
     """Chosen labels with the score rounded to 4 places and the threshold."""
-    chosen = triaged.select(id_col, F.explode(F.filter("postprocessed", lambda p: p["selected"])).alias("p"))
+    chosen = explode_computed(triaged, [id_col], F.filter("postprocessed", lambda p: p["selected"]), "p")
     return chosen.select(
         id_col,
         F.col("p.label").alias("label"),

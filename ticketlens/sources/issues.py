@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.functions.arrays import posexplode_computed
+
 ISSUE_COLUMNS = ("number", "title", "body", "created_at", "closed_at", "html_url", "labels", "is_pull_request")
 
 
@@ -48,9 +50,8 @@ def issue_fields(item: Column) -> list[Column]:
 
 def scan_issue_pages(pages: DataFrame, text_col: str = "page_text", keep: tuple[str, ...] = ()) -> DataFrame:  # S1
     """Issue objects of every page as typed rows (plus ``keep`` columns)."""
-    items = pages.select(
-        *keep,
-        F.posexplode(F.try_variant_get(F.try_parse_json(text_col), "$", "array<variant>")).alias("item_pos", "item"),
+    items = posexplode_computed(
+        pages, list(keep), F.try_variant_get(F.try_parse_json(text_col), "$", "array<variant>"), "item_pos", "item"
     )
     objects = items.where(F.schema_of_variant("item").startswith("OBJECT"))
     return objects.select(*keep, "item_pos", *issue_fields(F.col("item")))

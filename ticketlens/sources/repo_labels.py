@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.functions.arrays import explode_computed
+
 
 def scan_label_pages(pages: DataFrame, text_col: str = "page_text") -> DataFrame:
     """(owner, repo, label) rows from pages with owner, repo and page text."""
-    items = pages.select(
-        "owner", "repo",
-        F.explode(F.try_variant_get(F.try_parse_json(text_col), "$", "array<variant>")).alias("item"),
+    items = explode_computed(
+        pages, ["owner", "repo"], F.try_variant_get(F.try_parse_json(text_col), "$", "array<variant>"), "item"
     )
     name = F.variant_get("item", "$.name", "variant")
     return items.where(F.schema_of_variant(name) == "STRING").select(
