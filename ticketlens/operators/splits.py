@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.fixed_values import SPLIT_NAMES
+from ticketlens.session import scratch_path
 
 _LEVELS = (86_400_000_000, 1_000_000, 1)  # bucket widths in microseconds
 
@@ -114,8 +115,42 @@ def split_cutoffs(values: DataFrame, col: str, fractions: dict[str, float]) -> D
 
 
 def group_latest(rows: DataFrame, group_col: str, ts_col: str) -> DataFrame:  # G2 / J4
-    """Newest instant per group (partial aggregation before the shuffle)."""
-    return rows.groupBy(group_col).agg(F.max(ts_col).alias("group_latest_us"))
+    """Newest instant and row count per group (partial aggregation before the shuffle)."""
+    return rows.groupBy(group_col).agg(F.max(ts_col).alias("group_latest_us"), F.count(F.lit(1)).alias("group_rows"))
+
+
+# A group with more rows than this is "hot": its rows are spread over SALTS
+# join partitions instead of landing in one task. The hot set holds at most
+# rows / HOT_GROUP_ROWS groups, so it is broadcast with a proven bound.
+HOT_GROUP_ROWS = 1_000_000
+SALTS = 64
+
+
+def join_group_latest(rows: DataFrame, group_col: str, ts_col: str, row_key: str,
+                      hot_group_rows: int = HOT_GROUP_ROWS, salts: int = SALTS) -> DataFrame:
+    """``rows`` with its group's newest instant, skew-safe.
+
+    The group table (one row per group) is computed once and written to the
+    shared checkpoint folder: it feeds both the hot-group test and the join,
+    and the lineage cut keeps a lost executor from recomputing it.
+    Without hot groups this is a plain equi-join. Otherwise rows of hot groups
+    get a deterministic salt (hash of ``row_key``: a recomputed task gets the
+    same salt) and only the hot groups' aggregate rows are replicated per salt.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "group-latest")
+    group_latest(rows, group_col, ts_col).write.mode("errorifexists").parquet(path)
+    latest = spark.read.parquet(path)
+    hot = latest.where(F.col("group_rows") > hot_group_rows).select(group_col, F.lit(True).alias("_hot"))
+    if hot.isEmpty():
+        return rows.join(latest.select(group_col, "group_latest_us"), group_col)
+    tagged = rows.join(F.broadcast(hot), group_col, "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(row_key)), F.lit(salts))).otherwise(F.lit(0))
+    salted_rows = tagged.withColumn("_salt", salt.cast("int")).drop("_hot")
+    fan_out = F.when(F.col("group_rows") > hot_group_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0)))
+    salted_latest = latest.select(group_col, "group_latest_us", F.explode(fan_out).alias("_salt"))
+    return salted_rows.join(salted_latest, [group_col, "_salt"]).drop("_salt")
 
 
 def assign_splits(
@@ -124,12 +159,14 @@ def assign_splits(
     lockbox_fraction: float,
     ts_col: str = "created_us",
     group_col: str = "split_group_id",
+    row_key: str = "sample_id",
+    hot_group_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:  # G3
     """Add ``final_split``; cuts come from rows, membership from groups.
 
     The cut values enter as one scalar subquery, the group latest as an
-    aggregate joined back on the group key. AQE splits a hot group on the row
-    side of that join instead of pinning it to one task.
+    aggregate joined back on the group key, with hot groups salted
+    (``join_group_latest``) so no group is pinned to one task.
     """
     check_fractions(validation_fraction, lockbox_fraction)
     cuts = split_cutoffs(rows, ts_col, cut_fractions(validation_fraction, lockbox_fraction))
@@ -144,8 +181,7 @@ def assign_splits(
             2 * F.max(F.when(F.col("name") == "lockbox", F.col("cut_us"))),
         ).alias("cuts")
     ).scalar()
-    latest = group_latest(rows, group_col, ts_col)
-    joined = rows.join(latest, group_col)
+    joined = join_group_latest(rows, group_col, ts_col, row_key, hot_group_rows)
     probe = 2 * F.col("group_latest_us") + 1
     reached = F.array_position(F.sort_array(F.concat(doubled, F.array(probe))), probe) - 1
     split = F.element_at(F.array(*[F.lit(n) for n in SPLIT_NAMES]), reached.cast("int") + 1)

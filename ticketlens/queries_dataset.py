@@ -274,7 +274,7 @@ def split_cutoffs(spark, sf_dir):
 def group_latest(spark, sf_dir):
     """Newest creation instant and size of each split group."""
     rows = _rows(spark, sf_dir)
-    return rows.groupBy("split_group_id").agg(F.max("created_us").alias("group_latest_us"), F.count(F.lit(1)).alias("rows"))
+    return SP.group_latest(rows, "split_group_id", "created_us").withColumnRenamed("group_rows", "rows")
 
 
 @query("assign_splits")
