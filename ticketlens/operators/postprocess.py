@@ -85,14 +85,27 @@ def rejected_predictions(predictions: DataFrame, catalog: LabelCatalog, spark: S
     )
 
 
-def missing_repo_labels(plans: DataFrame, repo_labels: DataFrame) -> DataFrame:  # J3
+# Repository label sets are broadcast when there are at most this many
+# repositories (checked with a count). Each set is cut to catalog labels
+# first, so a broadcast row is bounded by the catalog size; beyond the limit
+# the join is a shuffle join whose hot repository AQE's skew join splits.
+BROADCAST_REPOSITORIES = 200_000
+
+
+def missing_repo_labels(plans: DataFrame, repo_labels: DataFrame, catalog: LabelCatalog,
+                        broadcast_limit: int = BROADCAST_REPOSITORIES) -> DataFrame:  # J3
     """Attach ``missing_labels``: chosen labels absent from the repository.
 
-    ``repo_labels`` is one row per (owner, repo) with its label set; the join
-    is on the repository, so a hot repository is one key whose single
-    right-side row AQE can replicate across the split partitions.
+    ``repo_labels`` is one row per (owner, repo) with its label set. When one
+    repository carries most events (the usual case), its key would be one
+    hot partition: the (catalog-cut) label sets are therefore broadcast when
+    a count proves them small, so every event task looks its repository up
+    locally.
     """
-    sets = repo_labels.select("owner", "repo", F.col("labels").alias("repo_label_set"))
+    known = F.array(*[F.lit(x) for x in catalog.labels])
+    sets = repo_labels.select("owner", "repo", F.array_intersect("labels", known).alias("repo_label_set"))
+    if sets.count() <= broadcast_limit:
+        sets = F.broadcast(sets)
     joined = plans.join(sets, ["owner", "repo"], "left")
     missing = F.array_except(F.col("labels_to_apply"), F.coalesce(F.col("repo_label_set"), F.array().cast("array<string>")))
     return joined.withColumn("missing_labels", missing).drop("repo_label_set")

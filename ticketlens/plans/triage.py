@@ -45,5 +45,5 @@ def triage_issues(
     if config.needs_repo_labels:
         if repo_label_sets is None:
             raise ValueError("live label writes need the repository label sets")
-        scored = PP.missing_repo_labels(scored, repo_label_sets)
+        scored = PP.missing_repo_labels(scored, repo_label_sets, catalog)
     return label_write_plan(scored, config)
