@@ -135,3 +135,12 @@ def test_write_status_ladder(spark, config, expected):
     df = df.withColumn("missing_labels", F.array_except("labels_to_apply", "repo_labels"))
     got = [r["write_status"] for r in label_write_plan(df, config).orderBy("event_id").collect()]
     assert got == expected
+
+
+def test_aligned_postprocess_equals_general_form(spark, catalog):
+    df = spark.createDataFrame([("kubelet bug in kubectl",), ("nothing here",), ("",)], "t string")
+    scored = df.select(S.keyword_scores(F.col("t"), catalog).alias("p"))
+    rows = scored.select(PP.postprocess_array(F.col("p"), catalog).alias("a"),
+                         PP.postprocess_aligned(F.col("p"), catalog).alias("b")).collect()
+    for r in rows:
+        assert r["a"] == r["b"]

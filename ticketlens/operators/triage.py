@@ -1,10 +1,11 @@
 """Webhook event triage (F6): accepted / ignored / malformed with a reason.
 
 Payload text is parsed once to VARIANT; every rule is a type or presence test
-on a path, evaluated in order as one CASE chain (first match wins). Type tests
-use ``schema_of_variant``: an integer is exactly ``BIGINT`` (42.0 is a
-DECIMAL, true a BOOLEAN), JSON null is ``VOID`` and a missing key is SQL NULL,
-so presence and null stay distinct. Known difference: a payload with
+on a path, evaluated in order as one CASE chain (first match wins). Scalar
+type tests use ``schema_of_variant``: an integer is exactly ``BIGINT`` (42.0
+is a DECIMAL, true a BOOLEAN), JSON null is ``VOID`` and a missing key is SQL
+NULL, so presence and null stay distinct. Object tests extract a one-field
+struct, which never builds the schema string of a whole sub-object. Known difference: a payload with
 duplicate keys does not parse (it is reported as invalid JSON).
 """
 
@@ -27,7 +28,10 @@ def _kind(v: Column, path: str) -> Column:
 
 
 def _is_object(v: Column, path: str) -> Column:
-    return F.coalesce(_kind(v, path).startswith("OBJECT"), F.lit(False))
+    # Extracting a one-field struct succeeds for every object (the field may be
+    # missing) and for nothing else; unlike schema_of_variant it does not build
+    # the schema string of the whole sub-object.
+    return F.try_variant_get(v, path, "struct<__probe:int>").isNotNull()
 
 
 def _is_string(v: Column, path: str) -> Column:

@@ -27,7 +27,7 @@ def score_events(triaged: DataFrame, catalog: LabelCatalog) -> DataFrame:
     scored = cleaned.withColumn("model_input", F.when(ok, T.model_input(F.col("clean_title"), F.col("clean_body"))))
     scored = S.with_keyword_scores(scored, "model_input", catalog)
     scored = scored.withColumn("predictions", F.when(ok, F.col("predictions")))
-    scored = scored.withColumn("postprocessed", PP.postprocess_array(F.col("predictions"), catalog))
+    scored = scored.withColumn("postprocessed", PP.postprocess_aligned(F.col("predictions"), catalog))
     scored = scored.withColumn(
         "labels_to_apply", F.coalesce(PP.selected_labels(F.col("postprocessed")), F.array().cast("array<string>"))
     )
