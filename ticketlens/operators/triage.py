@@ -15,27 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.fixed_values import SUPPORTED_ACTIONS
+from ticketlens.functions import variant as VT
 
 ACCEPTED, IGNORED, MALFORMED = "accepted", "ignored", "malformed"
 
 
-def _sub(v: Column, path: str) -> Column:
-    return F.variant_get(v, path, "variant")
-
-
-def _kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(_sub(v, path))
-
-
-def _is_object(v: Column, path: str) -> Column:
-    # Extracting a one-field struct succeeds for every object (the field may be
-    # missing) and for nothing else; unlike schema_of_variant it does not build
-    # the schema string of the whole sub-object.
-    return F.try_variant_get(v, path, "struct<__probe:int>").isNotNull()
-
-
-def _is_string(v: Column, path: str) -> Column:
-    return F.coalesce(_kind(v, path) == "STRING", F.lit(False))
+_sub, _kind, _is_object, _is_string = VT.sub, VT.kind, VT.is_object, VT.is_string
 
 
 def _text(v: Column, path: str) -> Column:
@@ -104,13 +89,13 @@ def triage_summary(triaged: DataFrame) -> DataFrame:
 def scan_payloads(events: DataFrame, payload_col: str = "payload") -> DataFrame:  # S2 checks
     """Per payload: readable JSON? an object? and its top-level keys."""
     v = parse_payload(F.col(payload_col))
-    kind = F.schema_of_variant(v)
+    obj = VT.is_object(v)
     parse_status = (
         F.when(v.isNull(), F.lit("invalid_json"))
-        .when(~kind.startswith("OBJECT"), F.lit("not_object"))
+        .when(~obj, F.lit("not_object"))
         .otherwise(F.lit("ok"))
     )
-    keys = F.when(kind.startswith("OBJECT"), F.array_join(F.array_sort(F.map_keys(
+    keys = F.when(obj, F.array_join(F.array_sort(F.map_keys(
         F.try_variant_get(v, "$", "map<string,variant>"))), ","))
     return events.select(
         *[c for c in events.columns if c != payload_col],

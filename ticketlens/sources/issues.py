@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.functions import variant as VT
 from ticketlens.functions.arrays import posexplode_computed
 
 ISSUE_COLUMNS = ("number", "title", "body", "created_at", "closed_at", "html_url", "labels", "is_pull_request")
@@ -23,9 +24,7 @@ def read_issue_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _typed(item: Column, path: str, kind: str, dtype: str) -> Column:
-    sub = F.variant_get(item, path, "variant")
-    return F.when(F.schema_of_variant(sub) == kind, F.variant_get(item, path, dtype))
+_typed = VT.typed
 
 
 def issue_fields(item: Column) -> list[Column]:
@@ -53,14 +52,14 @@ def scan_issue_pages(pages: DataFrame, text_col: str = "page_text", keep: tuple[
     items = posexplode_computed(
         pages, list(keep), F.try_variant_get(F.try_parse_json(text_col), "$", "array<variant>"), "item_pos", "item"
     )
-    objects = items.where(F.schema_of_variant("item").startswith("OBJECT"))
+    objects = items.where(VT.is_object(F.col("item")))
     return objects.select(*keep, "item_pos", *issue_fields(F.col("item")))
 
 
 def bad_pages(pages: DataFrame, text_col: str = "page_text") -> DataFrame:
     """Pages that are not a JSON array (the API contract says they must be)."""
     v = F.try_parse_json(text_col)
-    return pages.where(v.isNull() | ~F.schema_of_variant(v).startswith("ARRAY"))
+    return pages.where(v.isNull() | F.try_variant_get(v, "$", "array<variant>").isNull())
 
 
 def issue_lookup(issues: DataFrame, wanted: DataFrame) -> DataFrame:  # S6
