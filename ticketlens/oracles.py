@@ -299,7 +299,7 @@ ORACLES["score_keywords"] = (
 _POS = (
     f"cat AS ({_CAT_KW}),\n"
     "e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),\n"
-    "raw AS (SELECT e.vec_id, e.pos, CAST(e.x AS DOUBLE) AS x,\n"
+    "raw AS (SELECT e.vec_id, CAST(e.pos AS INTEGER) AS pos, CAST(e.x AS DOUBLE) AS x,\n"
     "  CASE WHEN e.pos < 60 THEN c30.label ELSE concat('priority/p', CAST(e.pos AS VARCHAR)) END AS label,\n"
     "  CASE WHEN e.pos < 30 THEN c30.taxonomy ELSE 'kind' END AS taxonomy,\n"
     "  1.0 / (1.0 + exp(-CAST(e.x AS DOUBLE))) AS score\n"

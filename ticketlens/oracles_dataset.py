@@ -28,7 +28,7 @@ _RET = f"list_sort(list_intersect(labels, {CATALOG_LIST}))"
 
 ORACLES["scan_issues"] = _issues_cte() + """
 SELECT number // 100 AS page,
-  row_number() OVER (PARTITION BY number // 100 ORDER BY number) - 1 AS item_pos,
+  CAST(row_number() OVER (PARTITION BY number // 100 ORDER BY number) - 1 AS INTEGER) AS item_pos,
   CASE WHEN number % 23 = 0 THEN NULL ELSE number END AS number,
   CASE WHEN number % 29 = 0 THEN NULL ELSE title END AS title,
   body,
@@ -39,7 +39,7 @@ SELECT number // 100 AS page,
 FROM issues"""
 
 ORACLES["invalid_issues"] = _issues_cte() + """
-, s AS (SELECT number // 100 AS page, row_number() OVER (PARTITION BY number // 100 ORDER BY number) - 1 AS item_pos,
+, s AS (SELECT number // 100 AS page, CAST(row_number() OVER (PARTITION BY number // 100 ORDER BY number) - 1 AS INTEGER) AS item_pos,
   CASE WHEN number % 23 = 0 THEN 'number_not_int'
        WHEN number % 29 = 0 THEN 'title_not_string'
        WHEN number % 19 = 0 THEN 'created_at_not_zoned' END AS reason FROM issues)
@@ -133,7 +133,7 @@ FROM u"""
 
 _BUDGET, _HEAD, _TAIL = head_tail_sizes(MAX_LENGTH, len(SPECIALS))
 _ENCODED = f"""
-enc AS (SELECT doc_id, len(t) AS n_tokens,
+enc AS (SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens,
   list_concat([{X.q(SPECIALS[0])}], CASE WHEN len(t) > {_BUDGET} THEN list_concat(t[1:{_HEAD}], t[-{_TAIL}:]) ELSE t END,
               [{X.q(SPECIALS[1])}]) AS ids
   FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents))"""

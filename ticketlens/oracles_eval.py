@@ -30,7 +30,8 @@ def _prf(tp: str = "tp", fp: str = "fp", fn: str = "fn", rnd: bool = True) -> st
 
 _BASE = "WITH " + _POS + "," + _TRUTH
 
-_COUNTS = "sum(t * p) AS tp, sum((1 - t) * p) AS fp, sum(t * (1 - p)) AS fn"
+_COUNTS = ("CAST(sum(t * p) AS BIGINT) AS tp, CAST(sum((1 - t) * p) AS BIGINT) AS fp, "
+           "CAST(sum(t * (1 - p)) AS BIGINT) AS fn")
 
 ORACLES["eval_micro"] = _BASE + f", c AS (SELECT {_COUNTS} FROM flags)\nSELECT tp, fp, fn, {_prf()} FROM c"
 
@@ -54,9 +55,9 @@ _SWEEP = _BASE + f"""
             FROM raw LEFT JOIN truth ON raw.vec_id = truth.vec_id AND raw.label = truth.label WHERE raw.pos < 30),
 grid AS (SELECT CAST(i AS DOUBLE) / {GRID_STEPS} AS threshold FROM range(0, {GRID_STEPS + 1}) r(i)),
 sw AS (SELECT taxonomy, threshold,
-  sum(CASE WHEN score >= threshold AND is_true = 1 THEN 1 ELSE 0 END) AS tp,
-  sum(CASE WHEN score >= threshold AND is_true = 0 THEN 1 ELSE 0 END) AS fp,
-  sum(CASE WHEN score < threshold AND is_true = 1 THEN 1 ELSE 0 END) AS fn
+  CAST(sum(CASE WHEN score >= threshold AND is_true = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+  CAST(sum(CASE WHEN score >= threshold AND is_true = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  CAST(sum(CASE WHEN score < threshold AND is_true = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn
   FROM marked, grid GROUP BY taxonomy, threshold),
 scored AS (SELECT taxonomy, threshold, tp, fp, fn, {_prf(rnd=False)} FROM sw)
 """
