@@ -41,17 +41,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from the session; only when it is unset (local runs, tests) a folder
-    of our own is set, so lineage cuts and written tables have a home.
+    Read from the session (``spark.checkpoint.dir`` or the context's setting);
+    only when it is unset (local runs, tests) a folder of our own is set, so
+    written tables and stream checkpoints have a home.
     """
-    current = spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session: no context to ask or set
+        sc = None
+    if not current and sc is not None:
+        current = sc.getCheckpointDir()
     if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if not current:
-            current = tempfile.mkdtemp(prefix="ticketlens-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", current)
-        spark.sparkContext.setCheckpointDir(current)
-        current = spark.sparkContext.getCheckpointDir() or current
+        current = tempfile.mkdtemp(prefix="ticketlens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+        if sc is not None:
+            sc.setCheckpointDir(current)
     return current
 
 
