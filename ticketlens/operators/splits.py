@@ -4,6 +4,10 @@ Cut points are linear-interpolated quantiles of the rows' creation instants;
 a group goes to the latest split its newest row reaches, so no group crosses
 splits.
 
+Only groups that span a cut can move a row to a later split, so the wide rows
+join just those groups -- broadcast when a count proves them few, which keeps
+the text out of any shuffle (see ``assign_splits``).
+
 Exact quantiles at scale: ``percentile`` keeps every distinct value in one
 aggregation buffer, which does not survive a third of 100 TB landing on a
 single day. Instead the needed order statistics are located by drilling down
@@ -115,42 +119,37 @@ def split_cutoffs(values: DataFrame, col: str, fractions: dict[str, float]) -> D
 
 
 def group_latest(rows: DataFrame, group_col: str, ts_col: str) -> DataFrame:  # G2 / J4
-    """Newest instant and row count per group (partial aggregation before the shuffle)."""
-    return rows.groupBy(group_col).agg(F.max(ts_col).alias("group_latest_us"), F.count(F.lit(1)).alias("group_rows"))
+    """Earliest and newest instant and row count per group (partial aggregation first)."""
+    return rows.groupBy(group_col).agg(
+        F.min(ts_col).alias("group_earliest_us"),
+        F.max(ts_col).alias("group_latest_us"),
+        F.count(F.lit(1)).alias("group_rows"),
+    )
 
 
-# A group with more rows than this is "hot": its rows are spread over SALTS
-# join partitions instead of landing in one task. The hot set holds at most
-# rows / HOT_GROUP_ROWS groups, so it is broadcast with a proven bound.
+# Spanning groups are broadcast when a count shows at most this many
+# (about 40 bytes each); beyond it the lookup is a shuffle join.
+BROADCAST_GROUPS = 2_000_000
+# In that shuffle join, a group with more rows than this is "hot": its rows are
+# spread over SALTS partitions (the hot set holds at most rows / HOT_GROUP_ROWS
+# groups, so it is broadcast with a proven bound).
 HOT_GROUP_ROWS = 1_000_000
 SALTS = 64
 
 
-def join_group_latest(rows: DataFrame, group_col: str, ts_col: str, row_key: str,
-                      hot_group_rows: int = HOT_GROUP_ROWS, salts: int = SALTS) -> DataFrame:
-    """``rows`` with its group's newest instant, skew-safe.
-
-    The group table (one row per group) is computed once and written to the
-    shared checkpoint folder: it feeds both the hot-group test and the join,
-    and the lineage cut keeps a lost executor from recomputing it.
-    Without hot groups this is a plain equi-join. Otherwise rows of hot groups
-    get a deterministic salt (hash of ``row_key``: a recomputed task gets the
-    same salt) and only the hot groups' aggregate rows are replicated per salt.
-    """
-    spark = rows.sparkSession
-    path = scratch_path(spark, "group-latest")
-    group_latest(rows, group_col, ts_col).write.mode("errorifexists").parquet(path)
-    latest = spark.read.parquet(path)
-    hot = latest.where(F.col("group_rows") > hot_group_rows).select(group_col, F.lit(True).alias("_hot"))
-    if hot.isEmpty():
-        return rows.join(latest.select(group_col, "group_latest_us"), group_col)
+def _salted_left_join(rows: DataFrame, groups: DataFrame, group_col: str, row_key: str,
+                      hot_group_rows: int, salts: int) -> DataFrame:
+    """Left join on the group key; rows of hot groups get a deterministic salt
+    (hash of ``row_key``: a recomputed task gets the same salt) and only hot
+    groups' single rows are replicated per salt."""
+    hot = groups.where(F.col("group_rows") > hot_group_rows).select(group_col, F.lit(True).alias("_hot"))
     tagged = rows.join(F.broadcast(hot), group_col, "left")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(row_key)), F.lit(salts))).otherwise(F.lit(0))
     salted_rows = tagged.withColumn("_salt", salt.cast("int")).drop("_hot")
     fan_out = F.when(F.col("group_rows") > hot_group_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0)))
-    salted_latest = latest.select(group_col, "group_latest_us", F.explode(fan_out).alias("_salt"))
-    return salted_rows.join(salted_latest, [group_col, "_salt"]).drop("_salt")
+    salted = groups.select(group_col, "group_latest_us", F.explode(fan_out).alias("_salt"))
+    return salted_rows.join(salted, [group_col, "_salt"], "left").drop("_salt")
 
 
 def assign_splits(
@@ -161,31 +160,49 @@ def assign_splits(
     group_col: str = "split_group_id",
     row_key: str = "sample_id",
     hot_group_rows: int = HOT_GROUP_ROWS,
+    broadcast_groups: int = BROADCAST_GROUPS,
+    salts: int = SALTS,
 ) -> DataFrame:  # G3
     """Add ``final_split``; cuts come from rows, membership from groups.
 
-    The cut values enter as one scalar subquery, the group latest as an
-    aggregate joined back on the group key, with hot groups salted
-    (``join_group_latest``) so no group is pinned to one task.
+    A group's split is decided by its newest row. For a group whose rows all
+    lie on the same side of each cut, every row's own instant already gives
+    that split; only groups that *span* a cut can promote a row. So:
+
+    1. the two cut values are computed (bounded drill-down) and collected --
+       two numbers, used as literals;
+    2. the spanning groups (usually few) are aggregated once, with partial
+       aggregation, and written to the shared checkpoint folder;
+    3. when a count proves them small they are broadcast and the wide rows
+       are never shuffled; otherwise the rows take a shuffle join, salted for
+       hot groups.
     """
     check_fractions(validation_fraction, lockbox_fraction)
-    cuts = split_cutoffs(rows, ts_col, cut_fractions(validation_fraction, lockbox_fraction))
-    # Both cuts come from one scalar subquery referenced once (every reference
-    # of a subquery is executed). The split is the number of cuts reached
-    # (quantiles are monotone in the fraction, so validation <= lockbox):
-    # with cuts doubled and the instant mapped to 2*t+1, its position in the
-    # sorted triple counts the cuts c with c <= t, ties included.
-    doubled = cuts.agg(
-        F.array(
-            2 * F.max(F.when(F.col("name") == "validation", F.col("cut_us"))),
-            2 * F.max(F.when(F.col("name") == "lockbox", F.col("cut_us"))),
-        ).alias("cuts")
-    ).scalar()
-    joined = join_group_latest(rows, group_col, ts_col, row_key, hot_group_rows)
-    probe = 2 * F.col("group_latest_us") + 1
-    reached = F.array_position(F.sort_array(F.concat(doubled, F.array(probe))), probe) - 1
-    split = F.element_at(F.array(*[F.lit(n) for n in SPLIT_NAMES]), reached.cast("int") + 1)
-    return joined.withColumn("final_split", split)
+    spark = rows.sparkSession
+    fractions = cut_fractions(validation_fraction, lockbox_fraction)
+    cuts = {r["name"]: r["cut_us"] for r in split_cutoffs(rows, ts_col, fractions).collect()}
+    if len(cuts) != len(fractions) or None in cuts.values():
+        raise ValueError("No supported labeled issues were collected")
+    v_cut, l_cut = cuts["validation"], cuts["lockbox"]
+
+    groups = group_latest(rows, group_col, ts_col)
+    early, late = F.col("group_earliest_us"), F.col("group_latest_us")
+    spans = ((early < v_cut) & (late >= v_cut)) | ((early < l_cut) & (late >= l_cut))
+    path = scratch_path(spark, "spanning-groups")
+    groups.where(spans).select(group_col, "group_latest_us", "group_rows").write.mode("errorifexists").parquet(path)
+    spanning = spark.read.parquet(path)
+
+    if spanning.count() <= broadcast_groups:
+        joined = rows.join(F.broadcast(spanning.select(group_col, "group_latest_us")), group_col, "left")
+    else:
+        joined = _salted_left_join(rows, spanning, group_col, row_key, hot_group_rows, salts)
+    latest = F.coalesce(F.col("group_latest_us"), F.col(ts_col))
+    split = (
+        F.when(latest >= F.lit(l_cut), F.lit(SPLIT_NAMES[2]))
+        .when(latest >= F.lit(v_cut), F.lit(SPLIT_NAMES[1]))
+        .otherwise(F.lit(SPLIT_NAMES[0]))
+    )
+    return joined.withColumn("group_latest_us", latest).withColumn("final_split", split)
 
 
 def split_manifest(dataset: DataFrame, group_col: str = "split_group_id") -> DataFrame:  # G4 / K2

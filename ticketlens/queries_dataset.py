@@ -274,7 +274,8 @@ def split_cutoffs(spark, sf_dir):
 def group_latest(spark, sf_dir):
     """Newest creation instant and size of each split group."""
     rows = _rows(spark, sf_dir)
-    return SP.group_latest(rows, "split_group_id", "created_us").withColumnRenamed("group_rows", "rows")
+    groups = SP.group_latest(rows, "split_group_id", "created_us")
+    return groups.select("split_group_id", "group_latest_us", F.col("group_rows").alias("rows"))
 
 
 @query("assign_splits")
