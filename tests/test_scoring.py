@@ -144,3 +144,21 @@ def test_aligned_postprocess_equals_general_form(spark, catalog):
                          PP.postprocess_aligned(F.col("p"), catalog).alias("b")).collect()
     for r in rows:
         assert r["a"] == r["b"]
+
+
+def test_scorer_closure_unpickles_without_the_package(catalog, tmp_path):
+    """Executors may not have this package importable: scorer closures carry plain data."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "scorer.pkl").write_bytes(cloudpickle.dumps(S.create_scorer("development", catalog)))
+    code = ("import pickle, sys, pandas as pd; f = pickle.load(open(sys.argv[1], 'rb')); "
+            "print(f(pd.Series(['kubelet bug', None])).shape)")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    res = subprocess.run([sys.executable, "-c", code, str(tmp_path / "scorer.pkl")], cwd=tmp_path,
+                         capture_output=True, text=True, env=env, timeout=120)
+    assert res.returncode == 0, res.stderr[-2000:]
+    assert res.stdout.strip() == f"(2, {len(catalog.labels)})"

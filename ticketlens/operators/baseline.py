@@ -36,7 +36,7 @@ def fit_features(train: DataFrame, text_col: str = "model_input") -> PipelineMod
 
 
 def fit_label_models(train: DataFrame, targets: Sequence[str], max_iter: int = 25, reg: float = 0.01,
-                     parallelism: int = 8) -> dict:
+                     parallelism: int = 4) -> dict:
     """One LogisticRegression per target column (0/1), fitted concurrently."""
     feats = train.select("features", *targets).persist(StorageLevel.MEMORY_AND_DISK)
 

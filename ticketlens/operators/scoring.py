@@ -101,18 +101,22 @@ def explode_predictions(df: DataFrame, id_cols: list[str], col: str = "predictio
 
 BatchScorer = Callable[[pd.Series], np.ndarray]  # texts -> (n, n_labels) scores
 
+# Scorers run inside Python workers: their closures hold plain data only
+# (tuples, dicts, numbers), so unpickling them never needs this package.
+
 
 def development_batch_scorer(catalog: LabelCatalog) -> BatchScorer:
-    table = _keywords_for(catalog)
+    words = [tuple(ws) for ws in _keywords_for(catalog).values()]  # catalog order
+    hit_score, miss_score = float(KEYWORD_MATCH_SCORE), float(KEYWORD_MISS_SCORE)
 
     def score(texts: pd.Series) -> np.ndarray:
         lowered = texts.fillna("").str.lower()
-        out = np.full((len(texts), len(catalog.labels)), KEYWORD_MISS_SCORE)
-        for j, label in enumerate(catalog.labels):
+        out = np.full((len(texts), len(words)), miss_score)
+        for j, label_words in enumerate(words):
             hit = np.zeros(len(texts), dtype=bool)
-            for word in table[label]:
+            for word in label_words:
                 hit |= lowered.str.contains(word, regex=False).to_numpy()
-            out[hit, j] = KEYWORD_MATCH_SCORE
+            out[hit, j] = hit_score
         return out
 
     return score
@@ -125,6 +129,7 @@ def onnx_batch_scorer(catalog: LabelCatalog, model_path: str, encode: Callable[[
     lazily once per Python worker, not per batch or row.
     """
     state: dict = {}
+    width = len(catalog.labels)
 
     def score(texts: pd.Series) -> np.ndarray:
         if "session" not in state:
@@ -132,7 +137,7 @@ def onnx_batch_scorer(catalog: LabelCatalog, model_path: str, encode: Callable[[
 
             state["session"] = ort.InferenceSession(model_path)
         logits = state["session"].run(None, encode(texts))[0]
-        if logits.shape[1] != len(catalog.labels):
+        if logits.shape[1] != width:
             raise ValueError("model output width differs from the catalog")
         return 1.0 / (1.0 + np.exp(-logits.astype(np.float64)))
 
