@@ -108,12 +108,26 @@ def label_mention_pattern(labels: Iterable[str]) -> str | None:
 # where possible and avoid Java's slow Unicode mode.
 
 
-def _when_contains(text: Column, needle: str, step) -> Column:
-    """``step(text)`` if ``text`` contains ``needle``, else ``text`` (one read of ``text``)."""
-    guarded = F.transform(F.array(text), lambda v: F.when(v.contains(needle), step(v)).otherwise(v))
+def _when_contains(text: Column, needle, step) -> Column:
+    """``step(text)`` if ``text`` contains ``needle`` (or any of several), else
+    ``text`` -- one read of ``text``."""
+    needles = (needle,) if isinstance(needle, str) else tuple(needle)
+
+    def found(v):
+        cond = v.contains(needles[0])
+        for n in needles[1:]:
+            cond = cond | v.contains(n)
+        return cond
+
+    guarded = F.transform(F.array(text), lambda v: F.when(found(v), step(v)).otherwise(v))
     return F.element_at(guarded, 1)
 
 
+# Every label-mention form holds one of these: "/" (tax/name, kubernetes/sig-),
+# "%" (tax%2Fname) or one of "-_:" (tax-name, tax_name, tax:name).
+LABEL_MENTION_CHARS = ("/", "%", "-", "_", ":")
+
+
 def blank_if_null(text: Column) -> Column:  # T0
     return F.coalesce(text, F.lit(""))
 
@@ -137,7 +151,9 @@ def strip_inline_commands(text: Column) -> Column:  # T5
 
 def mask_label_mentions(text: Column, labels: Iterable[str]) -> Column:  # T6
     pattern = label_mention_pattern(labels)
-    return text if pattern is None else F.regexp_replace(text, pattern, " ")
+    if pattern is None:
+        return text
+    return _when_contains(text, LABEL_MENTION_CHARS, lambda v: F.regexp_replace(v, pattern, " "))
 
 
 def strip_md_images(text: Column) -> Column:  # T7
