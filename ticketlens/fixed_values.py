@@ -83,7 +83,6 @@ DRY_RUN_SCORE_DIGITS = 4
 
 # --- fixed values: shipped model bundle ------------------------------------
 
-MODEL_NAME = "kubetag-deberta-v3-large"
 MODEL_VERSION = "1.0.0"
 MODEL_BACKEND = "transformer"
 MODEL_MAX_LENGTH = 512
