@@ -26,6 +26,19 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def process_cache(name: str) -> dict:
+    """A dictionary that lives as long as the worker process.
+
+    Functions travel to workers by value, so a global of this folder would be
+    new in every task.
+    """
+    import sys
+    import types
+
+    holder = sys.modules.setdefault("_ticketlens_process_cache", types.ModuleType("_ticketlens_process_cache"))
+    return vars(holder).setdefault(f"cache_{name}", {})
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` evaluated once per row.
 

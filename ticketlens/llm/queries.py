@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm import (
-    chat_format, classifier, decontaminate, line_dedup, quality_rules, sentencepieces, sharding, simhash, wrapper,
+    chat_format, classifier, decontaminate, line_dedup, quality_rules, sentencepieces, sharding, simhash,
+    suffix_dedup, wrapper,
 )
 from ticketlens.llm.common import exactly, table
 from ticketlens.session import prepare
@@ -46,6 +47,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without its 50-byte strings of earlier documents."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed boilerplate lines, digest of what remains."""

@@ -38,6 +38,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ticketlens.llm.common import process_cache
+
 SPACE = "▁"
 #: Longest vocabulary that is broadcast, in bytes of text.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -300,15 +302,13 @@ class Encoder:
         return (spaced.replace("\n", " \n ") if self.line_end_alone else spaced).split(" ")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder_of(key: int, vocabulary: Vocabulary) -> Encoder:
     """The encoder of a broadcast vocabulary, kept by the worker process from task to task."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary)
-    return _ENCODERS[key]
+    known = process_cache("encoders")
+    if key not in known:
+        known.clear()
+        known[key] = Encoder(vocabulary)
+    return known[key]
 
 
 def decoder(vocabulary: Vocabulary):
