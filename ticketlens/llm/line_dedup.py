@@ -92,19 +92,19 @@ def dedup(
     bad = written(spark, boilerplate(lines, min_sites), "boilerplate")
     found = lines.join(bad, "h", "left_semi").select("h", F.struct("doc", "row_key", "pos").alias("at"))
     firsts = found.groupBy("h").agg(F.min("at").alias("first"))
+    tag = uuid.uuid4().hex[:8]  # names no column of the input has
+    doc, key, name = f"doc_{tag}", f"key_{tag}", f"removed_{tag}"
     removed = (
         found.join(firsts, "h").filter(~F.col("at").eqNullSafe(F.col("first")))
-        .groupBy(F.col("at.doc").alias("_doc"), F.col("at.row_key").alias("_key"))
-        .agg(F.array_sort(F.collect_set("at.pos")).alias("_removed"))
+        .groupBy(F.col("at.doc").alias(doc), F.col("at.row_key").alias(key))
+        .agg(F.array_sort(F.collect_set("at.pos")).alias(name))
     )
     removed = written(spark, removed, "removed-lines")
-    name = f"removed_{uuid.uuid4().hex[:8]}"
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    joined = docs.join(removed, d.eqNullSafe(F.col("_doc")) & (_row_key(d, t) == F.col("_key")), "left")
-    cut = _without()(F.when(F.col("_removed").isNotNull(), t), F.col("_removed"))
+    joined = docs.join(removed, d.eqNullSafe(F.col(doc)) & (_row_key(d, t) == F.col(key)), "left")
+    cut = _without()(F.when(F.col(name).isNotNull(), t), F.col(name))
     out = joined.select(
-        *[F.coalesce(cut, t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.col("_removed").alias(name),
+        *[F.coalesce(cut, t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col(name)
     )
     return out, name
 

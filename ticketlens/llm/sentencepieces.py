@@ -35,7 +35,9 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.llm.common import process_cache
@@ -353,9 +355,7 @@ def encode(
     extra = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if round_trip:
         extra.append(T.StructField(round_trip, T.BooleanType()))
-    clash = {f.name for f in extra} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs = docs.drop(*[f.name for f in extra if f.name != text])
     at = docs.columns.index(text)
     key = hash((vocabulary.pieces, vocabulary.scores))
 
@@ -384,9 +384,6 @@ def encode(
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``df`` plus the decoded text of a column of token ids."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("string")
