@@ -34,11 +34,11 @@ def test_cut_points_are_literals_and_rows_are_not_shuffled(plans):
 
 
 def test_cleaning_runs_once_per_field(plans):
-    # one NFKC pass for title+body, one for the title key; explode must not
-    # re-evaluate the cleaned text through an inferred filter
-    assert plans["score_keywords"].count("ArrowEvalPython") <= 2
-    assert plans["dry_run_report"].count("ArrowEvalPython") <= 1
-    assert plans["build_dataset"].count("ArrowEvalPython") <= 4
+    # one NFKC and one markdown pass for title+body, one NFKC pass for the title
+    # key; explode must not re-evaluate the cleaned text through an inferred filter
+    assert plans["score_keywords"].count("ArrowEvalPython") <= 3
+    assert plans["dry_run_report"].count("ArrowEvalPython") <= 2
+    assert plans["build_dataset"].count("ArrowEvalPython") == 0  # reads the cleaned rows it wrote
 
 
 def test_threshold_sweep_has_no_nested_loop_join(plans):

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 # --- fixed values: text contract -------------------------------------------
 
-PREPROCESSING_VERSION = "kubetag-text-v3"
+#: Version of the text contract that our own bundles carry; the loader takes the expected one as a parameter.
+TEXT_CONTRACT_VERSION = "text-v3"
 
 # Triage bot command names (43), alphabetical.
 TRIAGE_COMMANDS = (
@@ -68,9 +69,7 @@ DATASET_TAXONOMY_PREFIXES = ("area/", "kind/", "sig/")
 SPLIT_NAMES = ("train", "validation", "lockbox")
 SPLIT_METHOD = "grouped_creation_time_chronological_strict"
 DEFAULT_REPOSITORY = "kubernetes/kubernetes"
-ISSUE_URL_FORMAT = "https://github.com/{repository}/issues/{number}"
 SAMPLE_ID_PREFIX = "github_issue_"
-GROUP_ID_PREFIX = "grp_"
 URL_PLACEHOLDER = "<URL>"
 ISSUE_REF_PLACEHOLDER = "<ISSUE_REF>"
 MIN_MAX_LENGTH = 8
@@ -86,7 +85,6 @@ DRY_RUN_SCORE_DIGITS = 4
 MODEL_VERSION = "1.0.0"
 MODEL_BACKEND = "transformer"
 MODEL_MAX_LENGTH = 512
-THRESHOLD_STRATEGY = "taxonomy"
 
 # Label catalog in model output order: (label, taxonomy, threshold).
 # Thresholds are the float32 images stored with the model.
@@ -137,12 +135,3 @@ DEVELOPMENT_KEYWORDS = (
     ("area/provider", ("provider", "cloud")),
     ("area/security", ("security", "cert")),
 )
-
-# Published validation metrics of the selected model run.
-PUBLISHED_METRICS = {
-    "micro_f1": 0.7982285208148804,
-    "macro_f1": 0.5486566099040322,
-    "exact_match": 0.4767025089605735,
-    "micro_precision": 0.8350630096367679,
-    "micro_recall": 0.7645062775704106,
-}

@@ -1,19 +1,24 @@
 """Text contract: cleaning of issue titles and bodies as Column expressions.
 
 Every function maps a Column to a Column, so the same code runs in batch and
-streaming plans and stays inside whole-stage codegen. Only Unicode NFKC needs
-Python (see ``unicode.py``); it is applied to non-ASCII values only.
+streaming plans. The steps are built-in expressions but for Unicode NFKC
+(``unicode.py``, non-ASCII values only) and markdown links (``markdown.py``,
+values with ``](`` only), which are Arrow-batched. Steps guarded by a lambda
+run interpreted, outside whole-stage codegen; that costs less than sending
+every value through the regex engine.
+
+Every step is linear in its text, also on hostile input (unclosed brackets,
+comments, tags, runs of backticks), without any length limit.
 
 Patterns are Java regular expressions. Notes on the choices:
 
-* ``(?U)`` gives Unicode ``\\d`` and ``\\b`` (and Unicode case folding), which
-  is what the text contract means by digit and word boundary; it is used only
-  where those appear, being the slow mode.
+* A word boundary after a command, a number or a hex word is spelled out as "no
+  letter, number or underscore follows": Java's ``\\b`` also counts combining
+  marks as word characters, the contract does not.
+* ``(?iu)`` gives Unicode case folding; a digit is ``\\p{Nd}``.
 * Whitespace is the contract's own set (Python's ``str.isspace``: it includes
   U+001C..U+001F, which Java's ``\\s`` does not), spelled out as a class.
 * ``(?d)`` makes ``\\n`` the only line terminator for ``^`` and ``$``.
-* Markdown link/image targets use possessive loops: the backtracking form
-  overflows the JVM regex stack on long targets and takes the executor down.
 """
 
 from __future__ import annotations
@@ -28,6 +33,12 @@ from ticketlens.fixed_values import (
     TRIAGE_COMMANDS,
     URL_PLACEHOLDER,
 )
+from ticketlens.functions.markdown import (
+    images_and_links_to_text,
+    images_and_links_to_text_unguarded,
+    images_to_text,
+    links_to_text,
+)
 from ticketlens.functions.unicode import nfkc
 
 # Whitespace as the text contract means it (Python's str.isspace), derived by
@@ -52,26 +63,25 @@ def command_alternation(commands: Iterable[str] = TRIAGE_COMMANDS) -> str:
 
 _CMDS = command_alternation()
 
-# T2..T15 patterns (Java). (?U) only where \b or \d must be Unicode-aware;
-# (?iu) where case folding must be Unicode-aware.
+# T2..T15 patterns (Java). (?iu) where case folding must be Unicode-aware.
+WORD = r"[\p{L}\p{N}_]"
+WORD_ENDS = r"(?!" + WORD + ")"
 CRLF = r"\r\n?"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 COMMAND_LINE = (
-    r"(?imdU)^[ \t]*+(?:>[ \t]*+)*+"
-    r"(?:(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)?"
-    r"`{0,3}[ \t]*/(?:" + _CMDS + r")\b[^\n]*(?:\n|$)"
+    r"(?imdu)^[ \t]*+(?:>[ \t]*+)*+"
+    r"(?:(?:[-*+]|\p{Nd}+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)?"
+    r"`{0,3}[ \t]*/(?:" + _CMDS + r")" + WORD_ENDS + r"[^\n]*(?:\n|$)"
 )
-INLINE_COMMAND = r"(?iU)`+[ \t]*/(?:" + _CMDS + r")\b[^`\r\n]*`+"
-_LINK_TARGET = r"\((?:[^()]++|\([^)]*\))*+\)"
-MD_IMAGE = r"!\[" + WS + r"*+([^\]]*?)" + WS + r"*\]" + _LINK_TARGET
-MD_LINK = r"\[(?=[^\]])" + WS + r"*+([^\]]*?)" + WS + r"*\]" + _LINK_TARGET
-HTML_BR = r"(?iu)<br" + WS + r"*/?>"
-HTML_TAG = r"<[^>]+>"
+# A run of backticks is entered at its start only and taken whole.
+INLINE_COMMAND = r"(?iu)(?<!`)`++[ \t]*+/(?:" + _CMDS + r")" + WORD_ENDS + r"[^`\r\n]*+`++"
+HTML_BR = r"(?iu)<br" + WS + r"*+/?>"
+HTML_TAG = r"<[^>]++>"
 RAW_URL = r"(?iu)https?://[^" + _WS_BODY + r"<>()\]]+"
 # '#' first so most positions fail on one char; the look-behind then checks
 # the character before the '#'.
-ISSUE_REF = r"(?U)#(?<![A-Za-z0-9]#)\d+\b"
-EMPTY_BRACKETS = r"\[" + WS + r"*\]|\(" + WS + r"*\)"
+ISSUE_REF = r"#(?<![A-Za-z0-9]#)\p{Nd}++" + WORD_ENDS
+EMPTY_BRACKETS = r"\[" + WS + r"*+\]|\(" + WS + r"*+\)"
 # Runs of two or more blanks, or any run with a tab (a lone space is kept as is).
 SPACE_RUN = r"\t[ \t]*| [ \t]+"
 CONTROL = r"[\x00-\x08\x0B-\x1F]"
@@ -96,7 +106,7 @@ def label_mention_pattern(labels: Iterable[str]) -> str | None:
         branches.append(f"{java_quote(taxonomy)}(?:/|%2[fF]|[-_:])(?:{names})")
         if taxonomy == "sig":
             branches.append(f"@?kubernetes/sig-(?:{names})(?:-[a-z0-9-]+)?")
-    return r"(?iU)(?<![A-Za-z0-9])(?:" + "|".join(branches) + r")(?![A-Za-z0-9])"
+    return r"(?iu)(?<![A-Za-z0-9])(?:" + "|".join(branches) + r")(?![A-Za-z0-9])"
 
 
 # --- single steps (T0..T15) -------------------------------------------------
@@ -137,8 +147,18 @@ def normalize_newlines(text: Column) -> Column:  # T2
     return _when_contains(no_cr, "\x00", lambda v: F.regexp_replace(v, r"\x00", " "))
 
 
+def _up_to_last(text: Column, closing: str, step) -> Column:
+    """``step`` on the text up to the last ``closing``: beyond it nothing can match,
+    and before it every opening finds its end, so no search runs to the end in vain."""
+    tail = F.substring_index(text, closing, -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+    return F.concat(step(head), tail)
+
+
 def strip_html_comments(text: Column) -> Column:  # T3
-    return _when_contains(text, "<!--", lambda v: F.regexp_replace(v, HTML_COMMENT, " "))
+    return _when_contains(
+        text, "<!--", lambda v: _up_to_last(v, "-->", lambda h: F.regexp_replace(h, HTML_COMMENT, " "))
+    )
 
 
 def strip_command_lines(text: Column) -> Column:  # T4
@@ -157,19 +177,22 @@ def mask_label_mentions(text: Column, labels: Iterable[str]) -> Column:  # T6
 
 
 def strip_md_images(text: Column) -> Column:  # T7
-    # Every match contains "](": text of many "![" without it never reaches the
-    # (quadratic on unclosed brackets) regex.
-    return _when_contains(text, "](", lambda v: F.regexp_replace(v, MD_IMAGE, "$1"))
+    return images_to_text(text)
 
 
 def strip_md_links(text: Column) -> Column:  # T8
-    return _when_contains(text, "](", lambda v: F.regexp_replace(v, MD_LINK, "$1"))
+    return links_to_text(text)
+
+
+def strip_md(text: Column) -> Column:  # T7 + T8
+    return images_and_links_to_text(text)
 
 
 def strip_html(text: Column) -> Column:  # T9 + T10
-    return _when_contains(
-        text, "<", lambda v: F.regexp_replace(F.regexp_replace(v, HTML_BR, "\n"), HTML_TAG, " ")
-    )
+    def tags(v):
+        return F.regexp_replace(F.regexp_replace(v, HTML_BR, "\n"), HTML_TAG, " ")
+
+    return _when_contains(text, "<", lambda v: _up_to_last(v, ">", tags))
 
 
 def mask_urls(text: Column) -> Column:  # T11
@@ -214,8 +237,7 @@ def steps(labels: Iterable[str] = ()) -> list:
         strip_command_lines,
         strip_inline_commands,
         lambda c: mask_label_mentions(c, labels),
-        strip_md_images,
-        strip_md_links,
+        strip_md,
         strip_html,
         mask_urls,
         mask_issue_refs,
@@ -230,7 +252,7 @@ def clean_field(text: Column, labels: Iterable[str] = ()) -> Column:  # T16
     """The whole cleaning contract, T0..T15 in order, as one expression."""
     value = nfkc(blank_if_null(text))
     for step in steps(labels):
-        value = step(value)
+        value = (images_and_links_to_text_unguarded if step is strip_md else step)(value)
     return value
 
 
@@ -260,9 +282,9 @@ def model_input(clean_title: Column, clean_body: Column) -> Column:  # T17
 
 TITLE_KEY_STEPS = [
     lambda c: F.lower(nfkc(c)),
-    lambda c: F.regexp_replace(c, r"(?U)https?://\S+", " "),
-    lambda c: F.regexp_replace(c, r"(?U)\b[0-9a-f]{8,}\b", " "),
-    lambda c: F.regexp_replace(c, r"(?U)\d+", " "),
+    lambda c: F.regexp_replace(c, r"https?://[^" + _WS_BODY + "]+", " "),
+    lambda c: F.regexp_replace(c, r"(?<!" + WORD + r")[0-9a-f]{8,}+" + WORD_ENDS, " "),
+    lambda c: F.regexp_replace(c, r"\p{Nd}+", " "),
     lambda c: F.trim(F.regexp_replace(c, r"[^a-z0-9]+", " ")),
 ]
 
@@ -283,7 +305,8 @@ def add_title_key(df: DataFrame, source: str, name: str) -> DataFrame:  # T18, o
 def split_group_id(key: Column, number: Column) -> Column:  # T19
     """``grp_`` + 16 hex of SHA-256 of the key (``issue-<n>`` for an empty key).
 
-    ``key`` is referenced once, so an expensive key expression runs once.
+    ``key`` is referenced once, so an expensive key expression runs once. An
+    issue with neither key nor number cannot be built (``invalid_issues``).
     """
     seed = F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("issue-"), number.cast("string")))
     gid = F.concat(F.lit("grp_"), F.substring(F.sha2(seed, 256), 1, 16))

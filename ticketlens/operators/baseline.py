@@ -21,6 +21,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NUM_FEATURES = 1 << 18
+#: Rows the models are fitted on at most (those of the smallest hash of their id); every row is scored.
+MAX_FIT_ROWS = 50_000
+
+
+def fit_sample(train: DataFrame, id_col: str, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """At most ``max_rows`` training rows, a fixed choice: by the hash of the id."""
+    return train.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+
+
+def sparse_tfidf(rows: DataFrame, train: DataFrame, id_col: str = "sample_id", text_col: str = "model_input") -> DataFrame:
+    """(id, term, tf, weight) with weight = tf * ln((n + 1) / (df + 1)), n and df counted on ``train``.
+
+    Terms are counted per row by aggregation (a frequent word is one partial row
+    per task); a term no training row holds gets df = 0.
+    """
+
+    def terms(df: DataFrame) -> DataFrame:
+        tokens = F.filter(F.split(F.lower(text_col), r"\W+"), lambda t: t != "")
+        return df.select(id_col, F.explode(tokens).alias("term"))
+
+    tf = terms(rows).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    df_ = terms(train).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = train.count()
+    idf = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
+    return tf.join(df_, "term", "left").select(id_col, "term", "tf", (F.col("tf") * idf).alias("weight"))
 
 
 def tfidf_pipeline(text_col: str = "model_input") -> Pipeline:

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketlens.functions.arrays import explode_computed
+
 GRID_STEPS = 40  # thresholds i / 40 for i = 0..40 (a 0.025 grid)
 
 
@@ -102,15 +104,21 @@ def grid_bucket(score: Column) -> Column:
     return F.least(F.greatest(b, F.lit(-1)), F.lit(GRID_STEPS)).cast("int")
 
 
-def threshold_sweep(scored: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
+def threshold_sweep(scored: DataFrame, truth: DataFrame, keys: Sequence[str], predictions: str = "predictions") -> DataFrame:
     """Micro P/R/F1 per (taxonomy, threshold) on the 0.025 grid.
 
-    ``scored``: (keys..., label, taxonomy, score); ``truth``: (keys..., label).
+    ``scored``: (keys..., predictions array of label, taxonomy, score), one row
+    per item; ``truth``: (keys..., label), where repeated pairs count once. One
+    row per item meets its set of true labels; the pairs are exploded after that
+    and only counted, so the grid and the labels never go through a shuffle.
     """
     keys = list(keys)
-    marked = scored.join(truth.select(*keys, "label", F.lit(1).alias("is_true")), [*keys, "label"], "left")
-    marked = marked.select("taxonomy", grid_bucket(F.col("score")).alias("bucket"),
-                           F.coalesce("is_true", F.lit(0)).alias("is_true"))
+    true_sets = truth.groupBy(*keys).agg(F.collect_set("label").alias("_true"))  # bounded by the catalog
+    met = scored.join(true_sets, keys, "left")
+    pairs = F.transform(predictions, lambda p: F.struct(
+        p["taxonomy"].alias("taxonomy"), grid_bucket(p["score"]).alias("bucket"),
+        F.coalesce(F.array_contains("_true", p["label"]), F.lit(False)).cast("int").alias("is_true")))
+    marked = explode_computed(met, [], pairs, "p").select("p.*")
     buckets = marked.groupBy("taxonomy", "bucket").agg(
         F.sum("is_true").alias("n_true"), F.sum(1 - F.col("is_true")).alias("n_false"))
     totals = marked.groupBy("taxonomy").agg(F.sum("is_true").alias("total_true"))

@@ -3,10 +3,10 @@
 Two shapes of the same contract:
 
 * per issue, on the ``predictions`` array: catalog membership, taxonomy check,
-  threshold and order are map lookups on the (size-checked) catalog inlined as
-  literals -- no join, no shuffle;
-* long form, a table of predictions: a broadcast join with the catalog
-  DataFrame (bounded by ``MAX_LABELS``), plus the rejected rows for audit.
+  threshold and order are map lookups on the catalog inlined as literals -- no
+  join, no shuffle;
+* long form, a table of predictions: a join with the catalog DataFrame (driver
+  configuration), plus the rejected rows for audit.
 """
 
 from __future__ import annotations
@@ -106,27 +106,40 @@ def rejected_predictions(predictions: DataFrame, catalog: LabelCatalog, spark: S
     )
 
 
-# Repository label sets are broadcast when there are at most this many
-# repositories (checked with a count). Each set is cut to catalog labels
-# first, so a broadcast row is bounded by the catalog size; beyond the limit
-# the join is a shuffle join whose hot repository AQE's skew join splits.
-BROADCAST_REPOSITORIES = 200_000
+# Repository label sets are broadcast while all their labels together are at
+# most this many (about 30 bytes each); they are cut to catalog labels first.
+BROADCAST_LABELS = 2_000_000
+# Beyond that the join is a shuffle join; a repository with more events than
+# this has them spread over SALTS partitions.
+HOT_REPOSITORY_ROWS = 1_000_000
+SALTS = 64
 
 
 def missing_repo_labels(plans: DataFrame, repo_labels: DataFrame, catalog: LabelCatalog,
-                        broadcast_limit: int = BROADCAST_REPOSITORIES) -> DataFrame:  # J3
+                        broadcast_labels: int = BROADCAST_LABELS, hot_rows: int = HOT_REPOSITORY_ROWS,
+                        salts: int = SALTS) -> DataFrame:  # J3
     """Attach ``missing_labels``: chosen labels absent from the repository.
 
     ``repo_labels`` is one row per (owner, repo) with its label set. When one
-    repository carries most events (the usual case), its key would be one
-    hot partition: the (catalog-cut) label sets are therefore broadcast when
-    a count proves them small, so every event task looks its repository up
-    locally.
+    repository carries most events (the usual case), its key would be one hot
+    partition: the label sets are therefore broadcast when their measured size
+    allows, and otherwise the hot repositories' events are salted.
     """
+    key = ["owner", "repo"]
     known = F.array(*[F.lit(x) for x in catalog.labels])
-    sets = repo_labels.select("owner", "repo", F.array_intersect("labels", known).alias("repo_label_set"))
-    if sets.count() <= broadcast_limit:
-        sets = F.broadcast(sets)
-    joined = plans.join(sets, ["owner", "repo"], "left")
+    sets = repo_labels.select(*key, F.array_intersect("labels", known).alias("repo_label_set"))
+    size = sets.agg(F.coalesce(F.sum(F.size("repo_label_set") + 1), F.lit(0)).alias("n")).first()["n"]
+    if size <= broadcast_labels:
+        joined = plans.join(F.broadcast(sets), key, "left")
+    elif plans.isStreaming:  # a micro-batch is bounded by its trigger
+        joined = plans.join(sets, key, "left")
+    else:
+        counted = plans.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        hot = counted.select(*key, F.lit(True).alias("_hot"))  # at most events / hot_rows repositories
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("issue_number", "title"), F.lit(salts))).otherwise(F.lit(0))
+        salted = plans.join(F.broadcast(hot), key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+        fan_out = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        spread = sets.join(F.broadcast(hot), key, "left").select(*key, "repo_label_set", F.explode(fan_out).alias("_salt"))
+        joined = salted.join(spread, [*key, "_salt"], "left").drop("_salt")
     missing = F.array_except(F.col("labels_to_apply"), F.coalesce(F.col("repo_label_set"), F.array().cast("array<string>")))
     return joined.withColumn("missing_labels", missing).drop("repo_label_set")

@@ -122,31 +122,8 @@ def development_batch_scorer(catalog: LabelCatalog) -> BatchScorer:
     return score
 
 
-def onnx_batch_scorer(catalog: LabelCatalog, model_path: str, encode: Callable[[pd.Series], dict]) -> BatchScorer:
-    """Scores from an ONNX sequence classifier (logits -> sigmoid).
-
-    ``encode`` turns texts into the model's input arrays. The session is built
-    lazily once per Python worker, not per batch or row.
-    """
-    state: dict = {}
-    width = len(catalog.labels)
-
-    def score(texts: pd.Series) -> np.ndarray:
-        if "session" not in state:
-            import onnxruntime as ort  # optional dependency, loaded on executors
-
-            state["session"] = ort.InferenceSession(model_path)
-        logits = state["session"].run(None, encode(texts))[0]
-        if logits.shape[1] != width:
-            raise ValueError("model output width differs from the catalog")
-        return 1.0 / (1.0 + np.exp(-logits.astype(np.float64)))
-
-    return score
-
-
 SCORERS: dict[str, Callable[..., BatchScorer]] = {
     "development": development_batch_scorer,
-    "onnx": onnx_batch_scorer,
 }
 
 
@@ -158,19 +135,20 @@ def create_scorer(name: str, catalog: LabelCatalog, **options) -> BatchScorer:
 
 
 def score_batch(df: DataFrame, text_col: str, id_cols: list[str], catalog: LabelCatalog, scorer: BatchScorer) -> DataFrame:
-    """Arrow batches through ``scorer``; output keeps ids and adds ``predictions``."""
-    labels, taxonomies = list(catalog.labels), list(catalog.taxonomies)
-    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in id_cols) + f", predictions {PREDICTION_TYPE}"
+    """Arrow batches through ``scorer``; output keeps ids and adds ``predictions``.
+
+    Python returns plain score arrays; labels and taxonomies are attached by position in the JVM.
+    """
+    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in id_cols) + ", scores array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            scores = scorer(pdf[text_col])
-            preds = [
-                [{"label": lab, "taxonomy": tax, "score": float(s)} for lab, tax, s in zip(labels, taxonomies, row)]
-                for row in scores
-            ]
             out = pdf[id_cols].copy()
-            out["predictions"] = preds
+            out["scores"] = list(scorer(pdf[text_col]))
             yield out
 
-    return df.select(*id_cols, text_col).mapInPandas(run, schema)
+    labels = F.array(*[F.lit(x) for x in catalog.labels])
+    taxonomies = F.array(*[F.lit(x) for x in catalog.taxonomies])
+    predictions = F.transform("scores", lambda x, i: F.struct(
+        F.element_at(labels, i + 1).alias("label"), F.element_at(taxonomies, i + 1).alias("taxonomy"), x.alias("score")))
+    return df.select(*id_cols, text_col).mapInPandas(run, schema).select(*id_cols, predictions.alias("predictions"))

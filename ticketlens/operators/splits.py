@@ -8,31 +8,24 @@ Only groups that span a cut can move a row to a later split, so the wide rows
 join just those groups -- broadcast when a count proves them few, which keeps
 the text out of any shuffle (see ``assign_splits``).
 
-Exact quantiles at scale: ``percentile`` keeps every distinct value in one
-aggregation buffer, which does not survive a third of 100 TB landing on a
-single day. Instead the needed order statistics are located by drilling down
-through buckets (day, then second, then microsecond): every level is a
-distributed count per bucket restricted to at most four parent buckets, so
-each level's table is bounded (days in the data span, 86,400 seconds,
-1,000,000 microseconds) regardless of row count or skew.
+The cut points come from exact order statistics (``order.py``): three counts,
+no join, no sort of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.fixed_values import SPLIT_NAMES
+from ticketlens.operators.order import values_at
 from ticketlens.session import scratch_path
 
-_LEVELS = (86_400_000_000, 1_000_000, 1)  # bucket widths in microseconds
-
-
 def check_fractions(validation_fraction: float, lockbox_fraction: float) -> None:
     if validation_fraction <= 0 or lockbox_fraction <= 0:
-        raise ValueError("Split fractions must be positive")
+        raise ValueError("both split fractions have to be above 0")
     if validation_fraction + lockbox_fraction >= 0.5:
-        raise ValueError("Validation and lockbox fractions are too large")
+        raise ValueError("at least half of the rows have to stay in train")
 
 
 def cut_fractions(validation_fraction: float, lockbox_fraction: float) -> dict[str, float]:
@@ -43,79 +36,32 @@ def cut_fractions(validation_fraction: float, lockbox_fraction: float) -> dict[s
     }
 
 
-def _rank_targets(bucket_counts: DataFrame, fractions: dict[str, float]) -> DataFrame:
-    """(name, which, rank, weight) for the lower/upper order statistic of each cut."""
-    total = bucket_counts.agg(F.sum("count").alias("n"))
-    spec = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(f)).alias("f")) for k, f in fractions.items()])
-    t = total.select("n", F.inline(spec))
-    pos = (F.col("n") - 1) * F.col("f")
-    t = t.select(
-        "name",
-        F.floor(pos).alias("lo"),
-        F.least(F.floor(pos) + 1, F.col("n") - 1).alias("hi"),
-        (pos - F.floor(pos)).alias("weight"),
-    )
-    return t.select(
-        "name",
-        "weight",
-        F.inline(F.array(
-            F.struct(F.lit("lo").alias("which"), F.col("lo").alias("rank")),
-            F.struct(F.lit("hi").alias("which"), F.col("hi").alias("rank")),
-        )),
-    )
-
-
-def _locate(counts: DataFrame, targets: DataFrame, parent: str | None) -> DataFrame:
-    """Find the bucket holding each target rank; ranks become bucket-relative."""
-    order = Window.orderBy("bucket") if parent is None else Window.partitionBy(parent).orderBy("bucket")
-    ranked = counts.withColumn("end", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("start", F.col("end") - F.col("count"))
-    cond = (F.col("t.rank") >= F.col("c.start")) & (F.col("t.rank") < F.col("c.end"))
-    if parent is not None:
-        cond = cond & (F.col("t.bucket") == F.col(f"c.{parent}"))
-    located = targets.alias("t").join(ranked.alias("c"), cond)
-    return located.select(
-        "t.name", "t.which", "t.weight",
-        (F.col("t.rank") - F.col("c.start")).alias("rank"),
-        F.col("c.bucket").alias("bucket"),
-    )
-
-
-def order_statistics(values: DataFrame, col: str, fractions: dict[str, float]) -> DataFrame:
-    """(name, which, weight, value) for the lower/upper neighbours of each quantile."""
-    v = values.select(F.col(col).cast("long").alias("v")).where(F.col("v").isNotNull())
-    width = _LEVELS[0]
-    counts = v.groupBy(F.expr(f"v div {width}").alias("bucket")).count()
-    targets = _rank_targets(counts, fractions)
-    located = _locate(counts, targets, None)
-    for coarse, fine in zip(_LEVELS, _LEVELS[1:]):
-        wanted = located.select(F.col("bucket").alias("parent")).distinct()
-        sub = v.withColumn("parent", F.expr(f"v div {coarse}")).join(F.broadcast(wanted), "parent")
-        counts = sub.groupBy("parent", F.expr(f"v div {fine}").alias("bucket")).count()
-        located = _locate(counts, located, "parent")
-    return located.select("name", "which", "weight", F.col("bucket").alias("value"))
+def cut_values(values: DataFrame, col: str, fractions: dict[str, float]) -> dict[str, int]:
+    """Cut instants in microseconds, interpolated between two neighbours in float seconds; empty without rows."""
 
+    def neighbours(n: int) -> dict[str, tuple[int, int, float]]:
+        out = {}
+        for name, f in fractions.items():
+            at = (n - 1) * f
+            low = int(at)
+            out[name] = (low, min(low + 1, n - 1), at - low)
+        return out
 
-def half_even_micros(seconds: Column) -> Column:
-    """Seconds (double) -> whole microseconds, split like datetime.fromtimestamp."""
-    whole = F.when(seconds >= 0, F.floor(seconds)).otherwise(F.ceil(seconds))
-    micros = F.bround((seconds - whole) * F.lit(1e6), 0)
-    return whole.cast("long") * F.lit(1_000_000) + micros.cast("long")
+    n, found = values_at(values, col, ranks_of=lambda n: [r for lo, hi, _ in neighbours(n).values() for r in (lo, hi)] if n else [])
+    if not n:
+        return {}
+    cuts = {}
+    for name, (lo, hi, weight) in neighbours(n).items():
+        seconds = found[lo][0] / 1e6 * (1.0 - weight) + found[hi][0] / 1e6 * weight
+        whole = int(seconds)
+        cuts[name] = whole * 1_000_000 + round((seconds - whole) * 1e6)  # half-even, like datetime.fromtimestamp
+    return cuts
 
 
 def split_cutoffs(values: DataFrame, col: str, fractions: dict[str, float]) -> DataFrame:  # G1
-    """One row per cut: (name, cut_us), interpolated as a*(1-w) + b*w in seconds."""
-    stats = order_statistics(values, col, fractions)
-    pivot = stats.groupBy("name").agg(
-        F.max(F.when(F.col("which") == "lo", F.col("value"))).alias("lo_us"),
-        F.max(F.when(F.col("which") == "hi", F.col("value"))).alias("hi_us"),
-        F.max("weight").alias("weight"),
-    )
-    a = F.col("lo_us") / F.lit(1e6)
-    b = F.col("hi_us") / F.lit(1e6)
-    w = F.col("weight")
-    seconds = a * (F.lit(1.0) - w) + b * w
-    return pivot.select("name", half_even_micros(seconds).alias("cut_us"))
+    """One row per cut: (name, cut_us)."""
+    rows = sorted(cut_values(values, col, fractions).items())
+    return values.sparkSession.createDataFrame(rows, "name string, cut_us long")
 
 
 def group_latest(rows: DataFrame, group_col: str, ts_col: str) -> DataFrame:  # G2 / J4
@@ -139,16 +85,16 @@ SALTS = 64
 
 def _salted_left_join(rows: DataFrame, groups: DataFrame, group_col: str, row_key: str,
                       hot_group_rows: int, salts: int) -> DataFrame:
-    """Left join on the group key; rows of hot groups get a deterministic salt
-    (hash of ``row_key``: a recomputed task gets the same salt) and only hot
-    groups' single rows are replicated per salt."""
+    """Left join on the group key; rows of every hot group, spanning or not, get a
+    deterministic salt (hash of ``row_key``: a recomputed task gets the same one)
+    and only hot spanning groups' single rows are replicated per salt."""
     hot = groups.where(F.col("group_rows") > hot_group_rows).select(group_col, F.lit(True).alias("_hot"))
     tagged = rows.join(F.broadcast(hot), group_col, "left")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(row_key)), F.lit(salts))).otherwise(F.lit(0))
     salted_rows = tagged.withColumn("_salt", salt.cast("int")).drop("_hot")
     fan_out = F.when(F.col("group_rows") > hot_group_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0)))
-    salted = groups.select(group_col, "group_latest_us", F.explode(fan_out).alias("_salt"))
+    salted = groups.where("spans").select(group_col, "group_latest_us", F.explode(fan_out).alias("_salt"))
     return salted_rows.join(salted, [group_col, "_salt"], "left").drop("_salt")
 
 
@@ -169,10 +115,9 @@ def assign_splits(
     lie on the same side of each cut, every row's own instant already gives
     that split; only groups that *span* a cut can promote a row. So:
 
-    1. the two cut values are computed (bounded drill-down) and collected --
-       two numbers, used as literals;
-    2. the spanning groups (usually few) are aggregated once, with partial
-       aggregation, and written to the shared checkpoint folder;
+    1. the two cut values are located and used as literals;
+    2. the spanning groups (usually few) and the hot ones are aggregated once,
+       with partial aggregation, and written to the shared checkpoint folder;
     3. when a count proves them small they are broadcast and the wide rows
        are never shuffled; otherwise the rows take a shuffle join, salted for
        hot groups.
@@ -180,22 +125,24 @@ def assign_splits(
     check_fractions(validation_fraction, lockbox_fraction)
     spark = rows.sparkSession
     fractions = cut_fractions(validation_fraction, lockbox_fraction)
-    cuts = {r["name"]: r["cut_us"] for r in split_cutoffs(rows, ts_col, fractions).collect()}
-    if len(cuts) != len(fractions) or None in cuts.values():
-        raise ValueError("No supported labeled issues were collected")
+    cuts = cut_values(rows, ts_col, fractions)
+    if not cuts:
+        raise ValueError("nothing to split: no labeled issue is left")
     v_cut, l_cut = cuts["validation"], cuts["lockbox"]
 
     groups = group_latest(rows, group_col, ts_col)
     early, late = F.col("group_earliest_us"), F.col("group_latest_us")
     spans = ((early < v_cut) & (late >= v_cut)) | ((early < l_cut) & (late >= l_cut))
     path = scratch_path(spark, "spanning-groups")
-    groups.where(spans).select(group_col, "group_latest_us", "group_rows").write.mode("errorifexists").parquet(path)
-    spanning = spark.read.parquet(path)
+    kept = groups.withColumn("spans", spans).where(F.col("spans") | (F.col("group_rows") > hot_group_rows))
+    kept.select(group_col, "group_latest_us", "group_rows", "spans").write.mode("errorifexists").parquet(path)
+    known = spark.read.parquet(path)
+    spanning = known.where("spans").select(group_col, "group_latest_us")
 
     if spanning.count() <= broadcast_groups:
-        joined = rows.join(F.broadcast(spanning.select(group_col, "group_latest_us")), group_col, "left")
+        joined = rows.join(F.broadcast(spanning), group_col, "left")
     else:
-        joined = _salted_left_join(rows, spanning, group_col, row_key, hot_group_rows, salts)
+        joined = _salted_left_join(rows, known, group_col, row_key, hot_group_rows, salts)
     latest = F.coalesce(F.col("group_latest_us"), F.col(ts_col))
     split = (
         F.when(latest >= F.lit(l_cut), F.lit(SPLIT_NAMES[2]))
@@ -205,20 +152,6 @@ def assign_splits(
     return joined.withColumn("group_latest_us", latest).withColumn("final_split", split)
 
 
-def split_manifest(dataset: DataFrame, group_col: str = "split_group_id") -> DataFrame:  # G4 / K2
-    """Rows and distinct groups per split; all three splits, empty ones as zeros."""
-    names = dataset.sparkSession.createDataFrame([(n,) for n in SPLIT_NAMES], "final_split string")
-    per_split = dataset.groupBy("final_split").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(group_col).alias("groups"),
-    )
-    return F.broadcast(names).join(per_split, "final_split", "left").select(
-        "final_split",
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.coalesce("groups", F.lit(0)).alias("groups"),
-    )
-
-
 def split_leakage(dataset: DataFrame, group_col: str = "split_group_id") -> DataFrame:  # G5
     """Groups found in more than one split (must be empty)."""
     return (

@@ -139,11 +139,11 @@ FROM rows JOIN grp ON rows.split_group_id = grp.g
 """
 
 
-def build_dataset_sql(created_after_us: int, closed_before_us: int, v: float, l: float) -> str:
+def build_dataset_sql(created_after_us: int, closed_before_us: int, v: float, l: float, where: str = "true") -> str:
     windowed = f"""SELECT * FROM issues
 WHERE NOT coalesce(is_pull_request, false) AND created_at IS NOT NULL AND closed_at IS NOT NULL
   AND {_us('created_at')} >= {created_after_us} AND {_us('created_at')} <= {closed_before_us}
-  AND {_us('closed_at')} <= {closed_before_us}
+  AND {_us('closed_at')} <= {closed_before_us} AND {where}
   AND len(list_intersect(labels, {CATALOG_LIST})) > 0"""
     rows = (
         _issues_cte()
@@ -303,11 +303,13 @@ _POS = (
     "  CASE WHEN e.pos < 60 THEN c30.label ELSE concat('priority/p', CAST(e.pos AS VARCHAR)) END AS label,\n"
     "  CASE WHEN e.pos < 30 THEN c30.taxonomy ELSE 'kind' END AS taxonomy,\n"
     "  1.0 / (1.0 + exp(-CAST(e.x AS DOUBLE))) AS score\n"
-    "  FROM e LEFT JOIN cat c30 ON c30.ord = e.pos % 30)\n"
+    "  FROM e LEFT JOIN cat c30 ON c30.ord = e.pos % 30),\n"
+    "lg AS (SELECT vec_id, CAST(pos % 30 AS INTEGER) AS pos, sum(CAST(x AS DOUBLE)) AS x FROM e GROUP BY 1, 2),\n"
+    "raw30 AS (SELECT lg.vec_id, lg.pos, cat.label, cat.taxonomy, 1.0 / (1.0 + exp(-lg.x)) AS score FROM lg JOIN cat ON cat.ord = lg.pos)\n"
 )
 ORACLES["score_logits"] = (
     "WITH " + _POS
-    + "SELECT vec_id, pos, label, taxonomy, round(score, 9) AS score FROM raw WHERE pos < 30"
+    + "SELECT vec_id, pos, label, taxonomy, round(score, 9) AS score FROM raw30"
 )
 ORACLES["postprocess"] = (
     "WITH " + _POS
@@ -323,7 +325,7 @@ ORACLES["rejected_predictions"] = (
 ORACLES["threshold_predictions"] = (
     "WITH " + _POS
     + "SELECT raw.vec_id, raw.label, round(raw.score, 9) AS score, cat.threshold, raw.score >= cat.threshold AS selected\n"
-    + "FROM raw JOIN cat ON raw.label = cat.label WHERE raw.pos < 30"
+    + "FROM raw30 AS raw JOIN cat ON raw.label = cat.label"
 )
 ORACLES["selected_labels"] = (
     "WITH " + _POS

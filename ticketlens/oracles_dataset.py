@@ -31,7 +31,8 @@ SELECT number // 100 AS page,
   CAST(row_number() OVER (PARTITION BY number // 100 ORDER BY number) - 1 AS INTEGER) AS item_pos,
   CASE WHEN number % 23 = 0 THEN NULL ELSE number END AS number,
   CASE WHEN number % 29 = 0 THEN NULL ELSE title END AS title,
-  body,
+  CASE WHEN number % 31 = 0 THEN NULL ELSE body END AS body,
+  CASE WHEN body IS NULL THEN 'VOID' WHEN number % 31 = 0 THEN 'BIGINT' ELSE 'STRING' END AS body_kind,
   CASE WHEN number % 19 = 0 THEN regexp_replace(created_at, 'Z$', '') ELSE created_at END AS created_at,
   closed_at, html_url,
   array_to_string(list_transform(labels, lambda x: coalesce(x, '~')), '|') AS labels,
@@ -42,9 +43,33 @@ ORACLES["invalid_issues"] = _issues_cte() + """
 , s AS (SELECT number // 100 AS page, CAST(row_number() OVER (PARTITION BY number // 100 ORDER BY number) - 1 AS INTEGER) AS item_pos,
   CASE WHEN number % 23 = 0 THEN 'number_not_int'
        WHEN number % 29 = 0 THEN 'title_not_string'
+       WHEN number % 31 = 0 AND body IS NOT NULL THEN 'body_not_string'
        WHEN number % 19 = 0 THEN 'created_at_not_zoned' END AS reason FROM issues)
 SELECT page, item_pos, reason FROM s WHERE reason IS NOT NULL"""
 
+_DAMAGED = "(number % 19 = 0 OR number % 23 = 0 OR number % 29 = 0 OR (number % 31 = 0 AND body IS NOT NULL))"
+
+
+def _outcomes() -> str:
+    """Issues with the outcome of the build over the damaged pages."""
+    lo, hi = instant_micros(CREATED_AFTER), instant_micros(CLOSED_BEFORE)
+    return _issues_cte() + f"""
+, o AS (SELECT number // 100 AS page, CAST(row_number() OVER (PARTITION BY number // 100 ORDER BY number) - 1 AS INTEGER) AS item_pos,
+  CASE WHEN is_pull_request THEN 'pull_request' WHEN closed_at IS NULL THEN 'no_dates'
+       WHEN number % 19 = 0 THEN 'invalid:created_at_not_zoned'
+       WHEN {_us('created_at')} < {lo} OR {_us('created_at')} > {hi} OR {_us('closed_at')} > {hi} THEN 'outside_window'
+       WHEN number % 23 = 0 THEN 'invalid:number_not_int' WHEN number % 29 = 0 THEN 'invalid:title_not_string'
+       WHEN number % 31 = 0 AND body IS NOT NULL THEN 'invalid:body_not_string'
+       WHEN NOT ({_LABELED}) THEN 'unlabeled' ELSE 'accepted' END AS outcome FROM issues)
+"""
+
+
+ORACLES["build_outcomes"] = _outcomes() + "SELECT outcome, count(*) AS issues FROM o GROUP BY outcome"
+ORACLES["build_quarantine"] = _outcomes() + "SELECT page, item_pos, outcome[9:] AS reason FROM o WHERE starts_with(outcome, 'invalid:')"
+ORACLES["build_dataset_from_pages"] = build_dataset_sql(
+    instant_micros(CREATED_AFTER), instant_micros(CLOSED_BEFORE), VALIDATION_FRACTION, LOCKBOX_FRACTION, f"NOT {_DAMAGED}"
+)
+
 ORACLES["issue_lookup"] = _issues_cte() + """
 , wanted AS (SELECT DISTINCT event_id * 7 % 1500 AS number FROM events)
 SELECT number, title, body FROM issues
@@ -101,33 +126,44 @@ ORACLES["target_names"] = _issues_cte() + f"""
 , raw AS (SELECT DISTINCT unnest(labels) AS label FROM issues)
 SELECT label, {_target('label')} AS target_column FROM raw WHERE label IS NOT NULL"""
 ORACLES["catalog_violations"] = _issues_cte() + """
-, raw AS (SELECT DISTINCT unnest(labels) AS label FROM issues)
+, raw AS (SELECT unnest(labels) AS label FROM issues),
+c AS (SELECT label, count(*) AS n FROM raw GROUP BY label)
 SELECT label, CASE WHEN label IS NULL THEN 'not_a_string' WHEN label = '' THEN 'empty'
-  ELSE 'unsupported_taxonomy' END AS rule
-FROM raw WHERE label IS NULL OR label = '' OR NOT (starts_with(label, 'area/') OR starts_with(label, 'kind/') OR starts_with(label, 'sig/'))"""
+  WHEN NOT (starts_with(label, 'area/') OR starts_with(label, 'kind/') OR starts_with(label, 'sig/')) THEN 'unsupported_taxonomy'
+  WHEN n > 1 THEN 'duplicate' END AS rule
+FROM c WHERE label IS NULL OR label = '' OR n > 1 OR NOT (starts_with(label, 'area/') OR starts_with(label, 'kind/') OR starts_with(label, 'sig/'))"""
 
 ORACLES["parse_ts"] = _issues_cte() + f"""
 , t AS (SELECT number, CASE WHEN number % 4 = 1 THEN regexp_replace(created_at, 'Z$', '+02:00')
   WHEN number % 4 = 2 THEN regexp_replace(created_at, 'Z$', '')
-  WHEN number % 4 = 3 THEN regexp_replace(created_at, 'Z$', '-0530') ELSE created_at END AS raw FROM issues)
-SELECT number, raw, {_us('raw')} AS created_us FROM t"""
+  WHEN number % 16 = 3 THEN regexp_replace(created_at, 'Z$', '+02')
+  WHEN number % 16 = 7 THEN regexp_replace(created_at, 'Z$', '+02:00:30')
+  WHEN number % 16 = 11 THEN regexp_replace(created_at, '[-:]', '', 'g')
+  WHEN number % 4 = 3 THEN regexp_replace(created_at, 'Z$', '.1234567-0530') ELSE created_at END AS raw, created_at FROM issues)
+SELECT number, raw, CASE WHEN number % 4 = 2 THEN NULL ELSE {_us('created_at')} + CASE
+  WHEN number % 4 = 1 OR number % 16 = 3 THEN -7200000000 WHEN number % 16 = 7 THEN -7230000000 WHEN number % 16 = 11 THEN 0
+  WHEN number % 4 = 3 THEN 19800123456 ELSE 0 END END AS created_us FROM t"""
 ORACLES["issue_identity"] = _issues_cte() + """
 SELECT number, concat('github_issue_', CAST(number AS VARCHAR)) AS sample_id,
   coalesce(html_url, concat('https://github.com/kubernetes/kubernetes/issues/', CAST(number AS VARCHAR))) AS issue_url FROM issues"""
 
 _REF = r"([^/\s]+)/([^#\s]+)#([0-9]+)"
 ORACLES["parse_issue_refs"] = f"""
-WITH t AS (SELECT event_id, CASE event_id % 4
+WITH t AS (SELECT event_id, CASE event_id % 6
   WHEN 0 THEN concat('org/repo', CAST(user_id % 5 AS VARCHAR), '#', CAST(event_id AS VARCHAR))
   WHEN 1 THEN concat('  org/repo', CAST(user_id % 5 AS VARCHAR), '#', CAST(event_id AS VARCHAR), ' ')
   WHEN 2 THEN concat('org/repo', CAST(user_id % 5 AS VARCHAR), CAST(event_id AS VARCHAR))
+  WHEN 3 THEN concat('org/repo', CAST(user_id % 5 AS VARCHAR), '#99999999999999999999')
+  WHEN 4 THEN concat('org/repo', CAST(user_id % 5 AS VARCHAR), '#', translate(CAST(event_id AS VARCHAR), '0123456789', '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669'))
   ELSE concat('org repo#', CAST(event_id AS VARCHAR)) END AS ref FROM events),
-u AS (SELECT event_id, ref, regexp_replace(ref, '^{X.WS}+|{X.WS}+$', '', 'g') AS s FROM t)
+u AS (SELECT event_id, ref, translate(regexp_replace(ref, '^{X.WS}+|{X.WS}+$', '', 'g'),
+  '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669', '0123456789') AS s FROM t),
+w AS (SELECT *, regexp_full_match(s, '{_REF}') AND try_cast(regexp_extract(s, '{_REF}', 3) AS BIGINT) IS NOT NULL AS ok FROM u)
 SELECT event_id, ref,
-  CASE WHEN regexp_full_match(s, '{_REF}') THEN regexp_extract(s, '{_REF}', 1) END AS owner,
-  CASE WHEN regexp_full_match(s, '{_REF}') THEN regexp_extract(s, '{_REF}', 2) END AS repo,
-  CASE WHEN regexp_full_match(s, '{_REF}') THEN CAST(regexp_extract(s, '{_REF}', 3) AS BIGINT) END AS number
-FROM u"""
+  CASE WHEN ok THEN regexp_extract(s, '{_REF}', 1) END AS owner,
+  CASE WHEN ok THEN regexp_extract(s, '{_REF}', 2) END AS repo,
+  CASE WHEN ok THEN try_cast(regexp_extract(s, '{_REF}', 3) AS BIGINT) END AS number
+FROM w"""
 
 # --- tokens -------------------------------------------------------------------------------
 
@@ -178,18 +214,22 @@ _CMD = r"(?im)^[ \t]*(?:>[ \t]*)*(?:(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)
 ORACLES["label_leakage"] = (
     f"SELECT sample_id FROM ({_DATASET}) d WHERE regexp_matches(model_input, {X.q(_LEAK)}) OR regexp_matches(model_input, {X.q(_CMD)})"
 )
-ORACLES["split_manifest"] = f"""
-WITH d AS ({_DATASET}),
-names AS (SELECT * FROM (VALUES ('train'), ('validation'), ('lockbox')) t(final_split)),
-agg AS (SELECT final_split, count(*) AS rows, count(DISTINCT split_group_id) AS groups FROM d GROUP BY 1)
-SELECT names.final_split, coalesce(agg.rows, 0) AS rows, coalesce(agg.groups, 0) AS groups
-FROM names LEFT JOIN agg ON names.final_split = agg.final_split"""
-
 _HASH = (
     "CAST(('0x' || left(sha256(concat_ws(chr(31), "
-    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in dataset_columns(LABELS)[:-1])
+    + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '~')" for c in dataset_columns(LABELS)[:-1])
     + ")), 15)) AS BIGINT)"
 )
 ORACLES["split_digest"] = f"""
 WITH d AS ({_DATASET}), h AS (SELECT final_split, {_HASH} AS h FROM d)
 SELECT final_split, count(*) AS rows, bit_xor(h) AS xor_hash, CAST(sum(h) AS VARCHAR) AS sum_hash FROM h GROUP BY 1"""
+ORACLES["split_manifest"] = f"""
+WITH d AS ({_DATASET}), h AS (SELECT final_split, split_group_id, {_HASH} AS h FROM d),
+names AS (SELECT * FROM (VALUES ('train'), ('validation'), ('lockbox')) t(final_split)),
+agg AS (SELECT final_split, count(*) AS rows, count(DISTINCT split_group_id) AS groups, bit_xor(h) AS xor_hash,
+  CAST(sum(h) AS VARCHAR) AS sum_hash FROM h GROUP BY 1)
+SELECT names.final_split, coalesce(agg.rows, 0) AS rows, coalesce(agg.groups, 0) AS groups, coalesce(xor_hash, 0) AS xor_hash,
+  coalesce(sum_hash, '0') AS sum_hash, (SELECT count(*) FROM d) AS total_rows, 'kubernetes/kubernetes' AS repository,
+  '2024-01-01T00:00:00+00:00' AS created_after, '2024-12-01T00:00:00+00:00' AS closed_before,
+  'grouped_creation_time_chronological_strict' AS split_method, CAST('{VALIDATION_FRACTION}' AS DOUBLE) AS validation_fraction,
+  CAST('{LOCKBOX_FRACTION}' AS DOUBLE) AS lockbox_fraction, {X.q('|'.join(LABELS))} AS labels
+FROM names LEFT JOIN agg ON names.final_split = agg.final_split"""

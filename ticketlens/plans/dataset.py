@@ -1,14 +1,16 @@
 """Training-set build (P1-P3): issues in, cleaned multi-label rows with splits out.
 
-Plan shape: scan -> filters -> one narrow projection (cleaning, labels,
-targets) -> exchange on the split group (aggregate + join) -> scalar
-subqueries for the two cut points -> projection. The cleaning chain runs once
-per field: cleaned columns are materialised by one projection and reused.
+Plan shape: scan -> one outcome per issue -> one narrow projection (cleaning,
+labels, targets) written once -> three small counts for the cut points, one
+aggregate of the split groups -> broadcast lookup of the groups that span a
+cut. Issues that cannot become rows are quarantined with a reason, or end the
+job in strict mode; none disappears.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from ticketlens.functions import labels as L
 from ticketlens.functions import text as T
 from ticketlens.functions.parsing import issue_url, sample_id, unix_micros
 from ticketlens.operators import filters, splits
+from ticketlens.session import scratch_path
 
 BASE_COLUMNS = (
     "sample_id",
@@ -44,10 +47,10 @@ def with_retained(issues: DataFrame, labels: Sequence[str]) -> DataFrame:  # A1
     return issues.withColumn("retained", L.retained_labels(F.col("labels"), labels))
 
 
-def keyed_titles(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Cleaned title, its grouping key and split group id (key referenced once)."""
-    titled = df.withColumn("clean_title", T.clean_field(F.col("title"), labels))
-    keyed = titled.withColumn("title_key", T.title_key(F.col("clean_title")))
+def cleaned_issues(issues: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Adds clean title and body (one pass over both), the title's grouping key and the split group id."""
+    cleaned = T.clean_columns(issues, {"clean_title": F.col("title"), "clean_body": F.col("body")}, labels)
+    keyed = T.add_title_key(cleaned, "clean_title", "title_key")
     return keyed.withColumn("split_group_id", T.split_group_id(F.col("title_key"), F.col("number")))
 
 
@@ -55,9 +58,7 @@ def build_rows(issues: DataFrame, labels: Sequence[str], repository: str = DEFAU
     """One dataset row per issue (expects ``retained``); keeps ``created_us`` for splits."""
     labels = list(labels)
     base = issues.select("number", "created_at", "html_url", "retained", "title", "body")
-    cleaned = T.clean_columns(
-        keyed_titles(base, labels), {"clean_body": F.col("body")}, labels
-    )
+    cleaned = cleaned_issues(base, labels)
     retained = F.col("retained")
     return cleaned.select(
         sample_id(F.col("number")).alias("sample_id"),
@@ -97,6 +98,60 @@ def order_dataset(rows: DataFrame) -> DataFrame:  # O1
     return rows.orderBy("issue_created_at", "issue_number")
 
 
+@dataclass(frozen=True)
+class Build:
+    """A dataset build: its rows with splits, the quarantined issues, and the count of issues per outcome."""
+
+    rows: DataFrame
+    quarantine: DataFrame
+    outcomes: DataFrame
+
+
+def _checked(tagged: DataFrame) -> DataFrame:
+    """Strict mode: an invalid issue ends the job, naming itself."""
+    message = F.concat(
+        F.lit("issue "), F.coalesce(F.col("number").cast("string"), F.lit("without a number")), F.lit(" is "), F.col("outcome")
+    )
+    bad = F.col("outcome").startswith(filters.INVALID)
+    return tagged.withColumn("outcome", F.when(bad, F.raise_error(message)).otherwise(F.col("outcome")))
+
+
+def build(
+    issues: DataFrame,
+    labels: Sequence[str],
+    created_after: str,
+    closed_before: str,
+    validation_fraction: float = 0.15,
+    lockbox_fraction: float = 0.10,
+    repository: str = DEFAULT_REPOSITORY,
+    max_issues: int | None = None,
+    strict: bool = False,
+) -> Build:  # P3
+    """Filters, quarantine, cleaned rows and splits over scanned issues.
+
+    The cleaned rows are written once to the shared folder; cut points, groups
+    and the result all read that table, so the cleaning runs once per row.
+    """
+    splits.check_fractions(validation_fraction, lockbox_fraction)
+    tagged = filters.with_outcome(with_retained(issues, labels), created_after, closed_before)
+    if strict:
+        tagged = _checked(tagged)
+    accepted = tagged.where(F.col("outcome") == filters.ACCEPTED)
+    if max_issues is not None:
+        accepted = filters.first_n(accepted, max_issues)
+    rows = build_rows(accepted, labels, repository)
+    path = scratch_path(issues.sparkSession, "dataset-rows")
+    rows.write.mode("errorifexists").parquet(path)
+    cleaned = issues.sparkSession.read.schema(rows.schema).parquet(path)
+    assigned = splits.assign_splits(cleaned, validation_fraction, lockbox_fraction)
+    quarantine = tagged.where(F.col("outcome").startswith(filters.INVALID))
+    return Build(
+        assigned.select(*dataset_columns(labels)),
+        quarantine.withColumn("reason", F.substring_index("outcome", ":", -1)).drop("outcome", "retained", "created_us"),
+        tagged.groupBy("outcome").agg(F.count(F.lit(1)).alias("issues")),
+    )
+
+
 def build_dataset(
     issues: DataFrame,
     labels: Sequence[str],
@@ -107,10 +162,8 @@ def build_dataset(
     repository: str = DEFAULT_REPOSITORY,
     max_issues: int | None = None,
     ordered: bool = False,
-) -> DataFrame:  # P3
-    splits.check_fractions(validation_fraction, lockbox_fraction)
-    windowed = filters.filter_date_window(filters.filter_pull_requests(issues), created_after, closed_before)
-    rows = collect_rows(windowed, labels, repository, max_issues)
-    assigned = splits.assign_splits(rows, validation_fraction, lockbox_fraction)
-    out = assigned.select(*dataset_columns(labels))
+    strict: bool = False,
+) -> DataFrame:  # P3, the rows only
+    out = build(issues, labels, created_after, closed_before, validation_fraction, lockbox_fraction,
+                repository, max_issues, strict).rows
     return order_dataset(out) if ordered else out

@@ -104,8 +104,7 @@ def clean_nfkc(spark, sf_dir):
 
 def _cleaned_issues(spark, sf_dir) -> DataFrame:
     iss = td.issues(spark, sf_dir).select("number", "title", "body")
-    out = T.clean_columns(P.keyed_titles(iss, LABELS), {"clean_body": F.col("body")}, LABELS)
-    return out.select("number", "clean_title", "clean_body", "title_key", "split_group_id")
+    return P.cleaned_issues(iss, LABELS).select("number", "clean_title", "clean_body", "title_key", "split_group_id")
 
 
 @query("model_input")
@@ -195,7 +194,7 @@ def repo_label_pages(spark, sf_dir) -> DataFrame:
 
 
 def repo_label_sets(spark, sf_dir) -> DataFrame:
-    return RL.label_sets(RL.scan_label_pages(repo_label_pages(spark, sf_dir)))
+    return RL.label_sets(RL.scan_label_pages(repo_label_pages(spark, sf_dir)), LABELS)
 
 
 @query("repo_labels")
@@ -248,10 +247,20 @@ def score_keywords(spark, sf_dir):
     return S.stamp(S.explode_predictions(scored, ["number"]), CATALOG, "development")
 
 
+def folded(col: str, width: int, offset: int = 0):
+    """Element i: the sum of all entries j with j = i + offset modulo ``width``."""
+
+    def at(i):
+        mine = F.filter(col, lambda _, j: j % width == (i + offset) % width)
+        return F.aggregate(mine, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
+
+
 def _logits(spark, sf_dir) -> DataFrame:
-    """First 30 embedding entries as the model's logits, in catalog order."""
+    """The model's logits in catalog order: all embedding entries, folded onto the catalog's positions."""
     emb = td.logits(spark, sf_dir)
-    return emb.select("vec_id", "true_class", F.slice("embedding", 1, len(LABELS)).alias("logits"))
+    return emb.select("vec_id", "true_class", folded("embedding", len(LABELS)).alias("logits"))
 
 
 @query("score_logits")

@@ -43,7 +43,8 @@ def issue_pages(spark, sf_dir) -> DataFrame:
     """Issues landed as API pages of up to 100 JSON objects (page = number div 100).
 
     Some items are damaged the way untyped JSON can be: a string number
-    (number % 23 = 0), a numeric title (% 29 = 0), a naive created_at (% 19 = 0);
+    (number % 23 = 0), a numeric title (% 29 = 0), a numeric body (% 31 = 0), a
+    naive created_at (% 19 = 0);
     every page also ends with two non-object items.
     """
     iss = _issues(spark, sf_dir)
@@ -55,6 +56,7 @@ def issue_pages(spark, sf_dir) -> DataFrame:
     js = F.when(F.col("is_pull_request"), F.regexp_replace(js, r"\}$", ',"pull_request":{}}')).otherwise(js)
     js = F.when(F.col("number") % 23 == 0, F.regexp_replace(js, r'^\{"number":(\d+)', '{"number":"$1"')).otherwise(js)
     js = F.when(F.col("number") % 29 == 0, F.regexp_replace(js, r'"title":"(?:[^"\\]|\\.)*"', '"title":7')).otherwise(js)
+    js = F.when(F.col("number") % 31 == 0, F.regexp_replace(js, r'"body":"(?:[^"\\]|\\.)*+"', '"body":7')).otherwise(js)
     js = F.when(F.col("number") % 19 == 0, F.regexp_replace(js, r'("created_at":"[^"]*)Z"', '$1"')).otherwise(js)
     items = iss.select(F.expr("number div 100").alias("page"), "number", js.alias("item"))
     pages = items.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("number", "item"))).alias("items"))
@@ -80,6 +82,29 @@ def invalid_issues(spark, sf_dir):
     return FL.invalid_issues(scanned_issues(spark, sf_dir)).select("page", "item_pos", "reason")
 
 
+def _build_from_pages(spark, sf_dir) -> P.Build:
+    return P.build(scanned_issues(spark, sf_dir), LABELS, CREATED_AFTER, CLOSED_BEFORE, VALIDATION_FRACTION, LOCKBOX_FRACTION)
+
+
+@query("build_dataset_from_pages")
+def build_dataset_from_pages(spark, sf_dir):
+    """P3 end to end: damaged pages -> scan -> outcomes -> rows -> splits -> written dataset, read back."""
+    built = _build_from_pages(spark, sf_dir)
+    return K.read_dataset(spark, K.write_dataset(built.rows, scratch_path(spark, "dataset-from-pages")))
+
+
+@query("build_quarantine")
+def build_quarantine(spark, sf_dir):
+    """F7 in the build: the issues of the window that cannot become rows, with the reason."""
+    return _build_from_pages(spark, sf_dir).quarantine.select("page", "item_pos", "reason")
+
+
+@query("build_outcomes")
+def build_outcomes(spark, sf_dir):
+    """Every scanned issue counted under exactly one outcome of the build."""
+    return _build_from_pages(spark, sf_dir).outcomes
+
+
 @query("issue_lookup")
 def issue_lookup(spark, sf_dir):
     """Issues named by owner/repo#number references carried by the events."""
@@ -182,7 +207,7 @@ def target_names(spark, sf_dir):
 @query("catalog_violations")
 def catalog_violations(spark, sf_dir):
     """S4 rules over a label schema proposed from the labels seen on issues."""
-    raw = _issues(spark, sf_dir).select(F.explode("labels").alias("label")).distinct()
+    raw = _issues(spark, sf_dir).select(F.explode("labels").alias("label"))
     return C.label_rule_violations(raw).select("label", "rule")
 
 
@@ -193,7 +218,10 @@ def parse_ts(spark, sf_dir):
     raw = (
         F.when(F.col("number") % 4 == 1, F.regexp_replace("created_at", "Z$", "+02:00"))
         .when(F.col("number") % 4 == 2, F.regexp_replace("created_at", "Z$", ""))
-        .when(F.col("number") % 4 == 3, F.regexp_replace("created_at", "Z$", "-0530"))
+        .when(F.col("number") % 16 == 3, F.regexp_replace("created_at", "Z$", "+02"))
+        .when(F.col("number") % 16 == 7, F.regexp_replace("created_at", "Z$", "+02:00:30"))
+        .when(F.col("number") % 16 == 11, F.regexp_replace("created_at", "[-:]", ""))
+        .when(F.col("number") % 4 == 3, F.regexp_replace("created_at", "Z$", ".1234567-0530"))
         .otherwise(F.col("created_at"))
     )
     t = iss.select("number", raw.alias("raw"))
@@ -217,11 +245,13 @@ def parse_issue_refs(spark, sf_dir):
     ev = td.table(spark, sf_dir, "events")
     base = F.concat(F.lit("org/repo"), (F.col("user_id") % 5).cast("string"))
     num = F.col("event_id").cast("string")
-    k = F.col("event_id") % 4
+    k = F.col("event_id") % 6
     ref = (
         F.when(k == 0, F.concat(base, F.lit("#"), num))
         .when(k == 1, F.concat(F.lit("  "), base, F.lit("#"), num, F.lit(" ")))
         .when(k == 2, F.concat(base, num))
+        .when(k == 3, F.concat(base, F.lit("#99999999999999999999")))  # beyond BIGINT
+        .when(k == 4, F.concat(base, F.lit("#"), F.translate(num, "0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669")))
         .otherwise(F.concat(F.lit("org repo#"), num))
     )
     t = ev.select("event_id", ref.alias("ref"))
@@ -308,8 +338,10 @@ def label_leakage(spark, sf_dir):
 
 @query("split_manifest")
 def split_manifest(spark, sf_dir):
-    """Rows and distinct groups for each of the three splits."""
-    return SP.split_manifest(_dataset(spark, sf_dir))
+    """The run's parameters, and rows, distinct groups and digest of each of the three splits."""
+    path = K.write_dataset(_dataset(spark, sf_dir), scratch_path(spark, "manifest-dataset"))
+    return K.split_manifest(K.read_dataset(spark, path), P.dataset_columns(LABELS)[:-1], LABELS, CREATED_AFTER, CLOSED_BEFORE,
+                            VALIDATION_FRACTION, LOCKBOX_FRACTION)
 
 
 @query("split_digest")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+import itertools
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,18 @@ from ticketlens.operators import evaluate as E
 from ticketlens.operators import postprocess as PP
 from ticketlens.operators import scoring as S
 from ticketlens.plans import dataset as P
-from ticketlens.queries import CATALOG, LABELS, LIVE, _cleaned_issues, _logits, query, repo_label_sets
+from ticketlens.queries import CATALOG, DRY, LABELS, LIVE, _cleaned_issues, _logits, folded, query, repo_label_sets
 from ticketlens.queries import CLOSED_BEFORE, CREATED_AFTER, LOCKBOX_FRACTION, VALIDATION_FRACTION
 from ticketlens.session import scratch_path
-from ticketlens.sinks.labels import labels_to_write  # noqa: F401
+from ticketlens.operators.triage import triage_events
+from ticketlens.plans.triage import score_events
+from ticketlens.sinks import dataset as K
+from ticketlens.sinks.labels import RunConfig, label_write_plan
 from ticketlens.sources import catalog as C
 from ticketlens.sources import testdata as td
 from ticketlens.streaming import triage as ST
 
-# (model, seed, first embedding position of its 30 logits)
+# (model, seed, rotation of the folded embedding that makes its 30 logits)
 RUNS = (
     ("model_a", 7, 0), ("model_a", 42, 1), ("model_a", 123, 2),
     ("model_b", 7, 32), ("model_b", 42, 33), ("model_b", 123, 34),
@@ -89,8 +94,7 @@ def eval_exact_match(spark, sf_dir):
 
 def _sweep(spark, sf_dir) -> DataFrame:
     scored = _logits(spark, sf_dir).select("vec_id", S.logit_scores(F.col("logits"), CATALOG).alias("predictions"))
-    long = S.explode_predictions(scored, ["vec_id"])
-    return E.threshold_sweep(long, truth_pairs(spark, sf_dir), ["vec_id"])
+    return E.threshold_sweep(scored, truth_pairs(spark, sf_dir), ["vec_id"])
 
 
 @query("threshold_sweep")
@@ -105,14 +109,27 @@ def best_thresholds(spark, sf_dir):
     return _r9(E.best_thresholds(_sweep(spark, sf_dir)))
 
 
+def _validation_sweep(spark, sf_dir) -> DataFrame:
+    rows = P.build_dataset(td.issues(spark, sf_dir), LABELS, CREATED_AFTER, CLOSED_BEFORE, VALIDATION_FRACTION, LOCKBOX_FRACTION)
+    validation = rows.where(F.col("final_split") == "validation").select("sample_id", "model_input", "retained_labels")
+    scored = S.with_keyword_scores(validation, "model_input", CATALOG)
+    truth = validation.select("sample_id", F.explode(F.split("retained_labels", r"\|")).alias("label"))
+    return E.threshold_sweep(scored.select("sample_id", "predictions"), truth, ["sample_id"])
+
+
+@query("validation_sweep")
+def validation_sweep(spark, sf_dir):
+    """E4 as it is meant to be used: the sweep over the dataset's validation split only."""
+    return _r9(_validation_sweep(spark, sf_dir))
+
+
 def run_metrics(spark, sf_dir) -> DataFrame:
     """Micro-F1 of every (model, seed) run against the same truth."""
     emb = td.logits(spark, sf_dir)
-    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed"), F.lit(o).alias("offset"))
-                     for m, s, o in RUNS])
-    per_run = emb.select("vec_id", "true_class", "embedding", F.explode(runs).alias("run")).select(
-        "vec_id", "true_class", "run.model", "run.seed",
-        F.slice("embedding", F.col("run.offset") + 1, len(LABELS)).alias("logits"))
+    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed"),
+                              folded("embedding", len(LABELS), o).alias("logits")) for m, s, o in RUNS])
+    per_run = emb.select("vec_id", "true_class", F.explode(runs).alias("run")).select(
+        "vec_id", "true_class", "run.model", "run.seed", "run.logits")
     post = per_run.select("vec_id", "true_class", "model", "seed", PP.selected_labels(
         PP.postprocess_array(S.logit_scores(F.col("logits"), CATALOG), CATALOG)).alias("chosen"))
     pred = explode_computed(post, ["model", "seed", "vec_id"], F.col("chosen"), "label")
@@ -141,32 +158,67 @@ def label_catalog(spark, sf_dir):
     return C.load_artifacts(spark, path, backend=tuned.backend).dataframe(spark)
 
 
+@query("bundle_violations")
+def bundle_violations(spark, sf_dir):
+    """The rules a broken bundle fails, for bundles made from the data-tuned one by one change each."""
+    best = E.best_thresholds(_sweep(spark, sf_dir)).select("taxonomy", "threshold")
+    chosen = {r["taxonomy"]: r["threshold"] for r in best.collect()}  # one row per taxonomy
+    tuned = C.LabelCatalog.with_thresholds(LABELS, {lab: chosen[lab.split("/", 1)[0]] for lab in LABELS})
+    first = LABELS[0]
+
+    def broken(change):
+        files = json.loads(json.dumps(C.bundle_payloads(tuned)))
+        change(files["m"], files["s"], files["t"])
+        return [json.dumps(files[k]) for k in ("m", "s", "t")]
+
+    cases = {
+        "valid": lambda m, s, t: None,
+        "text_threshold": lambda m, s, t: t["values"].update({first: "0.5"}),
+        "threshold_above_one": lambda m, s, t: t["values"].update({first: 1.5}),
+        "threshold_missing": lambda m, s, t: t["values"].pop(first),
+        "plain_thresholds": lambda m, s, t: (t.update(t.pop("values")), t.pop("strategy")),
+        "number_label": lambda m, s, t: m["labels"].__setitem__(0, 7),
+        "label_twice": lambda m, s, t: m["labels"].append(first),
+        "other_order": lambda m, s, t: m["labels"].reverse(),
+        "number_taxonomy": lambda m, s, t: s["labels"][0].update(taxonomy=1),
+        "wrong_taxonomy": lambda m, s, t: s["labels"][0].update(taxonomy="kind"),
+        "short_input": lambda m, s, t: m.update(max_length=4),
+        "text_length": lambda m, s, t: m.update(max_length="512"),
+        "no_version": lambda m, s, t: m.update(model_version=""),
+        "old_contract": lambda m, s, t: m.update(preprocessing_version="old"),
+    }
+    rows = [(name, *broken(change)) for name, change in cases.items()]
+    raw = spark.createDataFrame(rows, "bundle string, m string, s string, t string")
+    return C.bundle_checks(raw.select("bundle", *[F.parse_json(c).alias(c) for c in ("m", "s", "t")]))
+
+
 # --- E6: TF-IDF baseline (rows-only checks) ---------------------------------------------------
 
 
 def _dataset(spark, sf_dir) -> DataFrame:
-    return P.build_dataset(td.issues(spark, sf_dir), LABELS, CREATED_AFTER, CLOSED_BEFORE,
+    """The dataset, written once and read by every step of the baseline."""
+    rows = P.build_dataset(td.issues(spark, sf_dir), LABELS, CREATED_AFTER, CLOSED_BEFORE,
                            VALIDATION_FRACTION, LOCKBOX_FRACTION)
+    return K.read_dataset(spark, K.write_dataset(rows, scratch_path(spark, "baseline-dataset")))
 
 
 @query("tfidf_features")
 def tfidf_features(spark, sf_dir):
-    """E6 features: hashed TF-IDF of every dataset row's model input."""
+    """E6 features: sparse TF-IDF (sample, term, weight) of every dataset row, IDF from the train split."""
     ds = _dataset(spark, sf_dir)
-    model = B.fit_features(ds.where(F.col("final_split") == "train"))
-    feats = model.transform(ds)
-    return feats.select("sample_id", "final_split", F.size("tokens").alias("n_tokens"),
-                        F.size(vector_to_array(F.col("features"))).alias("dim"))
+    out = B.sparse_tfidf(ds, ds.where(F.col("final_split") == "train"))
+    return out.withColumn("weight", F.round("weight", 9))
 
 
 @query("tfidf_lr_scores")
 def tfidf_lr_scores(spark, sf_dir):
-    """Per-label logistic regression on TF-IDF, trained on train, scoring every row."""
+    """Per-label logistic regression on TF-IDF, fitted on a bounded sample of train, scoring every row."""
     ds = _dataset(spark, sf_dir)
     targets = L.target_columns(LABELS)
-    feat_model = B.fit_features(ds.where(F.col("final_split") == "train"))
+    train = B.fit_sample(ds.where(F.col("final_split") == "train"), "sample_id")
+    feat_model = B.fit_features(train)
+    models = B.fit_label_models(feat_model.transform(train), targets)
     feats = feat_model.transform(ds)
-    models = B.fit_label_models(feats.where(F.col("final_split") == "train"), targets)
     return B.score_labels(feats, models, LABELS, targets, ["sample_id", "final_split"])
 
 
@@ -200,6 +252,48 @@ def stream_triage(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+@query("stream_event_files")
+def stream_event_files(spark, sf_dir):
+    """S2 as a stream: one payload file per benchmark item, triaged in dry-run mode."""
+    landing, sink = scratch_path(spark, "payload-files"), scratch_path(spark, "files-sink")
+    item = td.table(spark, sf_dir, "benchmark")
+    payload = F.to_json(F.struct(
+        F.lit("opened").alias("action"),
+        F.struct(F.col("item_id").alias("number"), F.concat(F.lit("kubelet bug "), F.col("item_id")).alias("title"),
+                 F.col("text").alias("body"), F.concat(F.lit("https://example.test/"), F.col("item_id")).alias("html_url"),
+                 F.struct(F.lit("User").alias("type")).alias("user")).alias("issue"),
+        F.struct(F.lit("r").alias("name"), F.struct(F.lit("o").alias("login")).alias("owner")).alias("repository"),
+    ))
+    item.select(payload.alias("value")).write.option("maxRecordsPerFile", 1).text(landing)
+    ST.start_file_triage_stream(spark, landing, sink, scratch_path(spark, "files-ckpt"), CATALOG, DRY).awaitTermination()
+    return spark.read.parquet(sink).select("issue_number", "status", "model_input", "labels_to_apply", "write_status")
+
+
+# (dry_run, apply_labels, allow_development_writes, backend): every configuration
+GATE_CONFIGS = tuple(itertools.product((True, False), (True, False), (True, False), ("development", "transformer")))
+
+
+@query("write_gates")
+def write_gates(spark, sf_dir):
+    """K5: what each run configuration does with the events, and with the same titles and bodies given without an event."""
+    triaged = score_events(triage_events(td.event_payloads(spark, sf_dir), "payload"), CATALOG)
+    checked = PP.missing_repo_labels(triaged, repo_label_sets(spark, sf_dir), CATALOG)
+    slim = checked.select("status", "owner", "labels_to_apply", "missing_labels", F.lit(True).alias("from_event"))
+    path = scratch_path(spark, "gate-events")
+    slim.write.parquet(path)
+    events = spark.read.parquet(path)
+    bare = events.where(F.col("status") == "accepted").withColumns({"owner": F.lit(None).cast("string"), "from_event": F.lit(False)})
+    rows = events.unionByName(bare)
+    out = None
+    for dry, apply, allow, backend in GATE_CONFIGS:
+        plan = label_write_plan(rows, RunConfig(dry, apply, allow, backend))
+        counted = plan.groupBy("from_event", "write_status", "exit_code").agg(F.count(F.lit(1)).alias("events")).select(
+            F.lit(dry).alias("dry_run"), F.lit(apply).alias("apply_labels"), F.lit(allow).alias("allow_development_writes"),
+            F.lit(backend).alias("backend"), "*")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 @query("stream_replay")
 def stream_replay(spark, sf_dir):
     """ST2: run the label-application stream twice over the same events; the
@@ -210,4 +304,4 @@ def stream_replay(spark, sf_dir):
         ckpt = scratch_path(spark, f"apply-ckpt-{attempt}")
         q = ST.start_apply_stream(spark, landing, applied, ckpt, CATALOG, LIVE, repo_label_sets(spark, sf_dir))
         q.awaitTermination()
-    return spark.read.parquet(applied)
+    return spark.read.parquet(applied).drop("bucket")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,24 +38,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Read from the session (``spark.checkpoint.dir`` or the context's setting);
-    only when it is unset (local runs, tests) a folder of our own is set, so
-    written tables and stream checkpoints have a home.
+    Without the setting only a local session, where driver and executors are one
+    machine, gets a folder of its own; on a cluster there is no safe default.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # e.g. a Spark Connect session: no context to ask or set
-        sc = None
-    if not current and sc is not None:
-        current = sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="ticketlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-        if sc is not None:
-            sc.setCheckpointDir(current)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "_scratch")
+        spark.sparkContext.setCheckpointDir(current)
+        current = spark.sparkContext.getCheckpointDir()
     return current
 
 

@@ -13,16 +13,21 @@ layout: per row SHA-256 over the values, folded with XOR and with a wide sum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketlens.fixed_values import SPLIT_NAMES
+from ticketlens.fixed_values import DEFAULT_REPOSITORY, SPLIT_METHOD, SPLIT_NAMES
 
 ROW_SEPARATOR = "\u001f"
 
 
 def write_dataset(dataset: DataFrame, path: str, fmt: str = "parquet") -> str:
-    writer = dataset.sortWithinPartitions("issue_created_at", "issue_number").write.mode("errorifexists")
+    # The partition column leads, so the writer keeps the order inside every file.
+    ordered = dataset.sortWithinPartitions("final_split", "issue_created_at", "issue_number")
+    writer = ordered.write.mode("errorifexists")
     writer = writer.partitionBy("final_split")
     if fmt == "parquet":
         writer.parquet(path)
@@ -44,7 +49,9 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=No
 
 def row_hash(columns: list[str]) -> Column:
     """60-bit integer from the SHA-256 of the row's values (in column order)."""
-    text = F.concat_ws(ROW_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    # A value is marked, so NULL and the empty string differ.
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]
+    text = F.concat_ws(ROW_SEPARATOR, *marked)
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
 
 
@@ -57,18 +64,34 @@ def split_digest(dataset: DataFrame, columns: list[str]) -> DataFrame:  # K3
     )
 
 
-def split_manifest_with_digest(dataset: DataFrame, columns: list[str]) -> DataFrame:  # K2 + K3
-    """Rows, distinct groups and digest for each of the three splits."""
+def split_manifest(
+    dataset: DataFrame,
+    columns: list[str],
+    labels: Sequence[str],
+    created_after: str,
+    closed_before: str,
+    validation_fraction: float,
+    lockbox_fraction: float,
+    repository: str = DEFAULT_REPOSITORY,
+) -> DataFrame:  # K2 + K3 + G4
+    """One row per split (empty ones too): the run's parameters, rows, distinct groups and content digest."""
     names = dataset.sparkSession.createDataFrame([(n,) for n in SPLIT_NAMES], "final_split string")
-    h = row_hash(columns)
-    per_split = dataset.groupBy("final_split").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("split_group_id").alias("groups"),
-        F.bit_xor(h).alias("xor_hash"),
-    )
-    return F.broadcast(names).join(per_split, "final_split", "left").select(
-        "final_split",
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.coalesce("groups", F.lit(0)).alias("groups"),
-        F.coalesce("xor_hash", F.lit(0).cast("bigint")).alias("xor_hash"),
+    digest = split_digest(dataset, columns)
+    groups = dataset.groupBy("final_split").agg(F.count_distinct("split_group_id").alias("groups"))
+    per_split = names.join(digest, "final_split", "left").join(groups, "final_split", "left")
+
+    def utc(value: str) -> str:
+        return datetime.fromisoformat(value).astimezone(timezone.utc).isoformat()
+
+    run = {
+        "repository": repository, "created_after": utc(created_after), "closed_before": utc(closed_before),
+        "split_method": SPLIT_METHOD, "validation_fraction": float(validation_fraction),
+        "lockbox_fraction": float(lockbox_fraction), "labels": "|".join(labels),
+    }
+    rows = F.coalesce("rows", F.lit(0))
+    return per_split.select(
+        "final_split", rows.alias("rows"), F.coalesce("groups", F.lit(0)).alias("groups"),
+        F.coalesce("xor_hash", F.lit(0).cast("bigint")).alias("xor_hash"), F.coalesce("sum_hash", F.lit("0")).alias("sum_hash"),
+        F.sum(rows).over(Window.partitionBy()).alias("total_rows"),  # three rows
+        *[F.lit(v).alias(k) for k, v in run.items()],
     )

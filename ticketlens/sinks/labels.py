@@ -23,6 +23,7 @@ EXIT_CODES = {
     "malformed": 1,
     "dry_run": 0,
     "no_labels": 0,
+    "no_event": 1,
     "missing_labels": 1,
     "apply": 0,
 }
@@ -55,6 +56,7 @@ def write_status(config: RunConfig) -> Column:  # K5 gates first, then per event
         return per_event.otherwise(F.lit("dry_run"))
     return (
         per_event.when(F.size("labels_to_apply") == 0, F.lit("no_labels"))
+        .when(F.col("owner").isNull(), F.lit("no_event"))  # a bare title and body: nowhere to write
         .when(F.size("missing_labels") > 0, F.lit("missing_labels"))
         .otherwise(F.lit("apply"))
     )

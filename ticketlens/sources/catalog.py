@@ -1,12 +1,12 @@
 """Label catalog and model bundle.
 
 The catalog is configuration: an ordered list of labels with taxonomy and
-threshold. It is small by construction and checked to be (``MAX_LABELS``), so
-operators inline it as literals (arrays, maps) or broadcast it.
+threshold. Per-row operators inline it as literals (arrays, maps); the long
+forms join its DataFrame, which also suits catalogs of many thousands of labels.
 
-``load_artifacts`` reads a bundle directory (manifest, label schema,
-thresholds) with Spark and evaluates every rule as a row of a violations
-DataFrame; ``load_artifacts`` refuses a bundle with violations.
+``bundle_checks`` evaluates every rule on a table of bundles (manifest, label
+schema, thresholds as VARIANT), one row per failed rule; values are typed by
+JSON type, never coerced. ``load_artifacts`` refuses a bundle with violations.
 """
 
 from __future__ import annotations
@@ -25,12 +25,10 @@ from ticketlens.fixed_values import (
     MODEL_BACKEND,
     MODEL_MAX_LENGTH,
     MODEL_VERSION,
-    PREPROCESSING_VERSION,
     SUPPORTED_TAXONOMIES,
+    TEXT_CONTRACT_VERSION,
 )
 
-MAX_LABELS = 10_000  # a catalog is inlined into plans; refuse anything bigger
-
 
 class ArtifactError(ValueError):
     pass
@@ -47,8 +45,6 @@ class LabelCatalog:
     extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
-        if len(self.labels) > MAX_LABELS:
-            raise ArtifactError(f"catalog has {len(self.labels)} labels; limit is {MAX_LABELS}")
         if not (len(self.labels) == len(self.taxonomies) == len(self.thresholds)):
             raise ArtifactError("catalog columns differ in length")
 
@@ -78,15 +74,9 @@ class LabelCatalog:
             pairs += [F.lit(label), F.lit(value)]
         return F.create_map(*pairs)
 
-    def threshold_of(self, label: Column) -> Column:
-        return self._map(self.thresholds)[label]
-
     def taxonomy_of(self, label: Column) -> Column:
         return self._map(self.taxonomies)[label]
 
-    def ord_of(self, label: Column) -> Column:
-        return self._map(range(len(self.labels)))[label]
-
     def label_at(self, ord_: Column) -> Column:
         return F.element_at(F.array(*[F.lit(x) for x in self.labels]), ord_ + 1)
 
@@ -121,15 +111,31 @@ def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, path, "variant"))
 
 
-def bundle_violations(spark: SparkSession, directory: str, backend: str | None = None) -> DataFrame:
-    """One row per failed rule; empty when the bundle is valid."""
-    one = read_bundle(spark, directory)
+_NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$"
+
+
+def _is_string(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def bundle_checks(bundles: DataFrame, backend: str | None = None, contract: str = TEXT_CONTRACT_VERSION) -> DataFrame:
+    """One row per failed rule of bundles (columns m, s, t; all other columns are kept)."""
     m, s, t = F.col("m"), F.col("s"), F.col("t")
+    keys = [c for c in bundles.columns if c not in ("m", "s", "t")]
     values = F.when(F.variant_get(t, "$.values", "variant").isNotNull(), F.variant_get(t, "$.values", "variant")).otherwise(t)
+    raw_labels = F.try_variant_get(m, "$.labels", "array<variant>")
     manifest_labels = F.try_variant_get(m, "$.labels", "array<string>")
-    schema_items = F.try_variant_get(s, "$.labels", "array<struct<name:string,taxonomy:string>>")
-    threshold_map = F.try_variant_get(values, "$", "map<string,double>")
-    schema_names = F.transform(schema_items, lambda x: x["name"])
+    schema_items = F.try_variant_get(s, "$.labels", "array<variant>")
+    raw_thresholds = F.try_variant_get(values, "$", "map<string,variant>")
+
+    def field(item: Column, name: str) -> Column:
+        return F.try_variant_get(item, f"$.{name}", "variant")
+
+    def text(item: Column, name: str) -> Column:
+        return F.try_variant_get(item, f"$.{name}", "string")
+
+    schema_names = F.transform(schema_items, lambda x: text(x, "name"))
+    typed_items = F.forall(schema_items, lambda x: _is_string(field(x, "name")) & _is_string(field(x, "taxonomy")))
 
     checks = [
         ("manifest_not_object", ~_kind(m, "$").startswith("OBJECT")),
@@ -138,33 +144,43 @@ def bundle_violations(spark: SparkSession, directory: str, backend: str | None =
         ("missing_model_version", (_kind(m, "$.model_version") != "STRING")
          | (F.try_variant_get(m, "$.model_version", "string") == "")),
         ("missing_backend", _kind(m, "$.backend") != "STRING"),
-        ("labels_not_ordered_list", manifest_labels.isNull()
-         | ~_kind(m, "$.labels").startswith("ARRAY")),
+        ("labels_not_ordered_list", raw_labels.isNull() | ~F.forall(raw_labels, _is_string)),
         ("duplicate_manifest_labels", F.size(F.array_distinct(manifest_labels)) != F.size(manifest_labels)),
         ("invalid_max_length", (_kind(m, "$.max_length") != "BIGINT")
          | (F.try_variant_get(m, "$.max_length", "bigint") < MIN_MAX_LENGTH)),
         ("schema_labels_not_list", schema_items.isNull()),
-        ("invalid_taxonomy", F.exists(schema_items, lambda x: ~x["taxonomy"].isin(*SUPPORTED_TAXONOMIES)
-                                      | ~x["name"].startswith(F.concat(x["taxonomy"], F.lit("/")))
-                                      | x["name"].isNull())),
+        ("schema_label_not_typed", ~typed_items),
+        ("invalid_taxonomy", F.exists(schema_items, lambda x: ~F.coalesce(
+            text(x, "taxonomy").isin(*SUPPORTED_TAXONOMIES)
+            & text(x, "name").startswith(F.concat(text(x, "taxonomy"), F.lit("/"))), F.lit(False)))),
         ("schema_manifest_order", ~F.coalesce(schema_names == manifest_labels, F.lit(False))),
         ("threshold_labels", ~F.coalesce(
-            F.array_sort(F.map_keys(threshold_map)) == F.array_sort(manifest_labels), F.lit(False))),
-        ("threshold_range", F.exists(F.map_values(threshold_map), lambda x: x.isNull() | (x < 0) | (x > 1))),
+            F.array_sort(F.map_keys(raw_thresholds)) == F.array_sort(manifest_labels), F.lit(False))),
+        ("threshold_not_number", F.exists(F.map_values(raw_thresholds), lambda x: ~F.coalesce(
+            F.schema_of_variant(x).rlike(_NUMBER), F.lit(False)))),
+        ("threshold_range", F.exists(F.map_values(raw_thresholds), lambda x: ~F.coalesce(
+            F.try_variant_get(x, "$", "double").between(0.0, 1.0), F.lit(False)))),
         ("preprocessing_version", (F.try_variant_get(m, "$.backend", "string") == "transformer")
-         & ~F.coalesce(F.try_variant_get(m, "$.preprocessing_version", "string") == PREPROCESSING_VERSION, F.lit(False))),
+         & ~F.coalesce(F.try_variant_get(m, "$.preprocessing_version", "string") == contract, F.lit(False))),
     ]
     if backend is not None:
         checks.append(("backend_mismatch", ~F.coalesce(F.try_variant_get(m, "$.backend", "string") == backend, F.lit(False))))
-    flagged = one.select(F.inline(F.array(*[
+    flagged = bundles.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.coalesce(cond, F.lit(True)).alias("failed")) for rule, cond in checks
     ])))
-    return flagged.where("failed").select("rule")
+    return flagged.where("failed").select(*keys, "rule")
+
+
+def bundle_violations(spark: SparkSession, directory: str, backend: str | None = None,
+                      contract: str = TEXT_CONTRACT_VERSION) -> DataFrame:
+    """One row per failed rule of a bundle directory; empty when the bundle is valid."""
+    return bundle_checks(read_bundle(spark, directory), backend, contract)
 
 
-def load_artifacts(spark: SparkSession, directory: str, backend: str | None = None) -> LabelCatalog:
+def load_artifacts(spark: SparkSession, directory: str, backend: str | None = None,
+                   contract: str = TEXT_CONTRACT_VERSION) -> LabelCatalog:
     """Validated catalog from a bundle; raises with every failed rule."""
-    bad = [r["rule"] for r in bundle_violations(spark, directory, backend).collect()]
+    bad = [r["rule"] for r in bundle_violations(spark, directory, backend, contract).collect()]
     if bad:
         raise ArtifactError("invalid model bundle: " + ", ".join(sorted(bad)))
     row = read_bundle(spark, directory).select(
@@ -174,28 +190,32 @@ def load_artifacts(spark: SparkSession, directory: str, backend: str | None = No
         F.variant_get("m", "$.max_length", "int").alias("max_length"),
         F.coalesce(F.try_variant_get("t", "$.values", "map<string,double>"),
                    F.try_variant_get("t", "$", "map<string,double>")).alias("thresholds"),
-    ).first()  # one row of configuration, size-checked below
-    if len(row["labels"]) > MAX_LABELS:
-        raise ArtifactError("catalog too large to inline")
+    ).first()  # one row of configuration
     return LabelCatalog.with_thresholds(
         row["labels"], dict(row["thresholds"]), version=row["version"], backend=row["backend"],
         max_length=row["max_length"],
     )
 
 
+def bundle_payloads(catalog: LabelCatalog, model_name: str = "ticketlens", strategy: str = "taxonomy") -> dict[str, dict]:
+    """Manifest, label schema and thresholds of a catalog, by bundle key."""
+    return {
+        "m": {
+            "model_name": model_name, "model_version": catalog.version, "backend": catalog.backend,
+            "max_length": catalog.max_length, "preprocessing_version": TEXT_CONTRACT_VERSION,
+            "labels": list(catalog.labels), "threshold_strategy": strategy,
+        },
+        "s": {"labels": [{"name": lab, "taxonomy": tax} for lab, tax in zip(catalog.labels, catalog.taxonomies)]},
+        "t": {"strategy": strategy, "values": dict(zip(catalog.labels, catalog.thresholds))},
+    }
+
+
 def write_bundle(spark: SparkSession, directory: str, catalog: LabelCatalog, model_name: str = "ticketlens",
                  strategy: str = "taxonomy") -> str:
     """Write manifest, label schema and thresholds as a bundle (Spark writers, so
     shared storage works); refuses an existing target."""
     d = directory.rstrip("/")
-    manifest = {
-        "model_name": model_name, "model_version": catalog.version, "backend": catalog.backend,
-        "max_length": catalog.max_length, "preprocessing_version": PREPROCESSING_VERSION,
-        "labels": list(catalog.labels), "threshold_strategy": strategy,
-    }
-    schema = {"labels": [{"name": lab, "taxonomy": tax} for lab, tax in zip(catalog.labels, catalog.taxonomies)]}
-    thresholds = {"strategy": strategy, "values": dict(zip(catalog.labels, catalog.thresholds))}
-    for key, payload in (("m", manifest), ("s", schema), ("t", thresholds)):
+    for key, payload in bundle_payloads(catalog, model_name, strategy).items():
         text = spark.createDataFrame([(json.dumps(payload),)], "value string")
         text.coalesce(1).write.mode("errorifexists").text(f"{d}/{BUNDLE_FILES[key]}")
     return d

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticketlens.functions import variant as VT
 from ticketlens.functions.arrays import posexplode_computed
 
-ISSUE_COLUMNS = ("number", "title", "body", "created_at", "closed_at", "html_url", "labels", "is_pull_request")
+ISSUE_COLUMNS = ("number", "title", "body", "body_kind", "created_at", "closed_at", "html_url", "labels", "is_pull_request")
 
 
 def read_issue_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +39,7 @@ def issue_fields(item: Column) -> list[Column]:
         _typed(item, "$.number", "BIGINT", "bigint").alias("number"),
         _typed(item, "$.title", "STRING", "string").alias("title"),
         _typed(item, "$.body", "STRING", "string").alias("body"),
+        F.coalesce(VT.kind(item, "$.body"), F.lit("VOID")).alias("body_kind"),
         _typed(item, "$.created_at", "STRING", "string").alias("created_at"),
         _typed(item, "$.closed_at", "STRING", "string").alias("closed_at"),
         _typed(item, "$.html_url", "STRING", "string").alias("html_url"),
@@ -47,6 +48,11 @@ def issue_fields(item: Column) -> list[Column]:
     ]
 
 
+def valid_body(issues: DataFrame) -> Column:
+    """A body must be text, JSON null or missing (views without ``body_kind`` hold typed text)."""
+    return F.col("body_kind").isin("STRING", "VOID") if "body_kind" in issues.columns else F.lit(True)
+
+
 def scan_issue_pages(pages: DataFrame, text_col: str = "page_text", keep: tuple[str, ...] = ()) -> DataFrame:  # S1
     """Issue objects of every page as typed rows (plus ``keep`` columns)."""
     items = posexplode_computed(
@@ -64,6 +70,6 @@ def bad_pages(pages: DataFrame, text_col: str = "page_text") -> DataFrame:
 
 def issue_lookup(issues: DataFrame, wanted: DataFrame) -> DataFrame:  # S6
     """Issues named in ``wanted`` (owner, repo, number): a semi-join, never a scan
-    per key. Pull requests and rows with an invalid title are refused."""
+    per key. Pull requests and rows with an invalid title or body are refused."""
     hits = issues.join(wanted, ["owner", "repo", "number"], "left_semi")
-    return hits.where(~F.col("is_pull_request") & F.col("title").isNotNull())
+    return hits.where(~F.col("is_pull_request") & F.col("title").isNotNull() & valid_body(issues))

@@ -6,6 +6,8 @@ pages are landed); items without a string ``name`` are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,13 @@ def scan_label_pages(pages: DataFrame, text_col: str = "page_text") -> DataFrame
     )
 
 
-def label_sets(repo_labels: DataFrame) -> DataFrame:
+def label_sets(repo_labels: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """One row per repository with its distinct labels.
 
-    A repository's label list is bounded by the host (a few hundred labels),
-    so the per-repository array is a bounded group.
+    With ``labels`` (a catalog) only those are gathered, so a set is bounded by
+    the catalog whatever a repository lists; every repository keeps its row.
     """
+    if labels is not None:
+        known = F.col("label").isin(list(labels))
+        repo_labels = repo_labels.withColumn("label", F.when(known, F.col("label")))
     return repo_labels.groupBy("owner", "repo").agg(F.array_sort(F.collect_set("label")).alias("labels"))

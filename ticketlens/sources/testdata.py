@@ -59,7 +59,7 @@ WITH base AS (
   FROM @documents)
 SELECT number,
   CASE WHEN k = 7 THEN concat('[sig-node] ', first_line) ELSE first_line END AS title,
-  CASE WHEN k = 0 THEN NULL
+  CASE WHEN k = 0 AND instr(text, chr(10)) = 0 THEN NULL
        WHEN k = 1 THEN concat('/sig node', chr(10), text)
        WHEN k = 2 THEN concat('> - `/kind bug`', chr(10), text, chr(10), 'Fixes #', CAST(number AS STRING))
        WHEN k = 3 THEN concat('<!-- template -->', text, '<br/>see https://example.test/a(b)')
@@ -134,7 +134,7 @@ FROM @documents
 
 COMPAT_TEXTS = _compat_sql()
 
-# Model outputs: the first 30 embedding entries are logits in catalog order.
+# Model outputs: the embedding, whose entries fold onto the catalog's positions (``logits``).
 LOGITS = """
 SELECT vec_id, label AS true_class, embedding FROM @embeddings
 """

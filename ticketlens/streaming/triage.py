@@ -6,8 +6,9 @@ label sets. The sink is a Parquet table with a checkpoint; ``availableNow``
 drains what is landed and stops, so the same code serves scheduled runs.
 
 Label application is a set union keyed by (owner, repo, issue_number,
-label): each micro-batch anti-joins the applied table before appending, so a
-replayed batch (restart after failure, or a reprocessing run) adds nothing.
+label): each micro-batch anti-joins its partitions of the applied table before
+appending, so a replayed batch (restart after failure, or a reprocessing run)
+adds nothing and costs what the batch holds, not what was ever applied.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from pyspark.sql.utils import AnalysisException
 from ticketlens.plans.triage import triage_issues
 from ticketlens.sinks.labels import RunConfig, labels_to_write
 from ticketlens.sources.catalog import LabelCatalog
-from ticketlens.sources.events import stream_envelopes
+from ticketlens.sources.events import stream_envelopes, stream_event_files
 
 APPLIED_KEY = ["owner", "repo", "issue_number", "label"]
 
 
-def land_envelopes(payloads: DataFrame, path: str, files: int = 8) -> str:
-    """Write (event_id, payload) as JSON-lines files, the streaming landing form."""
-    payloads.select("event_id", "payload").repartition(files).write.mode("errorifexists").json(path)
+def land_envelopes(payloads: DataFrame, path: str) -> str:
+    """Write (event_id, payload) as JSON-lines files, the streaming landing form (a file per task)."""
+    payloads.select("event_id", "payload").write.mode("errorifexists").json(path)
     return path
 
 
@@ -60,21 +61,36 @@ def start_triage_stream(
     )
 
 
+# The applied table is partitioned by a hash of the issue: a micro-batch reads
+# and appends only the partitions its own issues fall into.
+APPLIED_BUCKETS = 256
+
+
+def _bucketed(labels: DataFrame) -> DataFrame:
+    return labels.withColumn("bucket", F.pmod(F.xxhash64("owner", "repo", "issue_number"), F.lit(APPLIED_BUCKETS)).cast("int"))
+
+
 def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing applied yet
-        return spark.createDataFrame([], like.schema)
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)  # nothing applied yet
 
 
 def apply_batch(applied_path: str):
     """foreachBatch body: append only (owner, repo, issue_number, label) rows not applied yet."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        new = labels_to_write(batch).dropDuplicates(APPLIED_KEY)
-        done = _existing(batch.sparkSession, applied_path, new).select(*APPLIED_KEY)
-        fresh = new.join(done, APPLIED_KEY, "left_anti")
-        fresh.write.mode("append").parquet(applied_path)
+        new = _bucketed(labels_to_write(batch).dropDuplicates(APPLIED_KEY)).persist()
+        try:
+            buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most APPLIED_BUCKETS
+            done = _existing(batch.sparkSession, applied_path, new).where(F.col("bucket").isin(buckets))
+            fresh = new.join(done.select(*APPLIED_KEY), APPLIED_KEY, "left_anti")
+            fresh.write.mode("append").partitionBy("bucket").parquet(applied_path)
+        finally:
+            new.unpersist()
 
     return run
 
@@ -96,3 +112,13 @@ def start_apply_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_file_triage_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, catalog: LabelCatalog, config: RunConfig):
+    """Triage landed payload files, one JSON object each (S2 as a stream); the file path is the event's id."""
+    events = stream_event_files(spark, landing).withColumnRenamed("event_path", "event_id")
+    return (
+        flatten_plan(triage_issues(events, catalog, config)).writeStream.format("parquet")
+        .option("path", sink).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
