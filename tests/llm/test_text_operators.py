@@ -161,7 +161,9 @@ def lines_brute(rows, min_sites):
     return out
 
 
-def test_line_dedup_equals_exact_counting(make_docs, empty_docs):
+@pytest.mark.parametrize("broadcast_lines", [0, 1_000_000])
+def test_line_dedup_equals_exact_counting(make_docs, empty_docs, monkeypatch, broadcast_lines):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast_lines)
     rnd = random.Random(3)
     pool = [f"line number {i}" for i in range(12)] + ["", "  ", " line number 1 "]
     rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 8))), f"site{rnd.randint(0, 11)}") for i in range(80)]

@@ -30,6 +30,8 @@ from ticketlens.llm.common import WORD_SPACE, written
 MIN_SITES = 5
 #: log2 of the sketch's registers; standard error 1.04 / sqrt(2 ** LG_REGISTERS).
 LG_REGISTERS = 8
+#: Boilerplate lines (about 40 bytes each) are broadcast up to this count, else joined by shuffle.
+BROADCAST_LINES = 1_000_000
 
 
 def _without():
@@ -90,8 +92,12 @@ def dedup(
     spark = docs.sparkSession
     lines = written(spark, line_table(docs, doc_id, text, site), "lines")
     bad = written(spark, boilerplate(lines, min_sites), "boilerplate")
-    found = lines.join(bad, "h", "left_semi").select("h", F.struct("doc", "row_key", "pos").alias("at"))
-    firsts = found.groupBy("h").agg(F.min("at").alias("first"))
+    # Boilerplate lines are looked up where the lines are while their count allows; a join on the
+    # line would bring all rows of a very common line to one place.
+    few = bad.count() <= BROADCAST_LINES
+    found = lines.join(F.broadcast(bad) if few else bad, "h", "left_semi").select("h", F.struct("doc", "row_key", "pos").alias("at"))
+    firsts = written(spark, found.groupBy("h").agg(F.min("at").alias("first")), "boilerplate-firsts")
+    firsts = F.broadcast(firsts) if few else firsts
     tag = uuid.uuid4().hex[:8]  # names no column of the input has
     doc, key, name = f"doc_{tag}", f"key_{tag}", f"removed_{tag}"
     removed = (
