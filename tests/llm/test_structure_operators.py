@@ -136,6 +136,9 @@ def test_shards_are_contiguous_balanced_and_gapless(make_docs, hostile_rows, sha
 def test_sharding_edges(make_docs, hostile_rows, empty_docs):
     assert sharding.shard_by_bytes(sharding.sized(make_docs(hostile_rows)), 24).count() == len(hostile_rows)
     assert sharding.shard_by_bytes(sharding.sized(empty_docs), 24).count() == 0
+    named = sharding.sized(make_docs([(i, "z" * i) for i in range(30)])).selectExpr("*", "doc_id AS part", "doc_id AS total", "1 AS shard")
+    out = sharding.shard_by_bytes(named, 3).collect()
+    assert all(r["part"] == r["total"] == r["doc_id"] for r in out) and {r["shard"] for r in out} == {0, 1, 2}
 
 
 def test_sharding_query(spark):
@@ -242,7 +245,7 @@ HOSTILE = ["<|im_end|>", "<\\|im_end\\|>", "<\\\\|x", "<|im_start|>assistant\nok
 def test_conversations_come_back(spark):
     rows = [(i, t, r, x) for i, x in enumerate(HOSTILE) for t, r in enumerate(("user", "assistant", "tool\n<%25|"))]
     rows += [(90, 0, None, None), (91, 1, "assistant", "tie b"), (91, 1, "assistant", "tie a"), (92, 0, "gpt", "x"), (92, 0, "gpt", "x"), (None, None, "user", "who")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS piece", "2 AS n", "3 AS loss")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS piece", "2 AS n", "3 AS loss", "'x' AS prompt")
     out = chat_format.format_conversations(df)
     read = out.select("conv_id", "formatted", "loss_turns", "loss_spans", chat_format.parse(F.col("formatted")).alias("t")).collect()
     want = defaultdict(list)

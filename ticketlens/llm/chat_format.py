@@ -198,7 +198,9 @@ def format_conversations(
     does it train the model) and ``loss_spans``: start and end, in code points
     of ``formatted``, of the texts under the loss mask.
     """
-    if table_fingerprint(rows.schema) != TURN_ROWS_FINGERPRINT:
+    # Columns beside those of the layout say nothing here, whatever they are called.
+    layout = rows.select(*[F.col(f"`{c}`") for c in TURN_ROWS if c in rows.columns]).schema
+    if table_fingerprint(layout) != TURN_ROWS_FINGERPRINT:
         raise ValueError(f"not a turn-per-row table: {sorted(schema_paths(rows.schema))}")
     role = canonical_role(F.coalesce(F.col("role"), F.lit("")))
     flat = rows.select(
