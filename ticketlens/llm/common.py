@@ -22,10 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, lost executors lose nothing."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table made by ``written`` that no later step reads."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps now, not when the driver next collects its garbage."""
     import gc
