@@ -54,6 +54,23 @@ def test_encoder_equals_the_library(vocabulary):
     assert [decode(g.tolist()) for g in got] == [reference.decode(g.tolist()) for g in got]
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_batches_and_single_words_agree(vocabulary, monkeypatch, few):
+    monkeypatch.setattr(sentencepieces, "FEW_WORDS", few)
+    reference = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER_MODEL)
+    texts = [t for (t,) in given("documents", "text")][:60] + ["=" * 700, "ab" * 333, "你" * 50]
+    assert [g.tolist() for g in sentencepieces.Encoder(vocabulary).encode(texts)] == reference.encode(texts)
+
+
+def test_a_long_run_is_encoded_in_linear_time(vocabulary):
+    import time
+
+    encoder = sentencepieces.Encoder(vocabulary)
+    t = time.perf_counter()
+    assert len(encoder.encode(["a" * 200_000])[0]) > 10_000
+    assert time.perf_counter() - t < 20
+
+
 def test_memory_starts_anew_without_changing_results(vocabulary, monkeypatch):
     texts = [t for (t,) in given("documents", "text")][:40]
     want = [g.tolist() for g in sentencepieces.Encoder(vocabulary).encode(texts)]
@@ -62,7 +79,9 @@ def test_memory_starts_anew_without_changing_results(vocabulary, monkeypatch):
     assert [encoder.encode([t])[0].tolist() for t in texts] == want
 
 
-def test_unigram_viterbi_is_the_best_path():
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_unigram_viterbi_is_the_best_path(monkeypatch, few):
+    monkeypatch.setattr(sentencepieces, "FEW_WORDS", few)
     pieces = ("<unk>", "▁", "a", "b", "▁a", "ab", "ba", "▁ab", "bab")
     scores = (0.0, -3.1, -2.5, -2.7, -2.2, -3.3, -2.9, -4.4, -4.1)
     v = sentencepieces.Vocabulary("unigram", pieces, scores, (False,) + (True,) * 8, (), 0)

@@ -47,6 +47,8 @@ SPACE = "▁"
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words remembered per Python worker; beyond that the memory starts anew.
 REMEMBERED_WORDS = 800_000
+#: Fewer words of one length than this are not worth a batch.
+FEW_WORDS = 32
 #: Characters of words that advance together at most.
 BATCH_CHARS = 1 << 18
 
@@ -232,6 +234,32 @@ class Encoder:
                 score[at, j], last[at, j], back[at, j] = total, token[at], j - width
         return [self._walk(last[r].tolist(), back[r].tolist(), size) for r in range(n)]
 
+    def _advance_one(self, word: str) -> bytes:
+        """The same lattice for one word, step by step: for lengths too rare to be worth a batch."""
+        bpe, known, none = self.v.kind == "bpe", self.apart, 0x7FFFFFFF
+        size, foreign, lowest = len(word), len(self.v.pieces), min(self.v.scores) - 10.0
+        last, back = [none] * (size + 1), [-1] * (size + 1)
+        score = [0.0] + [None] * size
+        for j in range(1, size + 1):
+            for width in range(min(j, self.longest), 0, -1):
+                i = j - width
+                token = self.id.get(word[i:j])
+                if score[i] is None or (token is None and width > 1):
+                    continue
+                gain = lowest if token is None else self.v.scores[token]
+                token = foreign + ord(word[i]) if token is None else token
+                if bpe:
+                    code = (last[i] << 32) | token
+                    ok = known.get(code)
+                    if ok is None:
+                        ok = bool(self._stay_apart([code])[0])
+                    if ok:
+                        score[j], last[j], back[j] = 0.0, token, i
+                        break
+                elif score[j] is None or score[i] + gain > score[j]:
+                    score[j], last[j], back[j] = score[i] + gain, token, i
+        return self._walk(last, back, size)
+
     def _walk(self, last: list[int], back: list[int], j: int) -> bytes:
         out: list[int] = []
         while j > 0:
@@ -270,7 +298,10 @@ class Encoder:
         for part in {p for ps in cut for p in ps} - self.parts.keys():
             groups.setdefault(len(part), []).append(part)
         for size, group in groups.items():
-            at_once = max(1, BATCH_CHARS // size)
+            if len(group) < FEW_WORDS:
+                self.parts.update((p, self._advance_one(p)) for p in group)
+                continue
+            at_once = max(FEW_WORDS, BATCH_CHARS // size)
             for i in range(0, len(group), at_once):
                 some = group[i : i + at_once]
                 self.parts.update(zip(some, self._advance(some)))
