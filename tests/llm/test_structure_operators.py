@@ -317,6 +317,17 @@ def test_template_of_a_host_is_left_out(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_pages_without_html_are_no_reference(spark):
+    rows = [(i, "http://a.example/", page(f"<p>Text {i}</p>")) for i in range(8)]
+    rows += [(-1, "http://a.example/", None), (-2, "http://a.example/", "")]
+    rows += [(i, "http://b.example/", "") for i in range(20, 60)]
+    rows += [(None if i == 13 else i, "http://b.example/", page(f"<p>Text {i}{'x' * (i == 15)}</p>")) for i in range(10, 16)]
+    got = sorted(wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["text"])
+    want = [f"Text {i}" for i in range(15)] + ["Text 15x"]
+    assert [r["text"] for r in got if r["text"]] == sorted(w for w in want if w not in ("Text 8", "Text 9"))
+    assert len(got) == len(rows)
+
+
 def test_extraction_query_keeps_whole_articles(spark):
     import html
 
