@@ -328,6 +328,18 @@ def test_pages_without_html_are_no_reference(spark):
     assert len(got) == len(rows)
 
 
+def test_each_layout_of_a_host_has_its_template(spark):
+    def other(i):
+        return f'<html><body class="b"><main><section class="s"><p>Read our offers</p></section><p>Other {i}</p></main></body></html>'
+
+    rows = [(i, "http://a.example/", page(f"<p>Text {i}</p>") if i % 2 else other(i)) for i in range(20)]
+    rows += [(30 + i, "http://few.example/", page(f"<p>Text {i}</p>") if i < 6 else other(i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"Text {i}" if i % 2 else f"Other {i}") for i in range(20))
+    # A layout on fewer pages than MIN_PAGES proves no template.
+    assert [got[30 + i] for i in range(8)] == [f"Text {i}" if i < 6 else f"Read our offers Other {i}" for i in range(8)]
+
+
 def test_extraction_query_keeps_whole_articles(spark):
     import html
 
