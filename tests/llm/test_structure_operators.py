@@ -360,6 +360,28 @@ def test_hostile_markup_is_read_in_linear_time(source):
     assert time.perf_counter() - t < 5
 
 
+@pytest.mark.parametrize(
+    "middle, kept",
+    [
+        ('<svg class="icon"/>', ""), ("<svg/><svg><title>t</title></svg>", ""), ("<math/>", ""), ("<svg><g><svg/></g><text>t</text></svg>", ""),
+        ("<svg><svg>a</svg>b</svg>", ""), ("<SVG a='>'>x</SVG >", ""), ("<noscript>n</noscript>", ""), ("<svg>", ""), ("<object>", ""),
+        ("<noscript>seen ", "seen "), ("<select>", ""), ("<svg>in <svg>out</svg>", "in "), ("<svgs>in</svgs>", "in"),
+    ],
+)
+def test_raw_elements_take_only_themselves(middle, kept):
+    texts = [t for t, _ in wrapper.blocks(f"<article><p>One {middle}two</p><p>three</p></article>", None)]
+    assert " ".join(texts) == f"One {kept}two three"
+
+
+@pytest.mark.parametrize("source", ["<svg>" * 20_000, "<svg " * 20_000, "<svg/>" * 20_000, "<object><noscript>" * 9_000, "<svg>" * 9_000 + "</svg>" * 9_000])
+def test_hostile_raw_elements_are_read_in_linear_time(source):
+    test_hostile_markup_is_read_in_linear_time(source)
+
+
+def test_unclosed_scripts_swallow_the_rest():
+    assert wrapper.blocks("<p>One</p><script>x<p>two", None) == [("One", -1)]
+
+
 def test_tree_matching_is_the_best_order_keeping_match():
     a = wrapper.parse("<div><p>1</p><p>2</p><ul><li>x</li></ul><p>4</p></div>")[0]
     b = wrapper.parse("<div><p>2</p><ul><li>y</li><li>x</li></ul><p>3</p><p>4</p></div>")[0]
