@@ -378,6 +378,21 @@ def test_hostile_raw_elements_are_read_in_linear_time(source):
     test_hostile_markup_is_read_in_linear_time(source)
 
 
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        '<div class="content with-sidebar">{}</div>', '<div class="no-sidebar"><div id="site-menu-on">{}</div></div>',
+        '<div class="site navbar-fixed">{}<div class="sidebar">x</div></div>', '<div class="has-ads">{}<div class="ad">x</div></div>',
+        '<main><h1></h1><div class="content with-sidebar">{}</div></main>', '<div class="widget">{}</div>',
+        '{}<div class="related"><article>x</article></div>', '<div class="site no-sidebar">{}<div id="comments"><article>x</article></div></div>',
+        '{}<nav><article>x</article></nav>', '<div role="main" class="with-sidebar">{}</div>',
+    ],
+)
+def test_names_around_an_article_do_not_take_it_out(wrapped):
+    source = wrapped.format("<article><p>Text</p><div class='share-bar'>y</div></article>")
+    assert wrapper.blocks(f"<body>{source}</body>", None) == [("Text", -1)]
+
+
 def test_unclosed_scripts_swallow_the_rest():
     assert wrapper.blocks("<p>One</p><script>x<p>two", None) == [("One", -1)]
 
