@@ -103,6 +103,32 @@ def test_suffix_dedup_equals_brute_force(make_docs, monkeypatch, setting):
     assert got == sorted(removed_brute(rows), key=repr)
 
 
+def test_suffix_dedup_answers_hot_grams_where_they_are(make_docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_COPIES", 2)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 200)
+    rows = suffix_rows()
+    got = sorted(map(tuple, suffix_dedup.report(make_docs(rows)).collect()), key=repr)
+    assert got == sorted(removed_brute(rows), key=repr)
+
+
+def test_suffix_dedup_ranges_grow_with_the_text_and_hot_grams_do_not(make_docs, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    docs = suffix_dedup.keyed(make_docs([(i, "é" * 500) for i in range(100)]))
+    assert suffix_dedup._ranges(docs) == suffix_dedup.LEAST_RANGES
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 1000)
+    assert suffix_dedup._ranges(docs) == 100
+    passage = "a line that stands in every document of this table, word for word"
+    ids = list(range(500))
+    texts = pd.DataFrame({"did": ids[::-1], "th": [0] * 500, "text": [f"{passage} {i * 7919 ** 9} {i}" for i in ids]})
+    sent = pd.concat(suffix_dedup._send_grams(list(range(24)))([texts]))
+    counts = Counter(g for part in sent[~sent["known"]]["grams"] for g in np.frombuffer(part, dtype=np.uint64).tolist())
+    assert max(counts.values()) <= suffix_dedup.HOT_COPIES
+    answered = pd.concat(suffix_dedup._answer_grams([sent]))
+    assert set(answered["did"]) == set(ids)
+
+
 def test_suffix_dedup_given_documents_and_edges(spark, make_docs, hostile_rows, empty_docs):
     got = sorted(map(tuple, entry.queries()["op3_suffix_array_dedup"](spark, SF).collect()))
     assert got == sorted(removed_brute(given("documents", "doc_id, text")))
