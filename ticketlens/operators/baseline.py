@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NUM_FEATURES = 1 << 18
-#: Rows the models are fitted on at most (those of the smallest hash of their id); every row is scored.
+#: Rows the classifiers are fitted on at most (those of the smallest hash of their id); the IDF covers all training
+#: rows, and every row is scored.
 MAX_FIT_ROWS = 50_000
 
 

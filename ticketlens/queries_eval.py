@@ -212,12 +212,13 @@ def tfidf_features(spark, sf_dir):
 
 @query("tfidf_lr_scores")
 def tfidf_lr_scores(spark, sf_dir):
-    """Per-label logistic regression on TF-IDF, fitted on a bounded sample of train, scoring every row."""
+    """Per-label logistic regression on TF-IDF (IDF of the whole train split), fitted on a bounded sample of train,
+    scoring every row."""
     ds = _dataset(spark, sf_dir)
     targets = L.target_columns(LABELS)
-    train = B.fit_sample(ds.where(F.col("final_split") == "train"), "sample_id")
+    train = ds.where(F.col("final_split") == "train")
     feat_model = B.fit_features(train)
-    models = B.fit_label_models(feat_model.transform(train), targets)
+    models = B.fit_label_models(feat_model.transform(B.fit_sample(train, "sample_id")), targets)
     feats = feat_model.transform(ds)
     return B.score_labels(feats, models, LABELS, targets, ["sample_id", "final_split"])
 
