@@ -82,7 +82,57 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learned)::BIGINT
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op8_chat_format": OP8}
+OP11 = """
+WITH tbl AS (
+  SELECT list(x ORDER BY b) AS crc FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda r, i: xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384 ELSE 0 END)) AS x
+    FROM (SELECT unnest(range(256)) AS b))
+),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, length(coalesce(text, '')) AS chars, turn,
+         left(sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 32) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (
+  SELECT conv_id, list({'d': d, 'n': chars} ORDER BY turn NULLS FIRST, role, d) AS ts FROM t GROUP BY conv_id
+),
+heads AS (
+  SELECT conv_id, ts, xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda r, b: xor(r >> 8, crc[1 + (xor(r, b) & 255)])), 4294967295) % 6 AS h
+  FROM own, tbl
+),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(list_slice(b.ts, 1, a.h), []), list_slice(a.ts, a.h + 1, len(a.ts))) AS ts
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+),
+pre AS (
+  SELECT conv_id, depth, len(ts) AS size,
+         sha256(list_aggregate(list_prepend('', list_transform(list_slice(ts, 1, depth), lambda x: x.d)), 'string_agg', '')) AS k,
+         sha256(list_aggregate(list_prepend('', list_transform(list_slice(ts, 1, depth - 1), lambda x: x.d)), 'string_agg', '')) AS up,
+         CASE WHEN depth > 0 THEN ts[depth].n ELSE 0 END AS chars
+  FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS depth FROM rebuilt)
+),
+nodes AS (
+  SELECT k, depth, any_value(up) AS up, any_value(chars) AS chars, count(*) AS n, min(conv_id) AS first_id, max(size) AS deepest,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends
+  FROM pre GROUP BY k, depth
+),
+above AS (
+  SELECT DISTINCT p.k AS top, p.depth AS top_depth, q.k, q.depth FROM pre p JOIN pre q ON p.conv_id = q.conv_id AND q.depth >= p.depth
+),
+under AS (
+  SELECT a.top, a.top_depth, sum((x.n - 1) * x.chars)::BIGINT AS saved,
+         count(*) FILTER (x.deepest = x.depth)::BIGINT AS n_leaves, count(*) FILTER (x.depth = a.top_depth + 1)::BIGINT AS n_children
+  FROM above a JOIN nodes x ON x.k = a.k AND x.depth = a.depth GROUP BY a.top, a.top_depth
+)
+SELECT x.first_id AS conv_id, x.depth::BIGINT AS depth, p.first_id AS parent_conv_id, x.n::BIGINT AS n_convs, u.n_children,
+       u.n_leaves, u.saved AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN under u ON u.top = x.k AND u.top_depth = x.depth
+LEFT JOIN nodes p ON x.depth > 0 AND p.k = x.up AND p.depth = x.depth - 1
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op8_chat_format": OP8, "op11_prefix_trie": OP11}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm import (
-    chat_format, classifier, decontaminate, line_dedup, quality_rules, sentencepieces, sharding, simhash,
+    chat_format, classifier, decontaminate, jaccard_join, line_dedup, prefix_trie, quality_rules, sentencepieces, sharding, simhash,
     suffix_dedup, wrapper,
 )
 from ticketlens.llm.common import exactly, table
@@ -111,5 +111,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate class of every document by word shingles."""
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
