@@ -132,7 +132,43 @@ FROM nodes x JOIN under u ON u.top = x.k AND u.top_depth = x.depth
 LEFT JOIN nodes p ON x.depth > 0 AND p.k = x.up AND p.depth = x.depth - 1
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op8_chat_format": OP8, "op11_prefix_trie": OP11}
+_GRAM = "list_aggregate(list_slice(ws, p, p + {m} - 1), 'string_agg', ' ')"
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, {m} AS m, {_GRAM.format(m=m)} AS phrase, count(*) AS a FROM at WHERE p + {m} - 1 <= len(ws) GROUP BY lang, phrase"
+    for m in range(1, 6)
+)
+OP13 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\\n\\x0B\\f\\r]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM pieces),
+at AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+grams AS ({_GRAMS}),
+total AS (SELECT lang, sum(a) AS n FROM grams WHERE m = 1 GROUP BY lang),
+cand AS (SELECT * FROM grams WHERE m > 1 AND a >= 100),
+kept AS (
+  SELECT c.* FROM cand c WHERE NOT EXISTS (
+    SELECT 1 FROM cand x WHERE x.lang = c.lang AND x.m > c.m AND x.a >= c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))
+),
+cut AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS head,
+         array_to_string(list_slice(string_split(phrase, ' '), k + 1, m), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n, (1000 * c.a::HUGEINT * t.n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+  FROM cut c JOIN grams x ON x.lang = c.lang AND x.phrase = c.head JOIN grams y ON y.lang = c.lang AND y.phrase = c.tail
+  JOIN total t ON t.lang = c.lang
+),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op8_chat_format": OP8, "op11_prefix_trie": OP11, "op13_phrase_collocations": OP13}
 
 
 def oracle_sql() -> dict[str, str]:

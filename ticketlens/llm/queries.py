@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm import (
-    chat_format, classifier, decontaminate, jaccard_join, line_dedup, prefix_trie, quality_rules, sentencepieces, sharding, simhash,
+    chat_format, classifier, collocations, decontaminate, jaccard_join, line_dedup, prefix_trie, quality_rules, sentencepieces, sharding, simhash,
     suffix_dedup, wrapper,
 )
 from ticketlens.llm.common import exactly, table
@@ -123,5 +123,11 @@ def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
