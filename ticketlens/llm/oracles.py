@@ -134,7 +134,7 @@ LEFT JOIN nodes p ON x.depth > 0 AND p.k = x.up AND p.depth = x.depth - 1
 
 _GRAM = "list_aggregate(list_slice(ws, p, p + {m} - 1), 'string_agg', ' ')"
 _GRAMS = " UNION ALL ".join(
-    f"SELECT lang, {m} AS m, {_GRAM.format(m=m)} AS phrase, count(*) AS a FROM at WHERE p + {m} - 1 <= len(ws) GROUP BY lang, phrase"
+    f"SELECT lang, {m} AS m, {_GRAM.format(m=m)} AS phrase, count(*) AS a FROM spot WHERE p + {m} - 1 <= len(ws) GROUP BY lang, phrase"
     for m in range(1, 6)
 )
 OP13 = f"""
@@ -145,7 +145,7 @@ WITH pieces AS (
   FROM documents
 ),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM pieces),
-at AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+spot AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
 grams AS ({_GRAMS}),
 total AS (SELECT lang, sum(a) AS n FROM grams WHERE m = 1 GROUP BY lang),
 cand AS (SELECT * FROM grams WHERE m > 1 AND a >= 100),
