@@ -54,20 +54,21 @@ VOCABULARY = 500_000
 _HELD = 300_000
 #: A row of the coded corpus ends at the first barrier after so many codes.
 _SEGMENT = 1024
+#: Rows of the coded corpus walked at once.
+_ROWS = 512
 
-#: Fixed value: the bytes that end a piece; the others of this text separate words.
+#: Fixed value: the bytes that end a piece; space and tab separate words.
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
+#: Stands for the end of a piece in a list of words; no word holds it.
+_END = b"."
 
 
-def _pieces(text: str | None) -> Iterator[list[bytes]]:
-    """The words of every piece of a whole text, lower-cased (A-Z)."""
+def _words(text: str | None) -> list[bytes]:
+    """The words of a whole text, lower-cased (A-Z), with ``_END`` where pieces end."""
     if not text:
-        return
-    raw = text.encode("utf-8").lower().translate(bytes.maketrans(_PIECE_ENDS, b"\n" * len(_PIECE_ENDS)))
-    for piece in raw.split(b"\n"):
-        words = piece.split()  # only spaces and tabs are left
-        if words:
-            yield words
+        return []
+    raw = text.encode("utf-8").lower().translate(bytes.maketrans(_PIECE_ENDS, _END * len(_PIECE_ENDS)))
+    return raw.replace(_END, b" " + _END + b" ").split()
 
 
 def _counted(parts: Iterator) -> Iterator:
@@ -79,6 +80,8 @@ def _counted(parts: Iterator) -> Iterator:
     counts = defaultdict(Counter)
 
     def rows():
+        for c in counts.values():
+            c.pop(_END, None)
         table = [(lang, w.decode("utf-8"), n) for lang, c in counts.items() for w, n in c.items()]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in table], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"]
@@ -86,8 +89,7 @@ def _counted(parts: Iterator) -> Iterator:
 
     for batch in parts:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for words in _pieces(text.as_py()):
-                counts[lang].update(words)
+            counts[lang].update(_words(text.as_py()))
             if sum(map(len, counts.values())) > _HELD:
                 yield rows()
                 counts.clear()
@@ -141,11 +143,8 @@ def encode(docs: DataFrame, words: DataFrame, block: int = VOCABULARY) -> DataFr
             for batch in parts:
                 texts, known, rows = batch.column(1), batch.column(2), []
                 for i, lang in enumerate(batch.column(0).to_pylist()):
-                    get, codes = shared.value.get(lang, {}).get, []
-                    for piece in _pieces(texts[i].as_py()):
-                        codes += [get(w, 0) for w in piece]
-                        codes.append(0)
-                    codes = np.array(codes, dtype=np.int32)
+                    get = shared.value.get(lang, {}).get
+                    codes = np.array([*[get(w, 0) for w in _words(texts[i].as_py())], 0], dtype=np.int32)
                     if known[i].is_valid:
                         codes = np.maximum(codes, known[i].values.to_numpy())
                     rows.append(codes)
@@ -215,7 +214,7 @@ def _walked(shared) -> object:
             arrays = [node.astype(np.int32), word.astype(np.int32), sums.astype(np.int64), *[s.astype(np.int32) for s in sides]]
             return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["node", "word", "cnt", "l_min", "l_max", "r_min", "r_max"])
 
-        for batch in parts:
+        for batch in (b.slice(at, _ROWS) for b in parts for at in range(0, b.num_rows, _ROWS)):
             flat = np.concatenate([[0], batch.column(0).flatten().to_numpy(), [0] * (MAX_WORDS + 2)]).astype(np.int64)
             pos, node = np.arange(1, len(flat) - MAX_WORDS - 1), np.zeros(len(flat) - MAX_WORDS - 2, dtype=np.int64)
             for depth in range(MAX_WORDS):
