@@ -22,7 +22,7 @@ an empty table gives an empty table; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -165,13 +165,14 @@ def train(
 
 def score(text: Column, model: Model, spark) -> Column:
     """The score (0 to 1; higher: good is likelier) of a text column."""
-    shared = spark.sparkContext.broadcast(model)
+    # A plain tuple: broadcast values name their classes' module, which workers need not have.
+    shared = spark.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
-        m = shared.value
+        m = Model(*shared.value)
         mean, scale, w = np.array(m.mean), np.array(m.scale), np.array(m.weights)
         for texts in parts:
             z = [float(_standard(features(t), mean, scale) @ w) + m.bias for t in texts]

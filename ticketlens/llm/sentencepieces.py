@@ -33,7 +33,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -377,12 +377,17 @@ def _batches(texts: list, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
     yield first, len(texts)
 
 
+def _sent(spark: SparkSession, vocabulary: Vocabulary):
+    """Broadcast as a plain tuple: unlike functions, broadcast values name their classes' module, which workers need not have."""
+    return spark.sparkContext.broadcast(tuple(getattr(vocabulary, f.name) for f in fields(vocabulary)))
+
+
 def encode(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "token_ids", round_trip: str | None = None,
 ) -> DataFrame:
     """``docs`` plus ``ids`` (array<int>); with ``round_trip``, also whether decoding gives the text back."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = _sent(spark, vocabulary)
     extra = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if round_trip:
         extra.append(T.StructField(round_trip, T.BooleanType()))
@@ -394,7 +399,8 @@ def encode(
         import numpy as np
         import pyarrow as pa
 
-        encoder, decode = encoder_of(key, shared.value), decoder(shared.value)
+        given = Vocabulary(*shared.value)
+        encoder, decode = encoder_of(key, given), decoder(given)
         for batch in parts:
             texts = batch.column(at).to_pylist()
             for a, b in _batches(texts):
@@ -415,11 +421,11 @@ def encode(
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``df`` plus the decoded text of a column of token ids."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = _sent(df.sparkSession, vocabulary)
 
     @F.pandas_udf("string")
     def to_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        back = decoder(shared.value)
+        back = decoder(Vocabulary(*shared.value))
         for series in parts:
             yield pd.Series([back(x) for x in series], dtype=object)
 
