@@ -9,6 +9,11 @@ verdict is that of exact counting. Every occurrence of a boilerplate line is
 removed but the very first (smallest doc_id, then text, then position), so no
 content leaves the corpus altogether.
 
+While the boilerplate lines number at most ``BROADCAST_LINES``, they and their
+first places are sent to the tasks as sorted numbers and every document is cut
+where it is: no text is shuffled. Beyond that the removed positions are joined
+to the documents by a shuffle.
+
 Lines are compared without white space at their ends; blank lines are never
 removed. Cases: a null text stays null, an empty one empty; a null site counts
 as one site; a null doc_id sorts first; repeated rows (same id and text) are
@@ -30,7 +35,7 @@ from ticketlens.llm.common import WORD_SPACE, written
 MIN_SITES = 5
 #: log2 of the sketch's registers; standard error 1.04 / sqrt(2 ** LG_REGISTERS).
 LG_REGISTERS = 8
-#: Boilerplate lines (about 40 bytes each) are broadcast up to this count, else joined by shuffle.
+#: Boilerplate lines (20 bytes each) are broadcast up to this count, else joined by shuffle.
 BROADCAST_LINES = 1_000_000
 
 
@@ -50,6 +55,28 @@ def _without():
     return without
 
 
+def _hits(shared):
+    """A UDF: positions of the boilerplate lines of a row but those first in the corpus, null if none."""
+
+    @F.pandas_udf("array<int>")
+    def hits(lines: pd.Series, keys: pd.Series) -> pd.Series:
+        import numpy as np
+
+        bad, first_row, first_pos = shared.value
+        out = []
+        for hashes, key in zip(lines, keys):
+            found = None
+            if hashes is not None and len(hashes) and len(bad):
+                slot = np.minimum(np.searchsorted(bad, hashes), len(bad) - 1)
+                at = np.flatnonzero(bad[slot] == hashes)
+                at = at[(first_row[slot[at]] != key) | (first_pos[slot[at]] != at)]
+                found = at.astype(np.int32) if len(at) else None
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return hits
+
+
 def _row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
 
@@ -65,6 +92,24 @@ def line_table(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
     return lines.filter("line <> ''").select("doc", "row_key", "pos", "site", F.xxhash64("line").alias("h"))
 
 
+def _line_hashes(text: Column) -> Column:
+    """Hash of every line as in ``line_table``; 0 for a blank one."""
+    def hashed(line: Column) -> Column:
+        core = F.btrim(line, F.lit(WORD_SPACE))
+        return F.when(core != "", F.xxhash64(core)).otherwise(F.lit(0).cast("long"))
+
+    return F.transform(F.split(text, "\n"), hashed)
+
+
+def _places(firsts: DataFrame):
+    """The boilerplate lines as sorted hashes with the row key and position of their first occurrence, broadcast."""
+    import numpy as np
+
+    rows = firsts.select("h", "first.row_key", "first.pos").toPandas().sort_values("h")
+    arrays = (rows["h"].to_numpy(np.int64), rows["row_key"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64))
+    return firsts.sparkSession.sparkContext.broadcast(arrays)
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_registers: int = LG_REGISTERS) -> DataFrame:
     """Hashes (h) of the lines on at least ``min_sites`` sites."""
     error = 1.04 / math.sqrt(1 << lg_registers)
@@ -97,16 +142,19 @@ def dedup(
     few = bad.count() <= BROADCAST_LINES
     found = lines.join(F.broadcast(bad) if few else bad, "h", "left_semi").select("h", F.struct("doc", "row_key", "pos").alias("at"))
     firsts = written(spark, found.groupBy("h").agg(F.min("at").alias("first")), "boilerplate-firsts")
-    firsts = F.broadcast(firsts) if few else firsts
     tag = uuid.uuid4().hex[:8]  # names no column of the input has
     doc, key, name = f"doc_{tag}", f"key_{tag}", f"removed_{tag}"
+    d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    if few:
+        out = docs.withColumn(name, _hits(_places(firsts))(_line_hashes(t), _row_key(d, t)))
+        cut = _without()(F.when(F.col(name).isNotNull(), t), F.col(name))
+        return out.select(*[F.coalesce(cut, t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col(name)), name
     removed = (
         found.join(firsts, "h").filter(~F.col("at").eqNullSafe(F.col("first")))
         .groupBy(F.col("at.doc").alias(doc), F.col("at.row_key").alias(key))
         .agg(F.array_sort(F.collect_set("at.pos")).alias(name))
     )
     removed = written(spark, removed, "removed-lines")
-    d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     joined = docs.join(removed, d.eqNullSafe(F.col(doc)) & (_row_key(d, t) == F.col(key)), "left")
     cut = _without()(F.when(F.col(name).isNotNull(), t), F.col(name))
     out = joined.select(
