@@ -46,6 +46,8 @@ SEGMENTS = 16
 BLOCKS = 8
 #: Cells with more points are linked through shared values instead of pairs.
 PAIR_CELL_POINTS = 32
+#: Ids (8 bytes) of the documents to leave out are broadcast up to this count, so that texts stay where they are.
+BROADCAST_IDS = 1_000_000
 _SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -180,6 +182,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     unique = ids["with_id"] == ids["rows"] and found.groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0
     if unique:
         gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        if gone.count() <= BROADCAST_IDS:
+            gone = F.broadcast(gone)
         return docs.join(gone, docs[f"`{doc_id}`"] == gone["_gone"], "left_anti")
     # Ids repeat or are missing: a document is an id with a fingerprint.
     first = (
