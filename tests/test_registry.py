@@ -40,51 +40,3 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 44
     assert df.count() > 0
-
-
-def test_baseline_scores_separable_text(spark):
-    """Every row scored for every label, in range, the same again, and better than a constant."""
-    from ticketlens.operators import baseline as B
-
-    rows = [(f"s{i}", "volume mount lost" if i % 2 else "token expired early", int(i % 2), int(i % 2 == 0)) for i in range(60)]
-    df = spark.createDataFrame(rows, "sample_id string, model_input string, t_a int, t_b int")
-
-    def scores():
-        train = B.fit_sample(df, "sample_id", 40)
-        features = B.fit_features(train)
-        models = B.fit_label_models(features.transform(train), ["t_a", "t_b"])
-        out = B.score_labels(features.transform(df), models, ["a", "b"], ["t_a", "t_b"], ["sample_id"])
-        return {(r["sample_id"], r["label"]): round(r["score"], 9) for r in out.collect()}
-
-    got = scores()
-    assert got == scores() and len(got) == 120 and all(0 <= s <= 1 for s in got.values())
-    truth = {(r[0], "a"): r[2] for r in rows} | {(r[0], "b"): r[3] for r in rows}
-    assert all((got[k] > 0.5) == bool(t) for k, t in truth.items())
-
-
-def test_idf_covers_all_training_rows(spark, monkeypatch):
-    """Only the classifiers are fitted on the bounded sample."""
-    from ticketlens import queries_eval
-    from ticketlens.operators import baseline as B
-
-    seen = {}
-    fit_features, fit_sample = B.fit_features, B.fit_sample
-
-    class Stop(Exception):
-        pass
-
-    def features(train):
-        seen["train"], model = train.count(), fit_features(train)
-        seen["idf"] = model.stages[-1].numDocs
-        return model
-
-    def models(rows, targets):
-        seen["fitted"] = rows.count()
-        raise Stop
-
-    monkeypatch.setattr(B, "fit_sample", lambda train, id_col: fit_sample(train, id_col, 5))
-    monkeypatch.setattr(B, "fit_features", features)
-    monkeypatch.setattr(B, "fit_label_models", models)
-    with pytest.raises(Stop):
-        queries_eval.tfidf_lr_scores(spark, SF)
-    assert seen["fitted"] == 5 and seen["idf"] == seen["train"] > 5

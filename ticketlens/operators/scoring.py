@@ -21,6 +21,7 @@ from ticketlens.fixed_values import (
     NON_PRODUCTION_SUFFIX,
 )
 from ticketlens.functions.arrays import posexplode_computed
+from ticketlens.operators.baseline import LinearModel, linear_scores, term_numbers
 from ticketlens.sources.catalog import LabelCatalog
 
 PREDICTION_TYPE = "array<struct<label:string,taxonomy:string,score:double>>"
@@ -122,8 +123,30 @@ def development_batch_scorer(catalog: LabelCatalog) -> BatchScorer:
     return score
 
 
+def shared_model(spark, model: LinearModel):
+    """A fitted model as a broadcast of plain arrays; the labels stay on the driver for the check of the order."""
+    return spark.sparkContext.broadcast(model.arrays()), model.labels
+
+
+def linear_batch_scorer(catalog: LabelCatalog, model) -> BatchScorer:
+    """The fitted linear model (``shared_model``): a worker unpacks it once, with its first batch."""
+    shared, labels = model
+    if tuple(labels) != tuple(catalog.labels):
+        raise ValueError("the model's labels differ from the catalog's")
+
+    def score(texts: pd.Series) -> np.ndarray:
+        arrays = shared.value
+        terms = [term_numbers(t, len(arrays[0])) for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
+        flat = np.concatenate(terms) if terms else np.empty(0, dtype=np.int64)
+        return linear_scores(flat, at, arrays)
+
+    return score
+
+
 SCORERS: dict[str, Callable[..., BatchScorer]] = {
     "development": development_batch_scorer,
+    "linear": linear_batch_scorer,
 }
 
 
@@ -134,17 +157,27 @@ def create_scorer(name: str, catalog: LabelCatalog, **options) -> BatchScorer:
     return SCORERS[key](catalog, **options)
 
 
-def score_batch(df: DataFrame, text_col: str, id_cols: list[str], catalog: LabelCatalog, scorer: BatchScorer) -> DataFrame:
+def score_batch(df: DataFrame, text_col: str, id_cols: list[str], catalog: LabelCatalog, scorer: BatchScorer,
+                batch_size: int = 256) -> DataFrame:
     """Arrow batches through ``scorer``; output keeps ids and adds ``predictions``.
 
-    Python returns plain score arrays; labels and taxonomies are attached by position in the JVM.
+    Inside a batch texts go by length, ``batch_size`` at a time, so a model that
+    pads sees texts of like length. Python returns plain score arrays; labels and
+    taxonomies are attached by position in the JVM.
     """
     schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in id_cols) + ", scores array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[id_cols].copy()
-            out["scores"] = list(scorer(pdf[text_col]))
+            texts = pdf[text_col].reset_index(drop=True)
+            order = np.argsort(texts.str.len().fillna(0).to_numpy(), kind="stable")
+            scores = np.empty(len(texts), dtype=object)
+            for first in range(0, len(order), batch_size):
+                chosen = order[first : first + batch_size]
+                for i, row in zip(chosen, scorer(texts.iloc[chosen])):
+                    scores[i] = row
+            out["scores"] = list(scores)
             yield out
 
     labels = F.array(*[F.lit(x) for x in catalog.labels])

@@ -210,17 +210,15 @@ def tfidf_features(spark, sf_dir):
     return out.withColumn("weight", F.round("weight", 9))
 
 
+def _baseline(ds: DataFrame) -> B.LinearModel:
+    return B.fit(ds.where(F.col("final_split") == "train"), L.target_columns(LABELS), LABELS)
+
+
 @query("tfidf_lr_scores")
 def tfidf_lr_scores(spark, sf_dir):
-    """Per-label logistic regression on TF-IDF (IDF of the whole train split), fitted on a bounded sample of train,
-    scoring every row."""
+    """Per-label logistic regression on TF-IDF, fitted on the whole train split, scoring every row."""
     ds = _dataset(spark, sf_dir)
-    targets = L.target_columns(LABELS)
-    train = ds.where(F.col("final_split") == "train")
-    feat_model = B.fit_features(train)
-    models = B.fit_label_models(feat_model.transform(B.fit_sample(train, "sample_id")), targets)
-    feats = feat_model.transform(ds)
-    return B.score_labels(feats, models, LABELS, targets, ["sample_id", "final_split"])
+    return B.score_labels(ds, _baseline(ds), ["sample_id", "final_split"])
 
 
 # --- I3: batch scorer ---------------------------------------------------------------------------
@@ -236,6 +234,15 @@ def score_batch(spark, sf_dir):
     return S.stamp(S.explode_predictions(scored, ["number"]), CATALOG, "development")
 
 
+@query("score_batch_linear")
+def score_batch_linear(spark, sf_dir):
+    """A loaded model plugged in by name - the fitted baseline scores the cleaned text of every dataset row."""
+    ds = _dataset(spark, sf_dir)
+    scorer = S.create_scorer("linear", CATALOG, model=S.shared_model(spark, _baseline(ds)))
+    scored = S.score_batch(ds, "model_input", ["sample_id"], CATALOG, scorer)
+    return S.stamp(S.explode_predictions(scored, ["sample_id"]), CATALOG, "linear")
+
+
 # --- ST1 / ST2: streaming -------------------------------------------------------------------------
 
 
