@@ -14,6 +14,8 @@ from ticketlens.sources.issues import valid_body
 EPOCH = datetime.fromtimestamp(0, timezone.utc)
 INVALID = "invalid:"
 ACCEPTED = "accepted"
+#: Partition column of issues landed by day (``sources.landing``).
+CREATED_DAY = "created_day"
 
 
 def instant_micros(value: str) -> int:
@@ -34,10 +36,14 @@ def filter_date_window(issues: DataFrame, created_after: str, closed_before: str
 
     ``created <= closed_before`` is the early stop of a created-ascending scan.
     Comparisons are between instants (epoch microseconds), not strings, so
-    mixed offsets compare correctly.
+    mixed offsets compare correctly. Issues landed by day are first cut to the
+    days of the window, which prunes the scan.
     """
     lo, hi = instant_micros(created_after), instant_micros(closed_before)
     created, closed = unix_micros(F.col("created_at")), unix_micros(F.col("closed_at"))
+    if CREATED_DAY in issues.columns:
+        first, last = ((EPOCH + timedelta(microseconds=us)).date() for us in (lo, hi))
+        issues = issues.where(F.col(CREATED_DAY).between(F.lit(first), F.lit(last)))
     return issues.where(
         F.col("created_at").isNotNull()
         & F.col("closed_at").isNotNull()

@@ -19,7 +19,7 @@ from ticketlens.oracles import (
 )
 from ticketlens.plans.dataset import dataset_columns
 from ticketlens.queries import CLOSED_BEFORE, CREATED_AFTER, FIRST_N, LOCKBOX_FRACTION, VALIDATION_FRACTION
-from ticketlens.queries_dataset import BATCH, MAX_LENGTH, SPECIALS
+from ticketlens.queries_dataset import BATCH, DAY_WINDOW, MAX_LENGTH, SPECIALS
 
 _LABELED = f"len(list_intersect(labels, {CATALOG_LIST})) > 0"
 _RET = f"list_sort(list_intersect(labels, {CATALOG_LIST}))"
@@ -82,6 +82,10 @@ ORACLES["filter_pull_requests"] = _issues_cte() + "SELECT number FROM issues WHE
 ORACLES["filter_date_window"] = _issues_cte() + f"""
 SELECT number FROM issues WHERE created_at IS NOT NULL AND closed_at IS NOT NULL
   AND {_us('created_at')} >= {_LO} AND {_us('created_at')} <= {_HI} AND {_us('closed_at')} <= {_HI}"""
+_FROM, _TO = map(instant_micros, DAY_WINDOW)
+ORACLES["filter_date_window_landed"] = ORACLES["stream_landed_window"] = _issues_cte() + f"""
+SELECT number, created_at FROM issues WHERE created_at IS NOT NULL AND closed_at IS NOT NULL
+  AND {_us('created_at')} >= {_FROM} AND {_us('created_at')} <= {_TO} AND {_us('closed_at')} <= {_TO}"""
 ORACLES["filter_labeled"] = _issues_cte() + f"SELECT number FROM issues WHERE {_LABELED}"
 ORACLES["first_n_issues"] = _issues_cte() + f"""
 SELECT number, created_at FROM issues WHERE {_LABELED}

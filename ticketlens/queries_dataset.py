@@ -24,6 +24,7 @@ from ticketlens.session import scratch_path
 from ticketlens.sinks import dataset as K
 from ticketlens.sources import catalog as C
 from ticketlens.sources import issues as SI
+from ticketlens.sources import landing as LD
 from ticketlens.sources import testdata as td
 
 MAX_LENGTH = 64  # token budget of the registered truncation query
@@ -128,6 +129,32 @@ def filter_date_window(spark, sf_dir):
     return FL.filter_date_window(_issues(spark, sf_dir), CREATED_AFTER, CLOSED_BEFORE).select("number")
 
 
+# A window in the middle of the landed days, with offsets on both ends.
+DAY_WINDOW = ("2024-03-01T01:00:00+02:00", "2024-05-31T20:00:00-03:00")
+
+
+def _landed(spark, sf_dir) -> str:
+    return LD.land_issues(_issues(spark, sf_dir), scratch_path(spark, "landed-issues"))
+
+
+@query("filter_date_window_landed")
+def filter_date_window_landed(spark, sf_dir):
+    """F3 over issues landed by day: only the days of the window are read."""
+    return FL.filter_date_window(LD.read_landed(spark, _landed(spark, sf_dir)), *DAY_WINDOW).select("number", "created_at")
+
+
+@query("stream_landed_window")
+def stream_landed_window(spark, sf_dir):
+    """F2/F3 as a stream over the landed days: each file once, the same window."""
+    path = _landed(spark, sf_dir)
+    issues = LD.stream_landed(spark, path, LD.read_landed(spark, path).schema)
+    sink = scratch_path(spark, "landed-sink")
+    done = FL.filter_date_window(issues, *DAY_WINDOW).select("number", "created_at").writeStream.format("parquet").option(
+        "checkpointLocation", scratch_path(spark, "landed-ckpt")).trigger(availableNow=True).start(sink)
+    done.awaitTermination()
+    return spark.read.schema("number bigint, created_at string").parquet(sink)
+
+
 @query("filter_labeled")
 def filter_labeled(spark, sf_dir):
     return FL.filter_labeled(P.with_retained(_issues(spark, sf_dir), LABELS)).select("number")
