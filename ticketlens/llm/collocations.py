@@ -52,6 +52,8 @@ PREFIXES = 200_000
 VOCABULARY = 500_000
 #: Word counts a task holds before it passes them on.
 _HELD = 300_000
+#: Partial counts of phrases a task holds before it merges them (and passes them on if that leaves more than half).
+_HELD_PHRASES = 1_500_000
 #: A row of the coded corpus ends at the first barrier after so many codes.
 _SEGMENT = 1024
 #: Rows of the coded corpus walked at once.
@@ -202,16 +204,26 @@ def _walked(shared) -> object:
         width, edges, to, grows, tallies = shared.value
         empty = np.empty(0, dtype=np.int64)
 
-        def grouped(keys, left, right):
-            order = np.argsort(keys, kind="stable")
-            keys, left, right = keys[order], left[order], right[order]
+        folds = (np.add, np.minimum, np.maximum, np.minimum, np.maximum)
+        held: list[tuple] = []  # (keys, counts, smallest and largest neighbours) not passed on yet
+
+        def grouped(parts):
+            """One row per key of several such tuples."""
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            order = np.argsort(columns[0], kind="stable")
+            keys = columns[0][order]
             at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else empty
             if not len(at):
-                return None
-            sums = np.diff(np.append(at, len(keys)))
-            sides = [f.reduceat(side, at) for side in (left, right) for f in (np.minimum, np.maximum)]
-            node, word = keys[at] // width, keys[at] % width
-            arrays = [node.astype(np.int32), word.astype(np.int32), sums.astype(np.int64), *[s.astype(np.int32) for s in sides]]
+                return tuple(columns)
+            return (keys[at], *[f.reduceat(c[order], at) for f, c in zip(folds, columns[1:])])
+
+        def hold(keys, left, right):
+            left, right = left.astype(np.int32), right.astype(np.int32)
+            held.append(grouped([(keys, np.ones(len(keys), dtype=np.int64), left, left, right, right)]))
+
+        def batch_of(found):
+            keys, counts, *sides = found
+            arrays = [(keys // width).astype(np.int32), (keys % width).astype(np.int32), counts, *sides]
             return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["node", "word", "cnt", "l_min", "l_max", "r_min", "r_max"])
 
         for batch in (b.slice(at, _ROWS) for b in parts for at in range(0, b.num_rows, _ROWS)):
@@ -221,20 +233,26 @@ def _walked(shared) -> object:
                 here = tallies[node]
                 if here.any():
                     zero = np.zeros(int(here.sum()), dtype=np.int64)
-                    yield grouped(node[here] * width, zero, zero)
+                    hold(node[here] * width, zero, zero)
                 word = flat[pos + depth]
                 go = word > 0
                 pos, node, word = pos[go], node[go], word[go]
                 here = grows[node]
                 if here.any():
                     at = pos[here]
-                    yield grouped(node[here] * width + word[here], flat[at - 1], flat[at + depth + 1])
+                    hold(node[here] * width + word[here], flat[at - 1], flat[at + depth + 1])
                 if depth == MAX_WORDS - 1 or not len(edges) or not len(pos):
                     break
                 key = node * width + word
                 slot = np.minimum(np.searchsorted(edges, key), len(edges) - 1)
                 go = edges[slot] == key
                 pos, node = pos[go], to[slot[go]]
+            if sum(len(h[0]) for h in held) > _HELD_PHRASES:
+                held[:] = [grouped(held)]
+                if len(held[0][0]) > _HELD_PHRASES // 2:
+                    yield batch_of(held.pop())
+        if held:
+            yield batch_of(grouped(held))
 
     return run
 
