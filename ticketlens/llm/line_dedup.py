@@ -56,9 +56,9 @@ def _without():
 
 
 def _hits(shared):
-    """A UDF: positions of the boilerplate lines of a row but those first in the corpus, null if none."""
+    """A UDF: which lines of a row are boilerplate but not first in the corpus, null if none (no text passes through)."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<boolean>")
     def hits(lines: pd.Series, keys: pd.Series) -> pd.Series:
         import numpy as np
 
@@ -70,7 +70,9 @@ def _hits(shared):
                 slot = np.minimum(np.searchsorted(bad, hashes), len(bad) - 1)
                 at = np.flatnonzero(bad[slot] == hashes)
                 at = at[(first_row[slot[at]] != key) | (first_pos[slot[at]] != at)]
-                found = at.astype(np.int32) if len(at) else None
+                if len(at):
+                    found = np.zeros(len(hashes), dtype=bool)
+                    found[at] = True
             out.append(found)
         return pd.Series(out, dtype=object)
 
@@ -146,9 +148,13 @@ def dedup(
     doc, key, name = f"doc_{tag}", f"key_{tag}", f"removed_{tag}"
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     if few:
-        out = docs.withColumn(name, _hits(_places(firsts))(_line_hashes(t), _row_key(d, t)))
-        cut = _without()(F.when(F.col(name).isNotNull(), t), F.col(name))
-        return out.select(*[F.coalesce(cut, t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col(name)), name
+        out = docs.withColumn(key, _hits(_places(firsts))(_line_hashes(t), _row_key(d, t)))
+        gone = F.col(key)
+        rest = F.array_join(F.filter(F.split(t, "\n"), lambda _, i: ~F.get(gone, i)), "\n")
+        cut = F.when(gone.isNull(), t).otherwise(rest).alias(text)
+        places = F.filter(F.sequence(F.lit(0), F.size(gone) - 1), lambda i: F.get(gone, i))
+        places = F.when(gone.isNotNull(), places).alias(name)
+        return out.select(*[cut if c == text else F.col(f"`{c}`") for c in docs.columns], places), name
     removed = (
         found.join(firsts, "h").filter(~F.col("at").eqNullSafe(F.col("first")))
         .groupBy(F.col("at.doc").alias(doc), F.col("at.row_key").alias(key))
