@@ -366,7 +366,7 @@ def decoder(vocabulary: Vocabulary):
     return decode
 
 
-def _batches(texts: list, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _batches(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut a batch so that about ``limit`` characters are in hand at once."""
     first, size = 0, 0
     for i, t in enumerate(texts):
