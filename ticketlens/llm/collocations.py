@@ -53,7 +53,7 @@ VOCABULARY = 500_000
 #: Word counts a task holds before it passes them on.
 _HELD = 300_000
 #: Partial counts of phrases a task holds before it merges them (and passes them on if that leaves more than half).
-_HELD_PHRASES = 1_500_000
+_HELD_PHRASES = 400_000
 #: A row of the coded corpus ends at the first barrier after so many codes.
 _SEGMENT = 1024
 #: Rows of the coded corpus walked at once.
