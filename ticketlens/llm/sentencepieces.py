@@ -46,7 +46,7 @@ SPACE = "▁"
 #: Longest vocabulary that is broadcast, in bytes of text.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words remembered per Python worker; beyond that the memory starts anew.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 500_000
 #: Fewer words of one length than this are not worth a batch.
 FEW_WORDS = 32
 #: Characters of words that advance together at most.
