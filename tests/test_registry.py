@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest tables.
 
 The driver repeats this at sf0.01; here it runs at sf0.001 to stay quick.
-The fitted TF-IDF models have no SQL; their scores are checked below.
+The fitted TF-IDF model has no SQL; its scores are checked in test_baseline.py.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from ticketlens import oracles, queries, verify
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"tfidf_lr_scores"}
+SLOW = {"tfidf_lr_scores", "score_batch_linear"}
 NAMES = sorted(queries.queries())
 
 
