@@ -282,13 +282,29 @@ def test_decontamination_query_equals_brute_force(spark):
     assert any(r[5] for r in want)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination_edges(spark, make_docs, hostile_rows, empty_docs, block_bytes):
+def test_items_longer_than_a_block_keep_their_windows(spark):
+    words = [f"w{i}" for i in range(1_200_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "short one"), (3, None)], "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 13, decontaminate.BLOCK_BYTES, decontaminate.BLOCK_WORDS))
+    whole, seen = [], 0
+    for block in blocks:
+        assert sum(len(decontaminate.words_of(t)) for _, t in block) <= decontaminate.BLOCK_WORDS
+        assert sum(len(t or "") for _, t in block) <= decontaminate.BLOCK_BYTES
+        for item, text in block:
+            ws = text.split() if item == "1" else []
+            assert not ws or seen == 0 or whole[-12:] == ws[:12]  # twelve words in common: no window is lost or made up
+            whole += ws[12:] if seen else ws
+            seen += len(ws)
+    assert whole == words and len(blocks) == 5
+
+
+@pytest.mark.parametrize("block_bytes,block_words", [(1 << 20, 1 << 20), (60, 1 << 20), (1 << 20, 15), (1 << 20, 1)])
+def test_decontamination_edges(spark, make_docs, hostile_rows, empty_docs, block_bytes, block_words):
     items = [(1, "One"), (1, "one"), (2, None), (3, ""), (4, "the river of the valley was wide and it ran to the sea by a town"),
              (None, "of nobody"), (5, "Était là 你")]
     rows = [r[:2] for r in hostile_rows] + [(50, "Voilà: était-LÀ, Était là! 你; one"), (51, "one " * 40)]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS hits", "2 AS found")
-    found, name = decontaminate.scan(make_docs(rows), bench, block_bytes=block_bytes)
+    found, name = decontaminate.scan(make_docs(rows), bench, block_bytes=block_bytes, block_words=block_words)
     got = sorted(
         ((r["doc_id"], r[name]["n_words"], sum(h["last"] - h["first"] + 1 for h in r[name]["hits"]), len(r[name]["items"])) for r in found.collect()),
         key=repr,

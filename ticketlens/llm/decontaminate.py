@@ -7,10 +7,13 @@ a string with one code point per word (a reserved one for words no item uses):
 the automaton of all windows runs over it once and reports every occurrence.
 Lower-casing A-Z keeps lengths, so word spans are spans of the original text.
 
-The benchmark is cut into blocks of at most ``block_bytes`` of text; only one
-block at a time is sent to the executors, so what is broadcast is bounded
-whatever the benchmark's size. More than one block means one pass per block
-with the finds written to the shared folder in between.
+The benchmark is cut into blocks of at most ``block_bytes`` of UTF-8 text and
+``block_words`` words; only one block at a time is sent to the executors, so the
+broadcast, the code points and the automaton are bounded whatever the
+benchmark's size. An item longer than a block is cut into parts that overlap by
+all but one word of a window, so the parts hold the item's windows, no more and
+no less. More than one block means one pass per block with the finds written to
+the shared folder in between. A worker builds the automaton of a block once.
 
 Cases: a null or empty document has no words and is clean; a null or empty item
 has no windows; a null item id is listed as an empty string; repeated items or
@@ -29,11 +32,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.llm.common import process_cache, written
+
 WINDOW = 13
 #: A document is contaminated when at least one word in this many is hit.
 CONTAMINATED_ONE_IN = 20
-#: Benchmark text broadcast at once.
+#: Benchmark text broadcast at once, in bytes and in words (a code point per different word, so far fewer than 0x10F7FF).
 BLOCK_BYTES = 8 << 20
+BLOCK_WORDS = 250_000
 
 #: Fixed value: a word, over lower-cased UTF-8 bytes (all non-ASCII characters belong to words).
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -116,10 +122,15 @@ def spans_of(text: str | None, runs: list[tuple[int, int]]) -> list[tuple[int, i
 
 def _scanner(shared, window: int) -> object:
     """A pandas UDF (text, hits so far, items so far) -> found, for one broadcast block."""
+    block_id = uuid.uuid4().hex
 
     @F.pandas_udf(FOUND)
     def scan(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        vocabulary, automaton = build_automaton(shared.value, window)
+        built = process_cache("automaton")
+        if block_id not in built:
+            built.clear()  # one block at a time
+            built[block_id] = build_automaton(shared.value, window)
+        vocabulary, automaton = built[block_id]
         for texts, before, known in parts:
             rows = []
             for text, runs, items in zip(texts, before, known):
@@ -141,32 +152,54 @@ def _scanner(shared, window: int) -> object:
     return scan
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of at most ``block_bytes`` of text (one item may exceed it alone)."""
+def _parts(text: str | None, window: int, most_bytes: int, most_words: int) -> Iterator[tuple[str | None, int, int]]:
+    """(text, bytes, words) of an item, or of its overlapping parts: together they hold its windows, each at least once."""
+    ws = words_of(text)
+    # An item within a block stays as it is; its text is what is broadcast.
+    size = len(text.encode("utf-8")) if text else 0
+    if len(ws) <= max(most_words, window) and size <= most_bytes:
+        yield text, size, len(ws)
+        return
+    first = 0
+    while True:
+        # At least one whole window, then as many words as the block takes.
+        stop, used = first, 0
+        while stop < len(ws) and (stop - first < window or (stop - first < most_words and used + len(ws[stop]) + 1 <= most_bytes)):
+            used += len(ws[stop]) + 1
+            stop += 1
+        # Words are whole runs of bytes between ASCII ones, so they decode.
+        yield b" ".join(ws[first:stop]).decode("utf-8"), used, stop - first
+        if stop >= len(ws):
+            return
+        first = stop - window + 1
+
+
+def _blocks(
+    benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int, block_words: int
+) -> Iterator[list[tuple[str, str | None]]]:
+    """The items, or parts of them, in blocks within both bounds (a single window may exceed them alone)."""
     rows = benchmark.select(
         F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{text}`").alias("t")
     )
-    block, size = [], 0
+    block, size, count = [], 0, 0
     for r in rows.toLocalIterator():
-        weight = len(r["t"] or "")
-        if block and size + weight > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r["i"], r["t"]))
-        size += weight
+        for part, weight, n in _parts(r["t"], window, block_bytes, block_words):
+            if block and (size + weight > block_bytes or count + n > block_words):
+                yield block
+                block, size, count = [], 0, 0
+            block.append((r["i"], part))
+            size, count = size + weight, count + n
     yield block
 
 
 def scan(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES, block_words: int = BLOCK_WORDS,
 ) -> tuple[DataFrame, str]:
     """``docs`` plus one struct column of finds (its name is returned): n_words, hits, items, spans."""
-    from ticketlens.llm.common import written
-
     spark, name = docs.sparkSession, f"found_{uuid.uuid4().hex[:8]}"
     out = docs
-    for i, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
+    for i, block in enumerate(_blocks(benchmark, item_id, item_text, window, block_bytes, block_words)):
         udf = _scanner(spark.sparkContext.broadcast(block), window)
         if i == 0:
             hits = F.lit(None).cast("array<struct<first: long, last: long>>")
