@@ -433,6 +433,66 @@ def test_tree_matching_is_the_best_order_keeping_match():
     assert [(ta[i], tb[j]) for i, j in equal if ta[i]] == [("2", "2"), ("x", "x"), ("4", "4")]
 
 
+def best_weight(a, b):
+    """Simple tree matching by its definition, over all pairs of nodes."""
+    if a.label != b.label:
+        return 0
+    table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            w = best_weight(x, y)
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + w if w else 0)
+    return (2 if a.text == b.text else 1) + table[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [1_000_000, 0])
+def test_tree_matching_on_random_trees(monkeypatch, cells):
+    import random
+
+    monkeypatch.setattr(wrapper, "EXACT_CELLS", cells)
+    rnd = random.Random(5)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) for _ in range(rnd.randint(0, 4))) if depth else ""
+        tag = rnd.choice(["div", "b", "ul"])
+        return f"<{tag}>{rnd.choice(['', 'x', 'y', str(rnd.random())])}{inner}</{tag}>"
+
+    for _ in range(300):
+        a, b = (wrapper.parse(f"<div>{tree(3)}{tree(3)}</div>")[0] for _ in range(2))
+        pairs = wrapper.match(a, b)
+        na, nb = ({n.index: n for n in walk(r)} for r in (a, b))
+        assert len({j for j, _ in pairs.values()}) == len(pairs)
+        for i, (j, same) in pairs.items():  # labels agree, parents are matched too, order is kept
+            assert na[i].label == nb[j].label and same == (na[i].text == nb[j].text)
+            assert i == 0 or pairs[na[i].parent.index][0] == nb[j].parent.index
+        for n in na.values():
+            places = [pairs[c.index][0] for c in n.children if c.index in pairs]
+            assert places == sorted(places)
+        weight = sum(1 + same for _, same in pairs.values())
+        assert weight == best_weight(a, b) if cells else weight <= best_weight(a, b)
+
+
+@pytest.mark.parametrize(
+    "left,right",
+    [
+        (["<p>a{i}</p>"], ["<p>b{i}</p>"]), (["<li><a>t{i}</a>x</li>"], ["<li><a>t{j}</a>y</li>"]), (["<p>a{i}</p>"], ["<p>a{i}</p>"]),
+        (["<div><i>{i}</i><b>q</b></div>", "<p>{i}</p>"], ["<p>{j}</p>", "<div><i>{j}</i></div>"]), (["<div>{i}"], ["<div>{j}"]),
+    ],
+)
+def test_wide_pages_are_matched_in_near_linear_time(left, right):
+    import time
+
+    n = 50_000 if "</" in left[0] else 10_000  # the last pair of pages is deep instead of wide
+    a, b = (
+        wrapper.parse("<body>" + "".join(form[i % len(form)].format(i=i, j=i * 7919 % n) for i in range(n)))[0] for form in (left, right)
+    )
+    t = time.perf_counter()
+    pairs = wrapper.match(a, b)
+    assert time.perf_counter() - t < 15 and len(pairs) > 2
+    if left == right:
+        assert len(pairs) == n + 2 and all(same and i == j for i, (j, same) in pairs.items())
+
+
 def walk(node):
     yield node
     for c in node.children:
