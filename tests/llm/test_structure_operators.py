@@ -312,6 +312,24 @@ def test_layouts_by_schema_fingerprint(spark):
     for i, (_, layout, turns) in enumerate(rows):
         assert out[i]["layout"] == layout and [tuple(t) for t in out[i]["turns"]] == turns, i
     assert all(out[i]["layout"] is None and out[i]["turns"] == [] for i in (90, 91, 92))
+    tables = [
+        ("messages array<struct<role: string, content: string>>", [[("human", "q"), (None, "a")]], [("user", "q"), ("", "a")]),
+        ("conversations array<struct<value: string, from: string>>", [[("q", "human"), (None, "gpt")]], [("user", "q"), ("assistant", "")]),
+        ("prompt string, completion string, extra int", ["q", "a", 1], [("user", "q"), ("assistant", "a")]),
+        ("output string, instruction string, input string", ["done", "do", None], [("user", "do"), ("assistant", "done")]),
+        ("messages array<struct<role: string, content: string>>", [None], None),
+        ("role string, content string, position int", ["bot", "a", 7], [("assistant", "a")]),
+        ("speaker string, utterance string, index long", ["human", "q", None], [("user", "q")]),
+        ("role string, text string, turn long", ["tool", "t", 1], [("tool", "t")]),
+        ("role string, text string, turn long, prompt string, content int", ["tool", "t", 1, "p", 2], [("tool", "t")]),
+    ]
+    made = [spark.createDataFrame([(i, *row)], f"conv_id long, {schema}") for i, (schema, row, _) in enumerate(tables)]
+    formatted = chat_format.format_conversations(*made).select("conv_id", chat_format.parse(F.col("formatted")).alias("t"))
+    read = {r["conv_id"]: [tuple(t) for t in r["t"]] for r in formatted.collect()}
+    assert read == {i: turns for i, (_, _, turns) in enumerate(tables) if turns is not None}
+    for schema in ("other int", "role string, text string", "prompt string"):
+        with pytest.raises(ValueError):
+            chat_format.format_conversations(spark.createDataFrame([], f"conv_id long, {schema}"))
     typed = spark.createDataFrame([], "prompt string, completion string, zzz int").schema
     assert chat_format.FINGERPRINTS[chat_format.table_fingerprint(typed)].name == "prompt_completion"
 

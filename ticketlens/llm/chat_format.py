@@ -3,9 +3,10 @@
 A layout is recognised by its schema fingerprint: the hash of the sorted nested
 field paths (of those any mapping knows; other columns, whatever they are
 called, do not change it). The fingerprint selects a declarative mapping, which
-turns the row into canonical turns ``array<struct<role, text>>``. Typed tables
-have one fingerprint (from the schema); JSON rows have one each, read by
-``schema_of_variant``, so rows of several layouts may be mixed.
+turns the row into canonical turns ``array<struct<role, text>>``, or says which
+columns of a turn-per-row table are role, text and place. Typed tables have one
+fingerprint (from the schema), and tables of several layouts are formatted
+together; JSON rows have one each, so rows of several layouts may be mixed.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside texts
 every ``<`` followed by any number of backslashes and ``|`` gets one more
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,17 @@ class Mapping:
     turns: Callable[[Column], Column]
 
 
+@dataclass(frozen=True)
+class RowMapping:
+    """A layout with one row per turn: its field paths and which column says what."""
+
+    name: str
+    paths: tuple[str, ...]
+    role: str
+    text: str
+    turn: str
+
+
 def _field(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, f"$.{path}", "string"), F.lit(""))
 
@@ -86,17 +99,20 @@ MAPPINGS = (
     Mapping("instruction", ("instruction", "output"), _alpaca),
     Mapping("instruction_input", ("input", "instruction", "output"), _alpaca),
 )
-#: A table with one row per turn.
-TURN_ROWS = ("role", "text", "turn")
-KNOWN_PATHS = sorted({p for m in MAPPINGS for p in m.paths} | set(TURN_ROWS))
+#: Tables with one row per turn: field paths and the columns that hold role, text and place of the turn.
+ROW_MAPPINGS = (
+    RowMapping("turn_rows", ("role", "text", "turn"), "role", "text", "turn"),
+    RowMapping("message_rows", ("content", "position", "role"), "role", "content", "position"),
+    RowMapping("speaker_rows", ("index", "speaker", "utterance"), "speaker", "utterance", "index"),
+)
+KNOWN_PATHS = sorted({p for m in (*MAPPINGS, *ROW_MAPPINGS) for p in m.paths})
 
 
 def _hash(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-FINGERPRINTS = {_hash(m.paths): m for m in MAPPINGS}
-TURN_ROWS_FINGERPRINT = _hash(TURN_ROWS)
+FINGERPRINTS = {_hash(m.paths): m for m in (*MAPPINGS, *ROW_MAPPINGS)}
 
 
 def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
@@ -138,6 +154,8 @@ def turns_from_json(df: DataFrame, column: str) -> DataFrame:
     v = F.try_parse_json(F.col(f"`{column}`"))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for print_, m in FINGERPRINTS.items():
+        if isinstance(m, RowMapping):
+            continue  # a JSON row is a whole conversation
         layout = F.when(F.col("fingerprint") == print_, F.lit(m.name)).otherwise(layout)
         turns = F.when(F.col("fingerprint") == print_, m.turns(F.col("_row")).cast(TURNS)).otherwise(turns)
     out = df.withColumn("_row", v).withColumn("fingerprint", F.when(F.col("_row").isNotNull(), json_fingerprint(F.col("_row"))))
@@ -189,23 +207,47 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+def turn_rows(table: DataFrame, conv_id: str = "conv_id") -> DataFrame:
+    """conv_id, turn, role and text (canonical role, no nulls in role and text) of a typed table of any known layout.
+
+    The fingerprint of the table's schema, the id column left out, selects the
+    mapping. Where columns of other layouts stand beside those of one, so that
+    no fingerprint fits, the layout with most of its paths there is taken (ties:
+    the first, layouts with a row per turn before others); a table that holds no
+    layout raises a ValueError.
+    """
+    layout = T.StructType([f for f in table.schema.fields if f.name != conv_id])
+    mapping = FINGERPRINTS.get(table_fingerprint(layout))
+    if mapping is None:
+        held = [m for m in (*ROW_MAPPINGS, *MAPPINGS) if set(m.paths) <= set(schema_paths(layout))]
+        mapping = max(held, key=lambda m: len(m.paths), default=None)
+    key = F.col(f"`{conv_id}`").alias("conv_id")
+    if mapping is None:
+        raise ValueError(f"no mapping for a table with {sorted(schema_paths(layout))}")
+    if isinstance(mapping, RowMapping):
+        flat = table.select(
+            key, F.col(f"`{mapping.turn}`").cast("long").alias("turn"), F.col(f"`{mapping.role}`").alias("role"),
+            F.col(f"`{mapping.text}`").alias("text"),
+        )
+    else:
+        fields = sorted({p.split("[]")[0] for p in mapping.paths})
+        row = F.to_variant_object(F.struct(*[F.col(f"`{f}`").alias(f) for f in fields]))
+        turns = table.select(key, F.posexplode_outer(mapping.turns(row).cast(TURNS)).alias("turn", "t"))
+        flat = turns.filter("t IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+    role = canonical_role(F.coalesce(F.col("role"), F.lit("")))
+    return flat.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def format_conversations(
-    rows: DataFrame, conv_id: str = "conv_id", loss_roles: tuple[str, ...] = ("assistant",)
+    *tables: DataFrame, conv_id: str = "conv_id", loss_roles: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
-    """One row per conversation of a turn-per-row table.
+    """One row per conversation of tables of any known layouts (see ``turn_rows``).
 
     Returns conv_id, ``formatted`` (the whole text), ``loss_turns`` (per turn:
     does it train the model) and ``loss_spans``: start and end, in code points
     of ``formatted``, of the texts under the loss mask.
     """
-    # Columns beside those of the layout say nothing here, whatever they are called.
-    layout = rows.select(*[F.col(f"`{c}`") for c in TURN_ROWS if c in rows.columns]).schema
-    if table_fingerprint(layout) != TURN_ROWS_FINGERPRINT:
-        raise ValueError(f"not a turn-per-row table: {sorted(schema_paths(rows.schema))}")
-    role = canonical_role(F.coalesce(F.col("role"), F.lit("")))
-    flat = rows.select(
-        F.col(f"`{conv_id}`").alias("conv_id"), "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    flat = reduce(DataFrame.unionByName, [turn_rows(t, conv_id) for t in tables])
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     marked = (
         flat.select(
