@@ -8,12 +8,17 @@ a flexible model from driving it negative (the non-negative risk estimator).
 The prior is the share of good documents among the labelled training rows.
 
 The model is linear over shape features of the whole text and hashed byte
-bigrams. It is fitted on the driver on a bounded sample (``max_positives`` and
-``max_unlabelled`` documents, chosen by the smallest hash of the id, so the
-choice is fixed); every document is scored by the executors.
+bigrams. Features are computed once and written; their means and deviations are
+those of all documents that are not held out. A first fit on the driver takes a
+bounded sample (``max_positives`` and ``max_unlabelled`` documents, chosen by
+the smallest hash of the id, so the choice is fixed). It is only the start:
+``passes`` steps follow whose unlabelled risk and gradient are sums over all
+documents that are not held out, made by the executors; the driver gets one
+number per feature. Only the positives, which are labelled rows, stay bounded.
 
 Cases: a null or empty text has all-zero features and gets a score like any
-other; null labels are ignored; a null id is never held out nor sampled;
+other; null labels are ignored; a null id is never held out nor sampled, but
+counts in the statistics and the unlabelled risk;
 repeated ids give repeated rows (a label counts once per labelled id); without
 positives or documents the scores are the prior (0.5 if that is unknown too);
 an empty table gives an empty table; extra columns are not read.
@@ -27,12 +32,16 @@ from dataclasses import dataclass, fields
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ticketlens.llm.common import written
 
 FOLDS = 5
 THRESHOLD = 0.3
 MAX_POSITIVES = 3_000
 MAX_UNLABELLED = 6_000
+#: Steps over all documents that are not held out, and the size of the first one.
+PASSES = 12
+PASS_RATE = 0.02
 BIGRAM_BINS = 256
 _SYMBOLS = b"#*$%&|<>"
 _SHAPE = 18
@@ -81,40 +90,64 @@ def features(text: str | None):
     return out
 
 
-def fit(positive, unlabelled, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """Minimise the non-negative unbiased risk by full-batch Adam steps (no randomness)."""
+def _constant(prior: float) -> Model:
+    """The model without positives or documents: every score is the prior."""
     import numpy as np
 
     width = _SHAPE + BIGRAM_BINS
-    if not len(positive) or not len(unlabelled):
-        p = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model((0.0,) * width, (1.0,) * width, (0.0,) * width, float(np.log(p / (1 - p))), prior)
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    p_rows, u_rows = _standard(positive, mean, scale), _standard(unlabelled, mean, scale)
-    w, b = np.zeros(width), 0.0
-    m1, m2 = np.zeros(width + 1), np.zeros(width + 1)
+    p = min(max(prior, 1e-6), 1 - 1e-6)
+    return Model((0.0,) * width, (1.0,) * width, (0.0,) * width, float(np.log(p / (1 - p))), prior)
+
+
+def _sigmoid(z):
+    import numpy as np
+
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
-    def sigmoid(z):
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
-    def softplus(z):
-        return np.logaddexp(0.0, z)
+def _descend(p_rows, unlabelled, prior: float, w, b: float, rounds: int, rate, decay: float):
+    """Adam steps on the non-negative risk; ``unlabelled(w, b)`` gives mean R- of the unlabelled and its gradient."""
+    import numpy as np
 
+    m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        zp, zu = p_rows @ w + b, u_rows @ w + b
+        zp = p_rows @ w + b
         # Logistic loss: R+ on positives is softplus(-z), R- is softplus(z).
-        negative = softplus(zu).mean() - prior * softplus(zp).mean()
-        gp = -prior * sigmoid(-zp) / len(zp)
-        gn_u, gn_p = sigmoid(zu) / len(zu), -prior * sigmoid(zp) / len(zp)
-        if negative < 0:
-            gp, gn_u, gn_p = 0.0 * gp, -gn_u, -gn_p
-        on_p, on_u = gp + gn_p, gn_u
-        grad = np.append(p_rows.T @ on_p + u_rows.T @ on_u + decay * w, on_p.sum() + on_u.sum())
+        risk_u, grad_u = unlabelled(w, b)
+        on_p, on_n = -prior * _sigmoid(-zp) / len(zp), -prior * _sigmoid(zp) / len(zp)
+        if risk_u < prior * np.logaddexp(0.0, zp).mean():
+            on_p, on_n, grad_u = 0.0 * on_p, -on_n, -grad_u
+        on_p = on_p + on_n
+        grad = np.append(p_rows.T @ on_p + decay * w, on_p.sum()) + grad_u
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        step = rate(t) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()), float(b), float(prior))
+    return w, float(b)
+
+
+def fit(
+    positive, unlabelled, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, moments=None,
+) -> Model:
+    """Minimise the non-negative unbiased risk of a sample by full-batch Adam steps (no randomness).
+
+    ``moments``: mean and deviation of the features (default: those of ``unlabelled``).
+    """
+    import numpy as np
+
+    if not len(positive) or not len(unlabelled):
+        return _constant(prior)
+    mean, scale = moments or (unlabelled.mean(axis=0), unlabelled.std(axis=0))
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    rows = _standard(unlabelled, mean, scale)
+
+    def risk(w, b):
+        z = rows @ w + b
+        on = _sigmoid(z) / len(z)
+        return np.logaddexp(0.0, z).mean(), np.append(rows.T @ on, on.sum())
+
+    p_rows = _standard(positive, mean, scale)
+    w, b = _descend(p_rows, risk, prior, np.zeros(p_rows.shape[1]), 0.0, rounds, lambda t: rate, decay)
+    return Model(tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()), b, float(prior))
 
 
 def _standard(rows, mean, scale):
@@ -132,39 +165,101 @@ def _sampled(ids: DataFrame, most: int) -> DataFrame:
     return ids.filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def _matrix(column):
+    """Rows of features of a binary Arrow column."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, _SHAPE + BIGRAM_BINS).astype(np.float64)
+
+
+def vectors(docs: DataFrame) -> DataFrame:
+    """(doc_id, v): the features of every document as 32-bit numbers in a binary, written once."""
+
+    @F.pandas_udf("binary")
+    def vector(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t).astype("float32").tobytes() for t in texts], dtype=object)
+
+    return written(docs.sparkSession, docs.select("doc_id", vector("text").alias("v")), "classifier-vectors")
+
+
+def _summed(rows: DataFrame, sums, names: tuple[str, ...]):
+    """Columns of numbers per place: ``sums(matrix)`` (names x places) added up over all rows by the executors."""
+    import numpy as np
+
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = 0.0
+        for batch in parts:
+            if batch.num_rows:
+                total = total + sums(_matrix(batch.column(0)))
+        if not isinstance(total, float):
+            places = pa.array(np.arange(total.shape[1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([places, *[pa.array(t) for t in total]], names=["place", *names])
+
+    schema = "place long, " + ", ".join(f"{n} double" for n in names)
+    found = rows.select("v").mapInArrow(run, schema).groupBy("place").agg(*[F.sum(n).alias(n) for n in names])
+    return np.array([[r[n] for n in names] for r in sorted(found.collect())]).T  # one row per feature
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED,
+    vecs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED,
+    passes: int = PASSES,
 ) -> Model:
-    """Fit on documents (doc_id, text) and labels (doc_id, quality); held-out rows take no part."""
+    """Fit on ``vectors`` of the documents and labels (doc_id, quality); held-out rows take no part."""
     import numpy as np
 
+    spark = vecs.sparkSession
     known = labels.select("doc_id", "quality").filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
     share = known.agg(F.avg((F.col("quality") == 1).cast("double")).alias("p")).first()["p"]
+    prior = 0.5 if share is None else float(share)
+    mine = vecs.filter(~held_out(F.col("doc_id")))
     # Both samples are bounded by their parameters, so they may be broadcast.
     chosen = _sampled(known.filter("quality = 1").select("doc_id"), max_positives).withColumn("positive", F.lit(True)).unionByName(
-        _sampled(docs.select("doc_id").filter(~held_out(F.col("doc_id"))), max_unlabelled).withColumn("positive", F.lit(False))
+        _sampled(mine.select("doc_id"), max_unlabelled).withColumn("positive", F.lit(False))
     )
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t).astype(np.float32) for t in texts], dtype=object)
-
     rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id", "positive"])
-        .select("doc_id", "positive", vector("text").alias("v")).toPandas()
+        mine.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "positive"]).select("doc_id", "positive", "v").toPandas()
     ).sort_values(["positive", "doc_id"])
     width = _SHAPE + BIGRAM_BINS
 
     def matrix(flag: bool):
         part = rows[rows["positive"] == flag]["v"]
-        return np.array(part.tolist(), dtype=np.float64).reshape(len(part), width)
+        return np.frombuffer(b"".join(map(bytes, part)), dtype=np.float32).reshape(-1, width).astype(np.float64)
 
-    return fit(matrix(True), matrix(False), 0.5 if share is None else float(share))
+    positive, unlabelled = matrix(True), matrix(False)
+    if not len(positive) or not len(unlabelled):
+        return _constant(prior)
+    # Sums of doubles depend on their order in the last digits: rounding keeps the model the same in every run.
+    count, total, squares = _summed(mine, lambda x: np.stack([np.ones(width) * len(x), x.sum(axis=0), (x * x).sum(axis=0)]), ("n", "s", "q"))
+    many, mean = count[0], np.round(total / count, 9)
+    scale = np.round(np.sqrt(np.maximum(squares / count - (total / count) ** 2, 0.0)), 9)
+    start = fit(positive, unlabelled, prior, moments=(mean, scale))
+    scale = np.array(start.scale)
+
+    def risk(w, b):
+        shared = spark.sparkContext.broadcast((mean, scale, w, b))
+
+        def sums(x):
+            mean, scale, w, b = shared.value
+            x = _standard(x, mean, scale)
+            z = x @ w + b
+            on = _sigmoid(z)
+            return np.concatenate([on @ x, [on.sum(), np.logaddexp(0.0, z).sum()]])[None, :]
+
+        found = np.round(_summed(mine, sums, ("g",))[0] / many, 9)
+        shared.destroy()
+        return found[-1], found[:-1]
+
+    w, b = _descend(
+        _standard(positive, mean, scale), risk, prior, np.array(start.weights), start.bias, passes,
+        lambda t: PASS_RATE / t**0.5, decay=1e-3,
+    )
+    return Model(tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()), b, prior)
 
 
-def score(text: Column, model: Model, spark) -> Column:
-    """The score (0 to 1; higher: good is likelier) of a text column."""
+def score(v: Column, model: Model, spark) -> Column:
+    """The score (0 to 1; higher: good is likelier) of a column of ``vectors``."""
     # A plain tuple: broadcast values name their classes' module, which workers need not have.
     shared = spark.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
 
@@ -174,16 +269,16 @@ def score(text: Column, model: Model, spark) -> Column:
 
         m = Model(*shared.value)
         mean, scale, w = np.array(m.mean), np.array(m.scale), np.array(m.weights)
-        for texts in parts:
-            z = [float(_standard(features(t), mean, scale) @ w) + m.bias for t in texts]
-            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(np.array(z, dtype=np.float64), -30, 30))))
+        for rows in parts:
+            z = [float(_standard(np.frombuffer(r, dtype=np.float32).astype(np.float64), mean, scale) @ w) + m.bias for r in rows]
+            yield pd.Series(_sigmoid(np.array(z, dtype=np.float64)))
 
-    return scored(text)
+    return scored(v)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    slim = docs.select("doc_id", "text")
-    model = train(slim, labels)
-    scored = slim.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model, docs.sparkSession).alias("score"))
+    vecs = vectors(docs.select("doc_id", "text"))
+    model = train(vecs, labels)
+    scored = vecs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("v"), model, docs.sparkSession).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
