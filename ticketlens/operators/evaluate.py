@@ -9,6 +9,11 @@ The threshold sweep never crosses scores with the grid: each score falls in
 the bucket of the highest grid value it reaches, bucket counts are summed
 from the top (a window over at most ``GRID_STEPS + 1`` buckets per taxonomy),
 so tp/fp at every threshold come from one aggregation over the scores.
+
+The exact sweep takes every distinct score as a threshold. Its counts from the
+top are prefix sums over range partitions: sums inside a partition, plus the
+totals of the partitions before it (one small row per partition and taxonomy),
+so a taxonomy of any size is never in one task.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.functions.arrays import explode_computed
+from ticketlens.session import scratch_path
 
 GRID_STEPS = 40  # thresholds i / 40 for i = 0..40 (a 0.025 grid)
 
@@ -139,6 +145,62 @@ def best_thresholds(sweep: DataFrame) -> DataFrame:
     return sweep.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
+def distinct_scores(pairs: DataFrame) -> DataFrame:
+    """(taxonomy, score, n_true, n_false): counts of every distinct score; rows without a score count for no threshold.
+
+    ``pairs``: (taxonomy, score, is_true 0/1). NaN is no score; 0.0 and -0.0 are one.
+    """
+    score = F.when(~F.isnan("score"), F.col("score") + F.lit(0.0))
+    return pairs.groupBy("taxonomy", score.alias("score")).agg(
+        F.sum("is_true").alias("n_true"), F.sum(1 - F.col("is_true")).alias("n_false"))
+
+
+def exact_sweep(pairs: DataFrame) -> DataFrame:
+    """Micro P/R/F1 per (taxonomy, threshold) at every distinct score.
+
+    ``pairs``: (taxonomy, score double, is_true 0/1), one row per scored (item,
+    label). A pair is predicted if its score reaches the threshold. True pairs
+    without a score (null or NaN) are missed at every threshold.
+    """
+    spark = pairs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Sorted by ranges and written once: the number of a row tells its partition and its place.
+    path = scratch_path(spark, "distinct-scores")
+    (
+        distinct_scores(pairs).repartitionByRange(parts, F.col("taxonomy"), F.col("score").desc_nulls_last())
+        .sortWithinPartitions(F.col("taxonomy"), F.col("score").desc_nulls_last())
+        .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).write.parquet(path)
+    )
+    rows = spark.read.parquet(path)
+    # One row per partition and taxonomy in it: at most partitions + taxonomies.
+    totals = rows.groupBy("taxonomy", "part").agg(F.sum("n_true").alias("part_true"), F.sum("n_false").alias("part_false"))
+    before = Window.partitionBy("taxonomy").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("taxonomy")
+    offsets = totals.select(
+        F.col("taxonomy").alias("off_taxonomy"), F.col("part").alias("off_part"),
+        F.coalesce(F.sum("part_true").over(before), F.lit(0)).alias("before_true"),
+        F.coalesce(F.sum("part_false").over(before), F.lit(0)).alias("before_false"),
+        F.sum("part_true").over(every).alias("total_true"),
+    )
+    inside = Window.partitionBy("part", "taxonomy").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.where("score IS NOT NULL").select(
+        "taxonomy", "score", "part", F.sum("n_true").over(inside).alias("here_true"), F.sum("n_false").over(inside).alias("here_false"))
+    same = summed["taxonomy"].eqNullSafe(offsets["off_taxonomy"]) & (F.col("part") == F.col("off_part"))
+    swept = summed.join(F.broadcast(offsets), same).select(
+        "taxonomy", F.col("score").alias("threshold"),
+        (F.col("before_true") + F.col("here_true")).alias("tp"), (F.col("before_false") + F.col("here_false")).alias("fp"), "total_true",
+    ).withColumn("fn", F.col("total_true") - F.col("tp")).drop("total_true")
+    return swept.select("taxonomy", "threshold", "tp", "fp", "fn", *_scores(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def best_exact(sweep: DataFrame) -> DataFrame:
+    """As ``best_thresholds`` for sweeps of any length: a maximum that is combined before the shuffle, no ranking."""
+    rest = [c for c in sweep.columns if c != "taxonomy"]
+    best = sweep.groupBy("taxonomy").agg(
+        F.max_by(F.struct(*rest), F.struct(F.col("f1"), (-F.col("threshold")).alias("low"))).alias("best"))
+    return best.select("taxonomy", *[F.col(f"best.{c}").alias(c) for c in rest])
+
+
 # --- E5: seed comparison ------------------------------------------------------------
 
 

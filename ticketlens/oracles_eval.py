@@ -71,6 +71,25 @@ ORACLES["best_thresholds"] = _SWEEP + """
 SELECT taxonomy, threshold, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1
 FROM ranked WHERE rk = 1"""
 
+_EXACT = f"""
+WITH cat AS ({_CAT_KW}),
+u AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
+lg AS (SELECT vec_id, label AS cls, pos % 30 AS ord, sum(CAST(x AS DOUBLE)) AS score FROM u GROUP BY 1, 2, 3),
+pairs AS (SELECT cat.taxonomy, lg.score, CASE WHEN lg.ord = lg.cls OR lg.ord = (lg.cls * 3 + 1) % 30 THEN 1 ELSE 0 END AS is_true
+          FROM lg JOIN cat ON cat.ord = lg.ord),
+d AS (SELECT taxonomy, score AS threshold, sum(is_true) AS n_true, sum(1 - is_true) AS n_false FROM pairs GROUP BY 1, 2),
+sw AS (SELECT taxonomy, threshold, CAST(sum(n_true) OVER top AS BIGINT) AS tp, CAST(sum(n_false) OVER top AS BIGINT) AS fp,
+         CAST(sum(n_true) OVER (PARTITION BY taxonomy) - sum(n_true) OVER top AS BIGINT) AS fn
+       FROM d WINDOW top AS (PARTITION BY taxonomy ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+scored AS (SELECT taxonomy, threshold, tp, fp, fn, {_prf(rnd=False)} FROM sw)
+"""
+ORACLES["exact_threshold_sweep"] = _EXACT + """
+SELECT taxonomy, threshold, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM scored"""
+ORACLES["best_exact_thresholds"] = _EXACT + """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY taxonomy ORDER BY f1 DESC, threshold ASC) AS rk FROM scored)
+SELECT taxonomy, threshold, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1
+FROM ranked WHERE rk = 1"""
+
 _RUNS = ", ".join(f"('{m}', {s}, {o})" for m, s, o in RUNS)
 ORACLES["seed_comparison"] = f"""
 WITH cat AS ({_CAT_KW}),

@@ -109,6 +109,27 @@ def best_thresholds(spark, sf_dir):
     return _r9(E.best_thresholds(_sweep(spark, sf_dir)))
 
 
+def _logit_pairs(spark, sf_dir) -> DataFrame:
+    """(taxonomy, score, is_true) of every item and catalog label, scored by the logit (its order is the score's)."""
+    ords = F.array(F.col("true_class"), (F.col("true_class") * 3 + 1) % 30)
+    pairs = _logits(spark, sf_dir).select(ords.alias("ords"), F.posexplode("logits").alias("ord", "score"))
+    return pairs.select(
+        F.split_part(CATALOG.label_at(F.col("ord")), F.lit("/"), F.lit(1)).alias("taxonomy"), "score",
+        F.array_contains("ords", F.col("ord")).cast("int").alias("is_true"))
+
+
+@query("exact_threshold_sweep")
+def exact_threshold_sweep(spark, sf_dir):
+    """E4, exact: micro P/R/F1 per taxonomy at every distinct logit."""
+    return _r9(E.exact_sweep(_logit_pairs(spark, sf_dir)))
+
+
+@query("best_exact_thresholds")
+def best_exact_thresholds(spark, sf_dir):
+    """E4, exact: the logit with the best F1 per taxonomy (ties: the lower one)."""
+    return _r9(E.best_exact(E.exact_sweep(_logit_pairs(spark, sf_dir))))
+
+
 def _validation_sweep(spark, sf_dir) -> DataFrame:
     rows = P.build_dataset(td.issues(spark, sf_dir), LABELS, CREATED_AFTER, CLOSED_BEFORE, VALIDATION_FRACTION, LOCKBOX_FRACTION)
     validation = rows.where(F.col("final_split") == "validation").select("sample_id", "model_input", "retained_labels")
