@@ -56,7 +56,7 @@ def issue_pages(spark, sf_dir) -> DataFrame:
     js = F.to_json(obj)
     js = F.when(F.col("is_pull_request"), F.regexp_replace(js, r"\}$", ',"pull_request":{}}')).otherwise(js)
     js = F.when(F.col("number") % 23 == 0, F.regexp_replace(js, r'^\{"number":(\d+)', '{"number":"$1"')).otherwise(js)
-    js = F.when(F.col("number") % 29 == 0, F.regexp_replace(js, r'"title":"(?:[^"\\]|\\.)*"', '"title":7')).otherwise(js)
+    js = F.when(F.col("number") % 29 == 0, F.regexp_replace(js, r'"title":"(?:[^"\\]|\\.)*+"', '"title":7')).otherwise(js)
     js = F.when(F.col("number") % 31 == 0, F.regexp_replace(js, r'"body":"(?:[^"\\]|\\.)*+"', '"body":7')).otherwise(js)
     js = F.when(F.col("number") % 19 == 0, F.regexp_replace(js, r'("created_at":"[^"]*)Z"', '$1"')).otherwise(js)
     items = iss.select(F.expr("number div 100").alias("page"), "number", js.alias("item"))
