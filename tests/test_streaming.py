@@ -42,3 +42,14 @@ def test_a_broken_applied_table_is_not_taken_for_an_empty_one(spark, tmp_path):
     (tmp_path / "broken" / "part-0.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         ST._existing(spark, str(tmp_path / "broken"), like).collect()
+
+
+def test_a_bucket_of_the_applied_table_is_one_file_of_a_batch(spark, tmp_path):
+    """Every task of the join wrote a file into every bucket: files grew with tasks times buckets."""
+    rows = [("apply", "o", f"r{i % 7}", i, ["kind/bug", "sig/node", "sig/storage"]) for i in range(4000)]
+    plan = spark.createDataFrame(rows, "write_status string, owner string, repo string, issue_number long, labels_to_apply array<string>")
+    ST.apply_batch(str(tmp_path / "applied"))(plan, 0)
+    ST.apply_batch(str(tmp_path / "applied"))(plan, 1)
+    buckets = [p for p in (tmp_path / "applied").iterdir() if p.is_dir()]
+    assert len(buckets) > 200 and all(len(list(p.glob("*.parquet"))) == 1 for p in buckets)
+    assert spark.read.parquet(str(tmp_path / "applied")).drop("bucket").distinct().count() == 12_000

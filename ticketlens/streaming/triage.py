@@ -88,7 +88,8 @@ def apply_batch(applied_path: str):
             buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most APPLIED_BUCKETS
             done = _existing(batch.sparkSession, applied_path, new).where(F.col("bucket").isin(buckets))
             fresh = new.join(done.select(*APPLIED_KEY), APPLIED_KEY, "left_anti")
-            fresh.write.mode("append").partitionBy("bucket").parquet(applied_path)
+            # A bucket is written by one task (a busy one by a few), not by every task of the join.
+            fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(applied_path)
         finally:
             new.unpersist()
 
