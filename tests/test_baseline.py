@@ -108,3 +108,23 @@ def test_model_behind_the_batch_scorer(spark, rows):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     with pytest.raises(ValueError, match="labels differ"):
         S.create_scorer("linear", catalog, model=(shared[0], shared[1][::-1]))
+
+
+def test_sparse_tfidf_counts_in_tasks_of_bounded_text(spark, monkeypatch):
+    """Repeated and null ids, over many small tasks: the counts of the definition, and no sort of all counts."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(B, "TASK_BYTES", 200)
+    data = [(None if i % 9 == 0 else f"s{i % 40}", " ".join(WORDS[i % 5 : i % 11 + 1]) + " the the") for i in range(120)] + [("n", None)]
+    rows = spark.createDataFrame(data, "sample_id string, model_input string")
+    train = rows.where("sample_id < 's3' OR sample_id IS NULL")
+    kept = [(i, t) for i, t in data if i is None or i < "s3"]
+    tf = Counter((i, w) for i, t in data for w in (t or "").split())
+    df = Counter(w for _, w in {(i, w) for i, t in kept for w in (t or "").split()})
+    out = B.sparse_tfidf(rows, train)
+    got = {(r["sample_id"], r["term"]): (r["tf"], r["weight"]) for r in out.collect()}
+    assert got.keys() == tf.keys()
+    assert all(got[k] == (n, pytest.approx(n * math.log((len(kept) + 1) / (df[k[1]] + 1)))) for k, n in tf.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan

@@ -35,6 +35,8 @@ NUM_FEATURES = 1 << 18
 BLOCK_ROWS = 8_192
 ROUNDS = 4
 RATE = 0.5
+#: Bytes of text whose terms one task counts, on average.
+TASK_BYTES = 8 << 20
 #: Tokens of the rows that make one step (or are scored) together.
 _STEP_TOKENS = 8_192
 #: Rows of a step of the fit at most.
@@ -48,18 +50,22 @@ def tokens(text: Column) -> Column:
 def sparse_tfidf(rows: DataFrame, train: DataFrame, id_col: str = "sample_id", text_col: str = "model_input") -> DataFrame:
     """(id, term, tf, weight) with weight = tf * ln((n + 1) / (df + 1)), n and df counted on ``train``.
 
-    Terms are counted per row by aggregation (a frequent word is one partial row
-    per task); a term no training row holds gets df = 0.
+    The rows are dealt by id to tasks of about ``TASK_BYTES`` of text, where the
+    terms of an id are counted without a further shuffle (a frequent word is one
+    partial row per task); a term no training row holds gets df = 0.
     """
 
     def terms(df: DataFrame) -> DataFrame:
-        return df.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
+        size = df.agg(F.sum(F.octet_length(text_col).cast("long")).alias("s")).first()["s"] or 0
+        dealt = df.select(id_col, text_col).repartition(size // TASK_BYTES + 1, id_col)
+        return dealt.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
 
     tf = terms(rows).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = terms(train).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = train.count()
     idf = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
-    return tf.join(df_, "term", "left").select(id_col, "term", "tf", (F.col("tf") * idf).alias("weight"))
+    # Hashed by the side with a row per term: the counts of all rows are not sorted.
+    return tf.join(df_.hint("shuffle_hash"), "term", "left").select(id_col, "term", "tf", (F.col("tf") * idf).alias("weight"))
 
 
 def hashed_terms(text: Column, features: int = NUM_FEATURES) -> Column:
@@ -153,7 +159,7 @@ def fit(
         return LinearModel(tuple(labels), idf, weights, bias)
     blocks = math.ceil(n / block_rows)
     dealt = rows.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * blocks)  # at most features / 8 rows of weights each
 
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((idf, weights, bias))
