@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,27 @@ def test_title_key_and_group_id(spark):
 def test_empty_catalog_masks_nothing(spark):
     rows = clean_both_ways(spark, ["kind/bug stays"], [])
     assert rows[0]["g"] == "kind/bug stays"
+
+
+def test_batches_to_python_are_bounded(spark):
+    """A worker gets few rows and bytes at once, however much text a task reads; a smaller setting stands."""
+    from ticketlens.session import PYTHON_BATCH_ROWS, bounded_batches
+
+    @F.pandas_udf("array<long>")
+    def batch(values: pd.Series) -> pd.Series:
+        total = [len(values), int(values.str.len().sum())]
+        return pd.Series([total] * len(values))
+
+    names = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        bounded_batches(spark)
+        short = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 10).alias("t"))
+        long = spark.range(0, 900, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+        assert short.select(batch("t").alias("b")).agg(F.max("b")).first()[0][0] <= PYTHON_BATCH_ROWS
+        assert long.select(batch("t").alias("b")).agg(F.max(F.col("b")[1])).first()[0] < 10_000_000
+        spark.conf.set(names[0], "50")
+        assert bounded_batches(spark).conf.get(names[0]) == "50"
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)

@@ -26,7 +26,7 @@ from ticketlens.sinks import labels as LS
 from ticketlens.sinks.labels import RunConfig
 from ticketlens.sources import repo_labels as RL
 from ticketlens.sources.catalog import LabelCatalog
-from ticketlens.session import prepare
+from ticketlens.session import bounded_batches, prepare
 from ticketlens.sources import testdata as td
 
 LABELS = [label for label, _, _ in LABEL_CATALOG]
@@ -44,7 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def query(name: str):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
+            bounded_batches(prepare(spark))
             return fn(spark, sf_dir)
 
         run.__name__ = name
