@@ -128,3 +128,20 @@ def test_sparse_tfidf_counts_in_tasks_of_bounded_text(spark, monkeypatch):
     assert all(got[k] == (n, pytest.approx(n * math.log((len(kept) + 1) / (df[k[1]] + 1)))) for k, n in tf.items())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_scores_do_not_depend_on_the_arrow_batches(spark, rows):
+    """Single floats add up differently in other steps: what is scored together is the same for all batch sizes."""
+    model = B.fit(rows, ["t_a", "t_b"], ["kind/a", "kind/b"])
+    catalog = LabelCatalog.with_thresholds(["kind/a", "kind/b"], {"kind/a": 0.5, "kind/b": 0.5})
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one, got = rows.coalesce(1), []
+    try:
+        for size in ("10000", "37"):
+            spark.conf.set(key, size)
+            scorer = S.create_scorer("linear", catalog, model=S.shared_model(spark, model))
+            plugged = S.score_batch(one, "model_input", ["sample_id"], catalog, scorer)
+            got.append((B.score_labels(one, model, ["sample_id"]).collect(), plugged.collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1] and len(got[0][0]) == 1200 and len(got[0][1]) == 600

@@ -37,6 +37,9 @@ ROUNDS = 4
 RATE = 0.5
 #: Bytes of text whose terms one task counts, on average.
 TASK_BYTES = 8 << 20
+#: Rows and bytes scored as one run of steps: what is scored together does not follow the size of the Arrow batches.
+SCORE_ROWS = 10_000
+SCORE_BYTES = 64 << 20
 #: Tokens of the rows that make one step (or are scored) together.
 _STEP_TOKENS = 8_192
 #: Rows of a step of the fit at most.
@@ -224,6 +227,27 @@ def linear_scores(flat, offsets, arrays):
     return out
 
 
+def regrouped(batches: Iterator) -> Iterator:
+    """The same Arrow rows in order, as batches of ``SCORE_ROWS`` rows (fewer beyond ``SCORE_BYTES``)."""
+    import pyarrow as pa
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, SCORE_ROWS - rows)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            rows, size = rows + part.num_rows, size + part.nbytes
+            if rows == SCORE_ROWS or size >= SCORE_BYTES:
+                yield joined()
+                held, rows, size = [], 0, 0
+    if held:
+        yield joined()
+
+
 def score_labels(rows: DataFrame, model: LinearModel, id_cols: Sequence[str], text_col: str = "model_input") -> DataFrame:
     """Long form (ids..., label, score) with score = P(label | text), for every row."""
     features = len(model.idf)
@@ -234,7 +258,7 @@ def score_labels(rows: DataFrame, model: LinearModel, id_cols: Sequence[str], te
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in regrouped(batches):
             lists = batch.column(width)
             at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             scores = linear_scores(lists.flatten().to_numpy(), at, shared.value)

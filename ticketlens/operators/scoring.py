@@ -21,7 +21,7 @@ from ticketlens.fixed_values import (
     NON_PRODUCTION_SUFFIX,
 )
 from ticketlens.functions.arrays import posexplode_computed
-from ticketlens.operators.baseline import LinearModel, linear_scores, term_numbers
+from ticketlens.operators.baseline import SCORE_BYTES, SCORE_ROWS, LinearModel, linear_scores, term_numbers
 from ticketlens.sources.catalog import LabelCatalog
 
 PREDICTION_TYPE = "array<struct<label:string,taxonomy:string,score:double>>"
@@ -161,14 +161,29 @@ def score_batch(df: DataFrame, text_col: str, id_cols: list[str], catalog: Label
                 batch_size: int = 256) -> DataFrame:
     """Arrow batches through ``scorer``; output keeps ids and adds ``predictions``.
 
-    Inside a batch texts go by length, ``batch_size`` at a time, so a model that
+    Inside a batch (``SCORE_ROWS`` rows) texts go by length, ``batch_size`` at a time, so a model that
     pads sees texts of like length. Python returns plain score arrays; labels and
     taxonomies are attached by position in the JVM.
     """
     schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in id_cols) + ", scores array<double>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    most_rows, most_bytes = SCORE_ROWS, SCORE_BYTES
+
+    def regrouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, size = [], 0, 0
         for pdf in batches:
+            while len(pdf):
+                part, pdf = pdf.iloc[: most_rows - rows], pdf.iloc[most_rows - rows :]
+                held.append(part)
+                rows, size = rows + len(part), size + int(part[text_col].str.len().sum())
+                if rows == most_rows or size >= most_bytes:
+                    yield pd.concat(held, ignore_index=True)
+                    held, rows, size = [], 0, 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in regrouped(batches):
             out = pdf[id_cols].copy()
             texts = pdf[text_col].reset_index(drop=True)
             order = np.argsort(texts.str.len().fillna(0).to_numpy(), kind="stable")
