@@ -132,3 +132,14 @@ def test_batches_to_python_are_bounded(spark):
     finally:
         for n, value in zip(names, before):
             spark.conf.set(n, value)
+
+
+def test_nfkc_workers_take_arrow_values_without_pandas(spark):
+    from pyspark.util import PythonEvalType
+
+    from ticketlens.functions import unicode as U
+
+    assert U._nfkc_batch.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF and not hasattr(U, "pd")
+    rows = [(i, v) for i, v in enumerate(["ﬁ Ａ", "plain", "", None, "é"])]
+    out = spark.createDataFrame(rows, "i int, t string").select("i", U.nfkc(F.col("t")).alias("r")).orderBy("i").collect()
+    assert [r["r"] for r in out] == ["fi A", "plain", "", None, "é"]
