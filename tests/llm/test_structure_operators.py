@@ -490,6 +490,26 @@ def test_tree_matching_on_random_trees(monkeypatch, cells):
         assert weight == best_weight(a, b) if cells else weight <= best_weight(a, b)
 
 
+def test_tree_matching_does_not_depend_on_the_size(monkeypatch):
+    import random
+
+    rnd = random.Random(11)
+
+    def item(i):
+        inner = rnd.choice(["", "<b>more</b>", f"<i>t{rnd.randint(0, 30)}</i>", f"<ul><li>t{rnd.randint(0, 30)}</li><li>x</li></ul>"])
+        tag = rnd.choice(["div", "ol"])
+        return f"<{tag}>{rnd.choice(['', 'x', f's{rnd.randint(0, 60)}', str(rnd.random())])}{inner}</{tag}>"
+
+    for n in (3, 20, 60, 60):
+        a, b = (wrapper.parse("<body>" + "".join(item(i) for i in range(n + rnd.randint(0, 9))))[0] for _ in range(2))
+        found = []
+        for cells in (10**9, 0):
+            monkeypatch.setattr(wrapper, "EXACT_CELLS", cells)
+            found.append(wrapper.match(a, b))
+        assert found[0] == found[1]
+        assert sum(1 + same for _, same in found[1].values()) == best_weight(a, b)
+
+
 @pytest.mark.parametrize(
     "left,right",
     [

@@ -2,10 +2,12 @@
 
 Pages of one host are aligned as DOM trees by simple tree matching: two nodes
 match if their labels (tag and class) do, their children are aligned in order
-so that the matched weight is greatest, equal own text weighing double. Equal
-children at both ends are matched first; where what is left between still has
-over ``EXACT_CELLS`` pairs of nodes, equal subtrees and then equal labels cut it
-into parts, so wide pages take near-linear time and memory. Each
+so that the matched weight is greatest, equal own text weighing double, however
+wide the pages are. Equal children at both ends are matched first; the table of
+what is left between is held whole up to ``EXACT_CELLS`` pairs of children. Of a
+larger one only some rows are held and the others made again on the way back:
+the same match in little memory, in time that grows with the product of the two
+numbers of children. Each
 host has one reference page (the one nearest to the host's mean size), and so
 has each of its layouts (pages with the same outer elements) if it has several.
 A reference node that is matched with the same text on most of the different
@@ -34,7 +36,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html as _html
 import re
@@ -58,9 +59,12 @@ BROADCAST_BYTES = 48 << 20
 BROADCAST_NODES = 4_000_000
 #: The prints of the reference pages are broadcast up to this many hosts or layouts.
 BROADCAST_HOSTS = 500_000
-#: Children are matched at the greatest weight where the two sides' subtrees, less equal ones at both ends, have at most
-#: so many pairs of nodes; wider ones are cut at anchors first.
-EXACT_CELLS = 1_000_000
+#: The table of a match is held whole up to so many pairs of children (the match is the same beyond it).
+EXACT_CELLS = 100_000
+#: A text on more nodes of the reference than this says little about which subtrees are worth a closer look.
+_TELLING = 8
+#: Matches of pairs of kinds that are remembered, and rows of weights.
+_KNOWN, _ROWS_OF_WEIGHTS = 2_000_000, 64
 #: Elements that make a layout, and how deep they are looked at in a page without article or main.
 STRUCTURE = frozenset("html body div section article main table center".split())
 LAYOUT_DEPTH = 5
@@ -279,10 +283,12 @@ class _Matcher:
     A pair of kinds is matched once.
     """
 
-    def __init__(self, page: Node, reference: Node):
-        trees = (_preorder(page), _preorder(reference))
+    def __init__(self, page: Node, reference: Node, shared: set[str] | None = None):
+        """``shared``: the texts that may be equal (default: all that both pages have)."""
+        self.trees = trees = (_preorder(page), _preorder(reference))
         texts = [{n.text for n in tree} for tree in trees]
-        shared = texts[0] & texts[1]
+        self.coarse: _Matcher | None = None if shared is None else self
+        self.shared = shared = texts[0] & texts[1] if shared is None else shared
         kinds: dict[tuple, int] = {}
         self.kind: tuple[dict[int, int], dict[int, int]] = ({}, {})
         self.size: list[int] = []
@@ -319,7 +325,10 @@ class _Matcher:
             pairs, total = self._aligned(self.below[a], self.below[b]), 0
             for i, j in pairs:  # no sum(): trees may be deeper than calls through built-ins may nest
                 total += self.weight(self.below[a][i], self.below[b][j])
+            if len(self.known) >= _KNOWN:
+                self.known.clear()
             self.known[a, b] = total, pairs
+            return total, pairs
         return self.known[a, b]
 
     def _aligned(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -329,41 +338,10 @@ class _Matcher:
             head += 1
         while tail < min(n, m) - head and xs[n - 1 - tail] == ys[m - 1 - tail]:
             tail += 1
-        middle = self._between(xs, ys, head, n - tail, head, m - tail, (lambda k: k, self.label.__getitem__))
+        wide = (n - tail - head) * (m - tail - head) > EXACT_CELLS
+        middle = (self._best_wide if wide else self._best)(xs, ys, head, n - tail, head, m - tail)
         return [(i, i) for i in range(head)] + middle + [(n - i, m - i) for i in range(tail, 0, -1)]
 
-    def _between(self, xs, ys, i0, i1, j0, j1, names) -> list[tuple[int, int]]:
-        """The match of xs[i0:i1] and ys[j0:j1]: the best one where the subtrees are small enough, else between anchors.
-
-        Anchors are equal subtrees (then: equal labels) paired by their how-manieth occurrence, the longest chain of such pairs.
-        """
-        if i0 == i1 or j0 == j1:
-            return []
-        if sum(self.size[x] for x in xs[i0:i1]) * sum(self.size[y] for y in ys[j0:j1]) <= EXACT_CELLS:
-            return self._best(xs, ys, i0, i1, j0, j1)
-        if not names:
-            return []
-        name, *rest = names
-        nth: dict[tuple, int] = {}
-        seen: dict[object, int] = {}
-        for j in range(j0, j1):
-            key = name(ys[j])
-            seen[key] = seen.get(key, 0) + 1
-            nth[key, seen[key]] = j
-        seen, candidates = {}, []
-        for i in range(i0, i1):
-            key = name(xs[i])
-            seen[key] = seen.get(key, 0) + 1
-            if (j := nth.get((key, seen[key]))) is not None:
-                candidates.append((i, j))
-        out, i, j = [], i0, j0
-        for x, y in [*_chain(candidates), (i1, j1)]:
-            out += self._between(xs, ys, i, x, j, y, rest)
-            if x < i1:
-                out.append((x, y))
-            i, j = x + 1, y + 1
-        return out
-
     def _best(self, xs, ys, i0, i1, j0, j1) -> list[tuple[int, int]]:
         """The match of greatest weight, by a table of all pairs of places."""
         above = [0] * (j1 - j0 + 1)
@@ -387,25 +365,130 @@ class _Matcher:
                 out.append((i0 + i, j0 + j))
         return out[::-1]
 
+    def _best_wide(self, xs, ys, i0, i1, j0, j1) -> list[tuple[int, int]]:
+        """As ``_best``; of the table every so-many-th row is held, the others are made again from there on the way back."""
+        import numpy as np
+
+        add = self._weights(xs[i0:i1], ys[j0:j1])
+        n, m = i1 - i0, j1 - j0
+
+        def follow(above, i, row):
+            end = len(row) - 1
+            base, where, more, one, last = add(i)
+            step = row[1:]
+            inside = np.searchsorted(where, end)
+            where = where[:inside]
+            ahead = above[where] + base[where] + more[:inside]
+            if not one:
+                np.add(above[:end], base[:end], out=step)
+                step[where] = ahead
+                np.maximum(step, above[1 : end + 1], out=step)
+                np.maximum.accumulate(step, out=step)
+                return
+            # All weights that are not 0 are the same, so the last of them tells the best: no running maximum.
+            first = min(int(last[0]), end)
+            np.take(above, last[1][first:end], out=step[first:], mode="clip")
+            step[first:] += one
+            step[:first] = 0
+            np.maximum(step, above[1 : end + 1], out=step)
+            for at, value in zip(where, ahead):
+                if value > step[at]:
+                    step[at : at + np.searchsorted(step[at:], value)] = value
+
+        stride = max(1, int(n**0.5))
+        held = np.zeros((-(-n // stride), m + 1), dtype=np.int32)
+        rows = np.zeros((stride + 1, m + 1), dtype=np.int32)
+        for i in range(n):
+            if i % stride == 0:
+                held[i // stride] = rows[i % 2]
+            follow(rows[i % 2], i, rows[(i + 1) % 2])
+        out, j = [], m
+        for block in range(len(held) - 1, -1, -1):
+            if not j:
+                break
+            first = block * stride
+            table = rows[:, : j + 1]
+            table[0] = held[block][: j + 1]
+            for i in range(min(n - first, stride)):
+                follow(table[i], first + i, table[i + 1])
+            i = min(n - first, stride)
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i0 + first + i, j0 + j))
+        return out[::-1]
+
+    def _weights(self, xs: tuple[int, ...], ys: tuple[int, ...]):
+        """A function from a place in xs to (weights with all of ys as far as they are told by common texts, places in order,
+        what to add there, their only value besides 0 if they have just one, the first place with it and the last up to each).
 
-def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest chain of pairs (given by rising first place) whose second places rise too."""
-    ends: list[int] = []  # second place of the last pair of the best chain of each length
-    at: list[int] = []  # ... and which pair that is
-    before: list[int] = []
-    for k, (_, j) in enumerate(pairs):
-        length = bisect.bisect_left(ends, j)
-        before.append(at[length - 1] if length else -1)
-        if length == len(ends):
-            ends.append(j)
-            at.append(k)
-        else:
-            ends[length], at[length] = j, k
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = before[k]
-    return out[::-1]
+        Two subtrees without a telling text in common weigh what they weigh with only the common texts compared, and
+        of such kinds there are few; the others are weighed in full.
+        """
+        import numpy as np
+
+        if self.coarse is None:
+            often: dict[str, int] = {}
+            for node in self.trees[1]:
+                often[node.text] = often.get(node.text, 0) + 1
+            self.coarse = _Matcher(self.trees[0][0], self.trees[1][0], {t for t in self.shared if often[t] > _TELLING})
+            self.coarse_of: dict[int, int] = {}
+            for fine, rough in zip(self.kind, self.coarse.kind):
+                self.coarse_of.update((k, rough[node]) for node, k in fine.items())
+        coarse, of = self.coarse, self.coarse_of if self.coarse is not self else range(len(self.size))
+        places: dict[int, list[int]] = {}
+        for j, y in enumerate(ys):
+            places.setdefault(y, []).append(j)
+        rough, at = np.unique(np.array([of[y] for y in ys]), return_inverse=True)
+        rough = rough.tolist()
+
+        def telling(kind: int) -> set:
+            found, todo = set(), [kind]
+            while todo:
+                k = todo.pop()
+                if isinstance(self.text[k], str) and self.text[k] not in coarse.shared:
+                    found.add(self.text[k])
+                todo.extend(self.below[k])
+            return found
+
+        holders: dict[str, list[int]] = {}
+        if coarse is not self:
+            for y in places:
+                for text in telling(y):
+                    holders.setdefault(text, []).append(y)
+        bases: dict[int, tuple] = {}
+        extras: dict[int, tuple] = {}
+        none = np.empty(0, dtype=np.int64)
+
+        def add(i):
+            x = xs[i]
+            if (base := bases.get(of[x])) is None:
+                if len(bases) >= _ROWS_OF_WEIGHTS:
+                    bases.clear()
+                weights = np.array([coarse.weight(of[x], r) for r in rough], dtype=np.int32)
+                values = np.unique(weights[weights > 0])
+                weights = weights[at]
+                some = np.flatnonzero(weights)
+                first = int(some[0]) if len(some) else len(ys)
+                last = np.maximum.accumulate(np.where(weights > 0, np.arange(len(ys)), 0))
+                base = bases[of[x]] = weights, (int(values[0]) if len(values) == 1 else 0), (first, last)
+            if not holders:
+                return base[0], none, none, *base[1:]
+            if x not in extras:
+                where, more = [], []
+                for y in {y for text in telling(x) for y in holders.get(text, ())}:
+                    gain = self.weight(x, y) - coarse.weight(of[x], of[y])
+                    where += places[y]
+                    more += [gain] * len(places[y])
+                order = np.argsort(np.array(where, dtype=np.int64))
+                extras[x] = np.array(where, dtype=np.int64)[order], np.array(more, dtype=np.int32)[order]
+            return base[0], *extras[x], *base[1:]
+
+        return add
 
 
 def match(page: Node, reference: Node) -> dict[int, tuple[int, bool]]:
