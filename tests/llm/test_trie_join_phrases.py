@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ticketlens.llm import collocations, jaccard_join, prefix_trie
 
@@ -173,6 +174,37 @@ def test_similar_sets_share_a_signature_and_pass_the_cells():
             assert jaccard_join._apart(jaccard_join._cells(a), jaccard_join._cells(b)) <= size + other - 2 * common
 
 
+def test_similar_sets_share_a_signature_of_groups_of_three():
+    rng = np.random.default_rng(2)
+    for size in [*range(20, 140, 3), 200, 800, 3000, 9000]:
+        a = rng.integers(0, 2**63, size, dtype=np.uint64)
+        common = -(-8 * size // 9)
+        b = np.concatenate([a[:common], rng.integers(0, 2**63, size - common, dtype=np.uint64)])
+        for whole in (False, True):
+            assert len(np.intersect1d(*(jaccard_join.signatures(x, whole=whole, subsets_from=16)[0] for x in (a, b))))
+
+
+def test_unlike_edits_of_one_text_share_few_signatures():
+    """A signature speaks for several elements: sets with half of their elements in common share hardly any."""
+    rng = np.random.default_rng(3)
+    base, met = rng.integers(0, 2**63, 400, dtype=np.uint64), 0
+    edits = [np.concatenate([rng.choice(base, 270, replace=False), rng.integers(0, 2**63, 130, dtype=np.uint64)]) for _ in range(30)]
+    signed = [jaccard_join.signatures(e)[0] for e in edits]
+    for x, y in itertools.combinations(signed, 2):
+        met += len(np.intersect1d(x, y))
+    assert met < 0.05 * 435 * len(signed[0])
+    assert len(signed[0]) < 400
+
+
+def test_signatures_of_the_same_sets_are_kept_once(spark, make_docs):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, "other words only here you see")]
+    docs = make_docs(rows).select(F.col("doc_id").alias("doc"), "text")
+    join = jaccard_join._Join(docs, 5, 80, 24, 200_000)
+    assert join.rows.count() == 2 and join.rows.select("sign").distinct().count() == 1
+
+
 # --- 13: collocations -----------------------------------------------------------------------
 
 
