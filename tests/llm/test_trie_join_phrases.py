@@ -261,3 +261,16 @@ def test_phrases_of_nothing(spark):
     schema = "lang string, text string"
     assert collocations.mine(spark.createDataFrame([], schema)).count() == 0
     assert collocations.mine(spark.createDataFrame([("en", "too few words")], schema)).count() == 0
+
+
+def test_phrases_cross_to_the_workers_in_small_batches(spark, make_docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (key, "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set(key, str(64 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        collocations.mine(make_docs([(1, "a b. a b")]), min_count=2)
+        assert int(spark.conf.get(key)) <= 1 << 20 and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

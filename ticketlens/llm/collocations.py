@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import discard, release, written
+from ticketlens.session import bounded_batches
 
 MIN_COUNT = 100
 MAX_WORDS = 5
@@ -57,7 +58,7 @@ _HELD_PHRASES = 400_000
 #: A row of the coded corpus ends at the first barrier after so many codes.
 _SEGMENT = 1024
 #: Rows of the coded corpus walked at once.
-_ROWS = 512
+_ROWS = 128
 
 #: Fixed value: the bytes that end a piece; space and tab separate words.
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -84,10 +85,10 @@ def _counted(parts: Iterator) -> Iterator:
     def rows():
         for c in counts.values():
             c.pop(_END, None)
-        table = [(lang, w.decode("utf-8"), n) for lang, c in counts.items() for w, n in c.items()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in table], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"]
-        )
+        names = pa.array(list(counts), pa.string()).take(pa.array([i for i, c in enumerate(counts.values()) for _ in c], pa.int64()))
+        words = pa.array((w for c in counts.values() for w in c), pa.binary()).cast(pa.string())
+        many = pa.array((n for c in counts.values() for n in c.values()), pa.int64())
+        return pa.RecordBatch.from_arrays([names, words, many], names=["lang", "word", "n"])
 
     for batch in parts:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -392,6 +393,7 @@ def mine(
     prefixes: int = PREFIXES, block: int = VOCABULARY,
 ) -> DataFrame:
     """The best phrases of every language: lang, rank, phrase, a, l, r, n, score."""
+    bounded_batches(docs.sparkSession)  # texts and codes cross to the workers, and lie in the executor, a megabyte at a time
     slim = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text}`").alias("text"))
     miner = _Miner(slim, min_count, best, prefixes, block)
     for number in range(len(SLICES)):
