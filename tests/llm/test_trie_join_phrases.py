@@ -192,7 +192,7 @@ def test_unlike_edits_of_one_text_share_few_signatures():
     signed = [jaccard_join.signatures(e)[0] for e in edits]
     for x, y in itertools.combinations(signed, 2):
         met += len(np.intersect1d(x, y))
-    assert met < 0.05 * 435 * len(signed[0])
+    assert met < 8 * 435  # eight a pair; three partitions of about one element gave 13
     assert len(signed[0]) < 400
 
 
