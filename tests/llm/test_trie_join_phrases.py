@@ -274,3 +274,18 @@ def test_phrases_cross_to_the_workers_in_small_batches(spark, make_docs):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_partial_counts_travel_packed():
+    """Counts of phrases met once need less than half of the 32 bytes of a plain row, and come back as they were."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 10**9, 5000))
+    left, right = (rng.integers(0, 60_000, len(keys)).astype(np.int32) for _ in range(2))
+    counts = np.ones(len(keys), dtype=np.int64)
+    counts[::50] = 10**12
+    wide = np.maximum(left, 59_999).astype(np.int32)
+    found = (keys, counts, left, np.where(counts > 1, wide, left).astype(np.int32), right, right)
+    packed = collocations._pack(found)
+    assert len(packed) < 14 * len(keys)
+    for was, now in zip(found, collocations._unpack(len(keys), packed)):
+        assert was.dtype == now.dtype and (was == now).all()

@@ -23,8 +23,10 @@ neighbour - minimum and maximum of the neighbours, counted along.
 Words that occur less than ``MIN_COUNT`` times can be in no candidate; they and
 the ends of pieces are coded as 0. Prefixes to expand are sent to the tasks as a
 trie of at most ``PREFIXES`` phrases at a time, the vocabulary in blocks of
-``VOCABULARY`` words; more of either takes more scans. All counts cover all
-documents, and products are decimals of 38 digits, so arithmetic is exact.
+``VOCABULARY`` words; more of either takes more scans. Most partial counts are of
+phrases met once or twice, so they are shuffled as packed runs of sorted keys, one
+per bucket of phrases, and added up per bucket. All counts cover all documents,
+and products are decimals of 38 digits, so arithmetic is exact.
 
 Cases: a null or empty text has no words; a null language is ``und``; repeated
 rows count each; fewer than 2000 survivors are all returned; an empty table
@@ -59,6 +61,8 @@ _HELD_PHRASES = 400_000
 _SEGMENT = 1024
 #: Rows of the coded corpus walked at once.
 _ROWS = 128
+#: Partial counts are dealt by phrase to one bucket for so many rows of the coded corpus; a task merges one at a time.
+_BUCKET_ROWS = 2048
 
 #: Fixed value: the bytes that end a piece; space and tab separate words.
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -195,37 +199,63 @@ class _Trie:
 FOUND = "node int, word int, cnt long, l_min int, l_max int, r_min int, r_max int"
 
 
-def _walked(shared) -> object:
-    """Rows (codes) -> partial counts of the extensions and phrases of a broadcast trie."""
+def _grouped(parts):
+    """One row per key, in their order, of several (keys, counts, smallest and largest neighbours)."""
+    import numpy as np
+
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.argsort(columns[0], kind="stable")
+    keys = columns[0][order]
+    if not len(keys):
+        return tuple(columns)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    folds = (np.add, np.minimum, np.maximum, np.minimum, np.maximum)
+    return (keys[at], *[f.reduceat(c[order], at) for f, c in zip(folds, columns[1:])])
+
+
+def _pack(found) -> bytes:
+    """Grouped partial counts as compressed bytes: steps between keys, ranges as width, small numbers beside each other."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys, counts, l_min, l_max, r_min, r_max = found
+    rows = np.stack([np.diff(keys, prepend=0), counts - 1, l_min, l_max - l_min, r_min, r_max - r_min]).astype("<i8")
+    planes = rows.view(np.uint8).reshape(6, len(keys), 8).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(many: int, packed):
+    import numpy as np
+    import pyarrow as pa
+
+    planes = np.frombuffer(pa.decompress(packed, 48 * many, codec="zstd"), dtype=np.uint8).reshape(6, 8, many)
+    steps, more, l_min, l_wide, r_min, r_wide = np.ascontiguousarray(planes.transpose(0, 2, 1)).reshape(6, -1).view("<i8")
+    sides = (l_min, l_min + l_wide, r_min, r_min + r_wide)
+    return (np.cumsum(steps), more + 1, *[x.astype(np.int32) for x in sides])
+
+
+def _walked(shared, buckets: int) -> object:
+    """Rows (codes) -> packed partial counts of the extensions and phrases of a broadcast trie, dealt by key."""
 
     def run(parts: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         width, edges, to, grows, tallies = shared.value
-        empty = np.empty(0, dtype=np.int64)
-
-        folds = (np.add, np.minimum, np.maximum, np.minimum, np.maximum)
         held: list[tuple] = []  # (keys, counts, smallest and largest neighbours) not passed on yet
 
-        def grouped(parts):
-            """One row per key of several such tuples."""
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            order = np.argsort(columns[0], kind="stable")
-            keys = columns[0][order]
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else empty
-            if not len(at):
-                return tuple(columns)
-            return (keys[at], *[f.reduceat(c[order], at) for f, c in zip(folds, columns[1:])])
-
         def hold(keys, left, right):
             left, right = left.astype(np.int32), right.astype(np.int32)
-            held.append(grouped([(keys, np.ones(len(keys), dtype=np.int64), left, left, right, right)]))
+            held.append(_grouped([(keys, np.ones(len(keys), dtype=np.int64), left, left, right, right)]))
 
         def batch_of(found):
-            keys, counts, *sides = found
-            arrays = [(keys // width).astype(np.int32), (keys % width).astype(np.int32), counts, *sides]
-            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["node", "word", "cnt", "l_min", "l_max", "r_min", "r_max"])
+            place = (found[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(place, kind="stable")
+            bucket, first = np.unique(place[order], return_index=True)
+            groups = np.split(order, first[1:]) if len(order) else []
+            packed = [_pack([c[g] for c in found]) for g in groups]
+            arrays = [pa.array(bucket.astype(np.int32)), pa.array([len(g) for g in groups], pa.int32()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["bucket", "many", "packed"])
 
         for batch in (b.slice(at, _ROWS) for b in parts for at in range(0, b.num_rows, _ROWS)):
             flat = np.concatenate([[0], batch.column(0).flatten().to_numpy(), [0] * (MAX_WORDS + 2)]).astype(np.int64)
@@ -249,11 +279,42 @@ def _walked(shared) -> object:
                 go = edges[slot] == key
                 pos, node = pos[go], to[slot[go]]
             if sum(len(h[0]) for h in held) > _HELD_PHRASES:
-                held[:] = [grouped(held)]
+                held[:] = [_grouped(held)]
                 if len(held[0][0]) > _HELD_PHRASES // 2:
                     yield batch_of(held.pop())
         if held:
-            yield batch_of(grouped(held))
+            yield batch_of(_grouped(held))
+
+    return run
+
+
+def _merged(width: int, min_count: int) -> object:
+    """Packed partial counts, sorted by bucket -> counts of the phrases, and of the extensions that are frequent."""
+
+    def run(parts: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held, bucket = [], None
+
+        def counted():
+            keys, counts, *sides = _grouped(held)
+            kept = (keys % width == 0) | (counts >= min_count)
+            keys = keys[kept]
+            arrays = [(keys // width).astype(np.int32), (keys % width).astype(np.int32), counts[kept], *[s[kept] for s in sides]]
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["node", "word", "cnt", "l_min", "l_max", "r_min", "r_max"])
+
+        for batch in parts:
+            for here, many, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if held and here != bucket:
+                    yield counted()
+                    held.clear()
+                bucket = here
+                held.append(_unpack(many, packed.as_buffer()))
+                if len(held) > 1 and sum(len(h[0]) for h in held) > len(held[0][0]) + _HELD_PHRASES:
+                    held[:] = [_grouped(held)]
+        if held:
+            yield counted()
 
     return run
 
@@ -270,6 +331,7 @@ class _Miner:
         self.words = vocabulary(docs, min_count)
         self.many = self.words.count()
         self.codes = encode(docs, self.words, block)
+        self.segments = self.codes.count()
         release(self.spark)
         #: Counted phrases (ids, f), words included, and scored survivors.
         self.known = self.words.select(F.array("id").alias("ids"), "f")
@@ -284,10 +346,13 @@ class _Miner:
         def count():
             trie = _Trie([p for p, kind in block if kind == 0], [p for p, kind in block if kind == 1], self.many)
             shared = self.spark.sparkContext.broadcast(trie.arrays)
-            found = self.codes.mapInArrow(_walked(shared), FOUND).groupBy("node", "word").agg(
-                F.sum("cnt").alias("f"), F.min("l_min").alias("l_min"), F.max("l_max").alias("l_max"),
-                F.min("r_min").alias("r_min"), F.max("r_max").alias("r_max"),
-            ).filter((F.col("word") == 0) | (F.col("f") >= self.min_count))
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            buckets = max(4 * parts, self.segments // _BUCKET_ROWS)
+            found = (
+                self.codes.mapInArrow(_walked(shared, buckets), "bucket int, many int, packed binary")
+                .repartition(parts, "bucket").sortWithinPartitions("bucket")
+                .mapInArrow(_merged(self.many + 1, self.min_count), FOUND).withColumnRenamed("cnt", "f")
+            )
             path = self.spark.createDataFrame(list(enumerate(map(list, trie.phrases))), "node int, path array<int>")
             found = found.join(F.broadcast(path), "node").select(
                 F.when(F.col("word") == 0, F.col("path")).otherwise(F.concat("path", F.array("word"))).alias("ids"),
