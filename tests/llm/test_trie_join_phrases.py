@@ -205,6 +205,18 @@ def test_signatures_of_the_same_sets_are_kept_once(spark, make_docs):
     assert join.rows.count() == 2 and join.rows.select("sign").distinct().count() == 1
 
 
+def test_crowd_of_unlike_edits_is_not_expanded(spark, make_docs, monkeypatch):
+    """Edits of one text, most of them unlike one another: far fewer pairs are compared than there are."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice((0.01, 0.03, 0.06, 0.1))))) for i in range(160)]
+    kept, run = [], jaccard_join._Join.run
+    monkeypatch.setattr(jaccard_join._Join, "run", lambda join: (kept.append(join), run(join)))
+    found, _ = jaccard_join.near_duplicates(make_docs(rows))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == classes_by_hand(rows)
+    assert kept[0].tested.count() < 160 * 159 // 2 // 4
+
+
 # --- 13: collocations -----------------------------------------------------------------------
 
 
