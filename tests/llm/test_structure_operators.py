@@ -129,6 +129,53 @@ def test_suffix_dedup_ranges_grow_with_the_text_and_hot_grams_do_not(make_docs,
     assert set(answered["did"]) == set(ids)
 
 
+def test_suffix_dedup_answers_are_a_row_per_bucket_and_then_a_row_per_document(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 4_000)  # several packs, and documents that lie in two
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 700)
+    rnd = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    shared = [" ".join(rnd.choice(words) for _ in range(30)) for _ in range(20)]
+    rows = [(rnd.choice([-1, 1]) * i * 10**15, i % 2, f"{rnd.choice(shared)} {i * 7919 ** 9} {rnd.choice(shared)}") for i in range(200)]
+    texts = pd.DataFrame(rows, columns=["did", "th", "text"])
+    owners = defaultdict(set)
+    for did, th, text in rows:
+        for part in suffix_dedup.slices([text]):
+            for g in suffix_dedup.stretches_of([part])[3].tolist():
+                owners[g].add((did, th))
+    want = defaultdict(set)
+    for g, docs in owners.items():
+        for key in docs if len({d for d, _ in docs}) > 1 else ():
+            want[key].add(g)
+    sent = pd.concat(suffix_dedup._send_grams(list(range(24)))([texts.iloc[:90], texts.iloc[90:]]))
+    assert len(sent) > 2 * 24
+    answers = pd.concat(frame for _, some in sent.groupby("range") for frame in suffix_dedup._send_answers(list(range(3)))([some]))
+    assert len(answers) <= 24 * 3
+    found = [(r.did, r.th, r.grams) for _, some in answers.groupby("bucket") for f in suffix_dedup._gather_answers([some]) for r in f.itertuples()]
+    assert len(found) == len(want)
+    assert {(d, t): set(np.frombuffer(g, dtype=np.uint64).tolist()) for d, t, g in found} == want
+
+
+def test_suffix_dedup_stretches_equal_a_window_by_window_search():
+    import numpy as np
+
+    rnd = random.Random(3)
+    parts = [(i, 7 * i, bytes(rnd.choice(b"ab ") for _ in range(rnd.randint(50, 200)))) for i in range(40)]
+    doc, offset, count, gram, place, start, blob = suffix_dedup.stretches_of(parts)
+    hashes = suffix_dedup._gram_hashes(np.frombuffer(blob, dtype=np.uint8)).tolist()
+    want, at = [], 0
+    for i, before, raw in parts:
+        named = [min(range(at + w, at + w + 31), key=lambda p: (hashes[p] >> 26, p)) for w in range(len(raw) - 49)]
+        first = [w for w in range(len(named)) if not w or named[w] != named[w - 1]]
+        want += [(i, before + w, n - w, named[w] - at - w, at + w) for w, n in zip(first, first[1:] + [len(named)])]
+        at += len(raw)
+    assert list(zip(doc.tolist(), offset.tolist(), count.tolist(), place.tolist(), start.tolist())) == want
+    assert int(gram.max()) < 1 << 48
+
+
 def test_suffix_dedup_given_documents_and_edges(spark, make_docs, hostile_rows, empty_docs):
     got = sorted(map(tuple, entry.queries()["op3_suffix_array_dedup"](spark, SF).collect()))
     assert got == sorted(removed_brute(given("documents", "doc_id, text")))
