@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import pytest
@@ -289,6 +290,30 @@ def test_links_connect_what_is_near(spark, pair_cell_points):
     assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+@pytest.mark.parametrize("broadcast_cells", [100_000, 0])
+def test_exploded_points_are_not_broadcast(spark, tmp_path, monkeypatch, broadcast_cells):
+    # Spark reckons the exploded points as small as the points: here smaller than the table of the cells.
+    monkeypatch.setattr(simhash, "BROADCAST_CELLS", broadcast_cells, raising=False)
+    rnd = random.Random(12)
+    prints = [p ^ e for p in (rnd.getrandbits(63) for _ in range(400)) for e in (0, 1, 2, 4)]
+    spark.createDataFrame([(p,) for p in prints], "fp long").write.parquet(str(tmp_path / "prints"))
+    plans = {}
+
+    def watched(session, df, name, write=simhash.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(session, df, name)
+
+    monkeypatch.setattr(simhash, "written", watched)
+    links = simhash.links(spark.read.parquet(str(tmp_path / "prints")))
+    plans["links"] = links._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plans["simhash-shared"] and "BuildLeft" not in plans["simhash-shared"]
+    assert ("BroadcastExchange" in plans["simhash-shared"]) == (broadcast_cells > 0)
+    assert "Generate" in plans["links"] and "BroadcastExchange" not in plans["links"]
+    assert {tuple(r) for r in links.collect()} == {
+        (min(a, b), max(a, b)) for k in range(0, len(prints), 4) for a, b in combinations(prints[k : k + 4], 2)
+    }
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = list(range(n))

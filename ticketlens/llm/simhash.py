@@ -48,6 +48,8 @@ BLOCKS = 8
 PAIR_CELL_POINTS = 32
 #: Ids (8 bytes) of the documents to leave out are broadcast up to this count, so that texts stay where they are.
 BROADCAST_IDS = 1_000_000
+#: Cells of more than two points are broadcast up to this count, else joined by shuffle.
+BROADCAST_CELLS = 100_000
 _SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -123,6 +125,10 @@ def links(prints: DataFrame, pair_cell_points: int = PAIR_CELL_POINTS) -> DataFr
 
     Inside full cells not every close pair is listed, but each is connected by
     links of the list.
+
+    Spark reckons an exploded table as if it had the rows of the one it is made
+    of, so it would broadcast 28 or 65 rows a point: joins of such tables say
+    what is broadcast, a counted table or none.
     """
     spark = prints.sparkSession
     placed = prints.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
@@ -132,18 +138,16 @@ def links(prints: DataFrame, pair_cell_points: int = PAIR_CELL_POINTS) -> DataFr
         "simhash-cells",
     )
     twos = cells.filter("n = 2").select("a", "b")
-    shared = written(
-        spark,
-        placed.join(cells.filter("n > 2").select("cell", "n"), "cell").select("cell", "fp", "n"),
-        "simhash-shared",
-    )
+    fuller = cells.filter("n > 2").select("cell", "n")
+    fuller = F.broadcast(fuller) if fuller.count() <= BROADCAST_CELLS else fuller.hint("merge")
+    shared = written(spark, placed.join(fuller, "cell").select("cell", "fp", "n"), "simhash-shared")
     few = shared.filter(F.col("n") <= pair_cell_points)
-    pairs = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")), "cell").filter("a < b")
+    pairs = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")).hint("merge"), "cell").filter("a < b")
     full = shared.filter(F.col("n") > pair_cell_points).select("fp").distinct()
     near_values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
     listed = full.select("fp", F.explode(near_values).alias("value"))
     lowest = listed.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    stars = listed.join(lowest.select("value", "a"), "value").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    stars = listed.join(lowest.select("value", "a").hint("merge"), "value").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return _verified(twos.unionByName(pairs.select("a", "b")).unionByName(stars)).distinct()
 
 
